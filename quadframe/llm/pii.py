@@ -59,7 +59,8 @@ def count_of(spans: Column, kind: str) -> Column:
 def raw_matches(text: Column, pattern: str, order: int) -> Column:
     """All leftmost non-overlapping matches: number, length of the gap before, length, value."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda m, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len"), m.alias("value")))
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), found.alias("value")), F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0)))
+    return F.transform(pairs, lambda m, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), F.length(m["gap"]).alias("gap"), F.length(m["value"]).alias("len"), m["value"].alias("value")))
 
 
 def raw_base(text: Column) -> Column:
