@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, url_filter
+from . import exact_dedup, mixing, packing, pii, simhash, url_filter
 
 #: Fixed values of the url contract: verdict, host, start of the path.
 URL_RULES = (
@@ -27,10 +27,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
+    return found.select("doc_id", simhash.spell(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind, *_ in pii.KINDS]
@@ -41,7 +50,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_exact_dedup, op8_pii, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_packing, op6_exact_dedup, op7_simhash, op8_pii, op9_mixing)}
 
 _BLANK = r"\x20\x09-\x0D"
 
