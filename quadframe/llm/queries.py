@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, simhash, url_filter
+from . import ann, exact_dedup, langid, mixing, packing, pii, simhash, toxicity, url_filter
+from .work import crc32_of_id
 
 #: Fixed values of the url contract: verdict, host, start of the path.
 URL_RULES = (
@@ -21,6 +22,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
+    found = langid.predict(docs, langid.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = crc32_of_id(F.col("doc_id")) % 5 == 0
+    found = toxicity.score(docs, toxicity.fit(docs, labels.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     outcomes = url_filter.page_outcomes(pages, _table(spark, sf_dir, "labels"))
@@ -31,6 +46,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -50,7 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_packing, op6_exact_dedup, op7_simhash, op8_pii, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_url_filter, op4_packing, op5_ann, op6_exact_dedup, op7_simhash, op8_pii, op9_mixing)}
 
 _BLANK = r"\x20\x09-\x0D"
 
