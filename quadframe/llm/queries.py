@@ -55,7 +55,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4, total=None)
     return found.select("doc_id", simhash.spell(F.col("fp")).alias("fingerprint"), "component_id")
 
 

@@ -36,7 +36,7 @@ def brute_components(fps, radius):
 
 def test_fingerprints():
     for text in [None, "", " \t", "One", "A b\x0bC d", "é à b C d É x", "a a a a a a a a", " ".join(str(i % 37) for i in range(500))]:
-        assert simhash.fingerprint(text, 4) == brute_fp(text), text
+        assert simhash.fingerprint(text, 4) == (brute_fp(text), 0), text
 
 
 def _fps(seed, n):
@@ -53,16 +53,16 @@ def _fps(seed, n):
 def test_forest_of_a_node_connects_what_brute_force_connects():
     fps = _fps(1, 150)
     order = sorted(fps, key=lambda x: x ^ x >> 1)
-    label = simhash.forest_of_node(np.array(order, np.uint64), 4)
+    label = simhash.forest_of_node(np.array(order, np.uint64), np.zeros(len(order), np.uint64), 4, 128)
     assert label.tolist() == brute_components(order, 4)
 
 
 def test_links_connect_what_brute_force_connects(spark):
     fps = _fps(2, 120)
-    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
-    for node_size in (2048, 8):
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long").selectExpr("fp", "0L as more", "fp as id")
+    for node_size in (8192, 8):
         work = Work(spark, "test")
-        labels = simhash.components(simhash.links(df, work, 4, node_size), work).collect()
+        labels = simhash.components(simhash.links(df, work, 4, node_size=node_size), work).collect()
         got = {}
         for r in labels:
             got.setdefault(r["label"], set()).add(r["node"])
@@ -76,9 +76,27 @@ def test_near_duplicates_of_texts(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [base, base + " tail", None, "", base, "other words here entirely", " "]
     docs = spark.createDataFrame([(9 - i, t, 0) for i, t in enumerate(texts)], "doc_id int, text string, fp int")
-    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs, 4, 4).collect()}
+    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs, 4, 4, None).collect()}
     fps = [brute_fp(t) for t in texts]
     label = brute_components(fps, 4)
     least = {k: min(9 - i for i in range(len(texts)) if label[i] == k) for k in label}
     assert got == {9 - i: (simhash.signed(fps[i]), least[label[i]]) for i in range(len(texts))}
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_wide_fingerprints_link_near_copies_only(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((3 * i, " ".join(words)))
+        words[150] = "other"
+        rows.append((3 * i + 1, " ".join(words)))
+        rows.append((3 * i + 2, " ".join(words[:100] + [f"v{rng.randrange(5000)}" for _ in range(200)])))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id int, text string, component_id int")
+    kept = simhash.drop_near_copies(docs)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert {i for i in ids if i % 3 == 0} == {3 * i for i in range(60)}
+    assert {i for i in ids if i % 3 == 2} == {3 * i + 2 for i in range(60)}
+    assert sum(i % 3 == 1 for i in ids) <= 2
