@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from .work import Work
 GRAM = 32
 #: Different suffixes of an anchor string that a task compares with each other.
 PAIRWISE = 64
+#: Those whose windows a task counts for itself.
+LOCAL = 20_000
 _CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
@@ -253,13 +256,25 @@ def _settle(length: int, splitters: list[bytes], pairwise: int):
         out: list[tuple] = []
 
         def close(group: list[tuple]) -> None:
-            if len(group) <= pairwise and group[0][1][:GRAM] not in edges:
+            cut = group[0][1][:GRAM] in edges
+            if not cut and len(group) <= pairwise:
                 if len(group) > 1:
-                    out.extend((*name, least, most, None, None) for name, least, most in equal_windows(group, length))
+                    out.extend((*name, least, most, None, None, None) for name, least, most in equal_windows(group, length))
                 return
-            for _, right, left, name in group:
-                for d, window in windows_of(right, left, length):
-                    out.append((*name, d, d, *np.frombuffer(xxhash.xxh3_128_digest(window, d), "<i8").tolist()))
+            seen: Counter = Counter()
+            named = [[(d, xxhash.xxh3_128_digest(w, d)) for d, w in windows_of(right, left, length)] for _, right, left, _ in group]
+            for windows in named:
+                seen.update(w for _, w in windows)
+            for (*_, name), windows in zip(group, named):
+                own = [d for d, w in windows if seen[w] > 1]
+                least, most = (min(own), max(own)) if own else (length, -1)
+                if own:
+                    out.append((*name, least, most, None, None, None))
+                if cut or len(group) > LOCAL:
+                    # What this task can't tell: windows beyond those that it has found twice.
+                    out.extend((*name, d, d, *np.frombuffer(w, "<i8").tolist(), 0) for d, w in windows if not least <= d <= most)
+            if cut or len(group) > LOCAL:
+                out.extend((None, None, None, None, *np.frombuffer(w, "<i8").tolist(), n) for w, n in seen.items())
 
         group: list[tuple] = []
         last = None
@@ -273,9 +288,9 @@ def _settle(length: int, splitters: list[bytes], pairwise: int):
             group.append((shared, right, left, name))
         if group:
             close(group)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        columns = zip(*out) if out else [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["n1", "n2", "least", "most", "w1", "w2"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        columns = zip(*out) if out else [[]] * 7
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["n1", "n2", "least", "most", "w1", "w2", "times"])
 
     return run
 
@@ -323,10 +338,9 @@ def repeated_contexts(contexts: DataFrame, work: Work, length: int, parts: int,
             yield pa.RecordBatch.from_arrays(columns, ["part", "run", "seq", "shared", "rest", "left", "n1", "n2"])
 
     runs = contexts.select("right", "left", "n1", "n2").mapInArrow(sort_run, "part int, run int, seq int, shared int, rest binary, left binary, n1 long, n2 long")
-    settled = work.save(runs.groupBy("part").applyInArrow(_settle(length, splitters, pairwise), "n1 long, n2 long, least int, most int, w1 long, w2 long"), "settled")
-    windows = settled.filter("w1 is not null").distinct()
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    shared = windows.join(twice, ["w1", "w2"]).select("n1", "n2", "least", "most")
+    settled = work.save(runs.groupBy("part").applyInArrow(_settle(length, splitters, pairwise), "n1 long, n2 long, least int, most int, w1 long, w2 long, times int"), "settled")
+    twice = settled.filter("times > 0").groupBy("w1", "w2").agg(F.sum("times").alias("n")).filter("n > 1").select("w1", "w2")
+    shared = settled.filter("times = 0").join(twice, ["w1", "w2"]).select("n1", "n2", "least", "most")
     return settled.filter("w1 is null").select("n1", "n2", "least", "most").unionByName(shared).groupBy("n1", "n2").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
@@ -343,17 +357,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, pairwise: int = PAIRWISE)
     long_ = named.filter(F.octet_length("text") >= length)
     found = work.save(long_.select("t", "c", "text").mapInArrow(_find_anchors(length), "h long, t long, c int, place int, before smallint, after smallint"), "anchors")
     where = F.xxhash64("t", "c", "place")
-    recurs = found.groupBy("h").agg(F.min(where).alias("one"), F.max(where).alias("other")).filter("one <> other").select("h")
+    recurs = work.save(found.groupBy("h").agg(F.min(where).alias("one"), F.max(where).alias("other")).filter("one <> other").select("h"), "recurs")
     candidates = found.join(recurs, "h", "left_semi").groupBy("t", "c").agg(F.collect_set(F.struct("h", "place", "before", "after")).alias("found"))
     candidates = work.save(candidates, "candidates")
-    held = work.save(long_.join(candidates.select("t", "c"), ["t", "c"], "left_semi").select("t", "c", "text").groupBy("t", "c").agg(F.first("text").alias("text")), "held")
-    work.drop("anchors")
-    cut = held.join(candidates, ["t", "c"]).select("t", "c", "text", "found").mapInArrow(_cut_contexts, "t long, c int, h long, place int, before smallint, after smallint, n1 long, n2 long, left binary, right binary")
+    work.drop("anchors")  # tables go as soon as nothing reads them
+    held = long_.join(candidates, ["t", "c"]).select("t", "c", "text", "found").groupBy("t", "c").agg(F.first("text").alias("text"), F.first("found").alias("found"))
+    held = work.save(held, "held")
+    work.drop("candidates")
+    cut = held.select("t", "c", "text", "found").mapInArrow(_cut_contexts, "t long, c int, h long, place int, before smallint, after smallint, n1 long, n2 long, left binary, right binary")
     cut = work.save(cut, "contexts")
     often = cut.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("after").alias("after")).filter("n > 1")
     often = often.select("n1", "n2", (F.lit(length) - F.col("after")).cast("int").alias("least"), F.col("before").cast("int").alias("most"))
     # Anchor strings with one context only have nothing to compare.
-    mixed = cut.groupBy("h").agg(F.min("n1").alias("one"), F.max("n1").alias("other")).filter("one <> other").select("h")
+    mixed = work.save(cut.groupBy("h").agg(F.min("n1").alias("one"), F.max("n1").alias("other")).filter("one <> other").select("h"), "mixed")
     sort = work.save(cut.filter("right is not null").join(mixed, "h", "left_semi").select("right", "left", "n1", "n2"), "sort")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = repeated_contexts(sort, work, length, parts, pairwise)
