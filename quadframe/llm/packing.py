@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .work import Work
 
 #: Words, and parts of words, kept with their ids in a worker; the caches start anew beyond.
-CACHED = 500_000
+CACHED = 250_000
 #: The tokenizer's own cut of printable ASCII text.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: A piece of less than one part in so many of a sequence is left to best fit.
@@ -259,8 +259,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id:
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = cut.join(first, ["part", "length"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"), *["ids"][: int(with_ids)])
+    ranked = cut.drop("ids").join(first, ["part", "length"])
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("place"), "part", "rank")
     where = docs.sparkSession.sparkContext.broadcast(slots(plan_for(counts, capacity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +276,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id:
                     t = rank[here] - starts[j]
                     sequence[here], offset[here] = bases[j] + t // len(o), o[t % len(o)]
             columns = [*batch.columns[:5], pa.array(sequence), pa.array(offset), *batch.columns[6:]]
-            yield pa.RecordBatch.from_arrays(columns, out_names)
+            yield pa.RecordBatch.from_arrays(columns, [*names, "part", "rank"])
 
-    out_names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"][: int(with_ids)]]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return ranked.mapInArrow(run, schema)
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part int, rank long"
+    placed = ranked.mapInArrow(run, schema)
+    if not with_ids:
+        return placed.select(*names)
+    # Ids join at the end and never pass through Python again.
+    return cut.select("part", "length", "rank", "ids").join(work.save(placed, "placed"), ["part", "length", "rank"]).select(*names, "ids")

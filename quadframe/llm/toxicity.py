@@ -176,15 +176,16 @@ def score(docs: DataFrame, model: tuple, keep: Iterable[str] = ("doc_id",)) -> D
     keep = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, exceptions))
     names = [f"c{i}" for i in range(len(keep))]
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
         for batch in batches:
-            x = [slope * matcher.strength(t) + offset for t in batch.column(len(keep)).to_pylist()]
+            x = [slope * matcher.strength(t) + offset for t in batch.column(at).to_pylist()]
             p = pa.array([1 / (1 + math.exp(-min(max(v, -30.0), 30.0))) for v in x], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], p], [*names, "tox_score"])
 
-    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col("text").alias("text_to_score"))
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *[F.col("text").alias("text_to_score")][: at == len(keep)])
     schema = ", ".join([*[f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names)], "tox_score double"])
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "tox_score")
