@@ -22,7 +22,7 @@ def unescape(lex: Column) -> Column:
 
     def one(x: Column) -> Column:
         code = F.conv(F.substring(x, 3, 8), 16, 10).cast("int")
-        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(x.rlike(r"(?i)\A\\u[0-9a-f]{4,8}\z"), wide).when(x.startswith("\\"), F.coalesce(F.element_at(simple, x), x)).otherwise(x)
 
     return F.when(lex.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(lex)
