@@ -10,7 +10,7 @@ components then come from label propagation with pointer jumping.
 
 A wide fingerprint has 128 bits: the first 64 are indexed with ``radius``, and what they bring together must also agree in
 all but ``total`` of the 128, which tells texts of a Jaccard similarity of 0.8 from chance. At the defaults (five words,
-radius 10, total 24) a pair of similarity 0.9 is linked with a probability of about 0.93, and one of 0.5 with 0.02.
+radius 10, total 24) a pair of similarity 0.9 is linked with an estimated probability of 0.93, and one of 0.5 with 0.02.
 
 Null and empty texts have fingerprint 0 and link like any other. Repeated rows are separate documents. Null identifiers
 are ignored in the choice of a component's smallest, which is null if there is no other.
