@@ -220,8 +220,11 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     return labels.select("node", "label")
 
 
-def _grouped(docs: DataFrame, width: int, radius: int, total: int | None) -> DataFrame:
-    """(doc_id, text_key, fp, label, component_id) for each row of docs; label names the component, whatever its ids."""
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 10, total: int | None = 24) -> DataFrame:
+    """(doc_id, text_key, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable by links.
+
+    total: for wide fingerprints, else None.
+    """
     work = Work(docs.sparkSession, "simhash")
     key = F.col("fp") if total is None else F.xxhash64("fp", "more")
     prints = work.save(fingerprints(docs, width, total is not None).withColumn("id", key), "prints")
@@ -229,27 +232,16 @@ def _grouped(docs: DataFrame, width: int, radius: int, total: int | None) -> Dat
     labels = components(links(distinct, work, radius, 128 if total is None else total), work)
     linked = work.save(labels.join(distinct.select(F.col("id").alias("node"), "least"), "node"), "linked")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_id = work.save(linked.join(least, "label").select(F.col("node").alias("id"), "label", "component_id"), "components")
-    found = distinct.join(of_id, "id", "left").select("id", F.coalesce("label", "id").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(work.save(found, "all"), "id").select("doc_id", "text_key", "fp", "label", "component_id")
-
+    of_id = work.save(linked.join(least, "label").select(F.col("node").alias("id"), "component_id"), "components")
+    of_all = work.save(distinct.join(of_id, "id", "left").select("id", F.coalesce("component_id", "least").alias("component_id")), "all")
+    return prints.join(of_all, "id").select("doc_id", "text_key", "fp", "component_id")
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 10, total: int | None = 24) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable by links.
-
-    total: for wide fingerprints, else None.
-    """
-    return _grouped(docs, width, radius, total).drop("label")
 
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one text of each group of near copies by exact similarity, see near.py."""
+    from . import near
 
-def drop_near_copies(docs: DataFrame, width: int = 5, radius: int = 10, total: int | None = 24) -> DataFrame:
-    """docs with one text of each component, that of the smallest doc_id; null identifiers come last, ties go by text."""
-    work = Work(docs.sparkSession, "near")
-    found = _grouped(docs, width, radius, total)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept")
-    kept = work.save(found.groupBy("label").agg(first).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key")), "kept")
-    here = docs.withColumn("__text_key", F.xxhash64("text"))
-    return here.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi").select(*docs.columns)
+    return near.drop_near_copies(docs)
 
 
 def spell(fp) -> Column:

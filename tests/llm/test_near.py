@@ -15,3 +15,52 @@ def test_null_and_repeated_ids_do_not_join_different_texts(spark):
     assert len(kept) == 6
     assert set(texts[1:5]) | {texts[5] + " tail"} <= set(kept)
     assert len({texts[0], texts[0] + " tail"} & set(kept)) == 1
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def brute_kept(texts):
+    """Texts whose number is the least of their component by Jaccard similarity, and similarities of edited pairs."""
+    sets, label = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                label[b] = a
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def kept_ids(spark, texts):
+    return {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+
+
+def test_links_are_those_of_brute_force_jaccard(spark):
+    rng = random.Random(6)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 30, 120, 400]))]
+        edited = list(words)
+        for _ in range(rng.randrange(1 + len(words) // 35 + 1)):
+            edited[rng.randrange(len(words))] = "other"
+        texts += [" ".join(words), " ".join(edited), " ".join(words[: len(words) * rng.randrange(75, 100) // 100])]
+    assert kept_ids(spark, texts) == brute_kept(texts)
+
+
+def test_dense_group_of_different_copies(spark):
+    rng = random.Random(9)
+    centre, texts = [f"w{i}" for i in range(200)], []
+    for k in range(240):
+        words = list(centre)
+        for _ in range(rng.randrange(1, 14)):
+            words[rng.randrange(200)] = f"v{k}x{rng.randrange(99)}"
+        texts.append(" ".join(words))
+    assert kept_ids(spark, texts) == brute_kept(texts)
