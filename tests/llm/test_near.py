@@ -64,3 +64,9 @@ def test_dense_group_of_different_copies(spark):
             words[rng.randrange(200)] = f"v{k}x{rng.randrange(99)}"
         texts.append(" ".join(words))
     assert kept_ids(spark, texts) == brute_kept(texts)
+
+
+def test_texts_without_words_take_no_short_texts_with_them(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \t"] + [" ".join(f"w{rng.randrange(9**6)}" for _ in range(6)) for _ in range(400)]
+    assert kept_ids(spark, texts) == {0, *range(3, 403)}
