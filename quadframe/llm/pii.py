@@ -1,13 +1,14 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 Base spans (email, ip, card, phone) are protected entities. How much a term t tells about an entity e is estimated from
-the corpus: with n(t, e) the distinct contexts in which t stands near e, n(t) all occurrences of t, n(e) those of e and N
-all words, PMI(t; e) = log(n(t, e) N / (n(t) n(e))) and IC(e) = log(N / n(e)). A term discloses e if PMI >= alpha IC(e),
-that is, if p(e | t) >= p(e) ** (1 - alpha), and at least ``min_contexts`` different contexts say so. In texts that hold e
+the corpus, all counts over distinct texts: n(t, e) texts in which t stands near e, n(t) texts with t, n(e) texts with e
+and N pairs of a text and a term. PMI(t; e) = log(n(t, e) N / (n(t) n(e))) and IC(e) = log(N / n(e)). A term discloses e
+if PMI >= alpha IC(e), that is, if p(e | t) >= p(e) ** (1 - alpha), where p(e | t) is Wilson's lower bound of
+n(t, e) / n(t) at ``z`` deviations, so that one or two texts decide too, with less weight than many. In texts that hold e
 such terms become spans of kind ``term`` beside the base spans, and are generalised or removed on sanitising.
 
 Spans count code points, end exclusive. Null texts count as empty, which have no spans. Repeated rows are separate
-documents; copies of one context count once as evidence. An empty table gives an empty result. Patterns are possessive
+documents; copies of one text count once as evidence. An empty table gives an empty result. Patterns are possessive
 or start at the beginning of a run, so that very long runs of digits or letters take time in proportion.
 """
 
@@ -89,27 +90,33 @@ def spell(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(docs: DataFrame, hold: DataFrame, n_words: int, work: Work, alpha: float, min_contexts: int) -> DataFrame:
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing_terms(docs: DataFrame, hold: DataFrame, work: Work, alpha: float, z: float) -> DataFrame:
     """(entity, term) pairs over the threshold. docs: all texts; hold: (text, base) of those with base spans."""
-    near = hold.select("text", F.explode("base").alias("s")).select(
+    digest = F.xxhash64("text").alias("digest")
+    every = docs.select(digest, "text").dropDuplicates(["digest"]).select(F.explode(_terms(F.col("text"))).alias("term"))
+    n_t = work.save(every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "vocabulary")
+    n = float(n_t.agg(F.sum("n_t")).first()[0] or 0)
+    near = hold.select(digest, "text", F.explode("base").alias("s")).select(
+        "digest",
         F.lower("s.value").alias("entity"),
         F.substring(F.col("text"), F.greatest(F.col("s.start") + 1 - REACH, F.lit(1)), F.least(F.col("s.start"), F.lit(REACH))).alias("before"),
         F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH)).alias("after"),
     )
-    near = near.withColumn("context", F.xxhash64("before", "after")).dropDuplicates(["entity", "context"])
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" | ", "before", "after")), F.lit(TERM), F.lit(0)))
-    pairs = near.select("entity", F.explode(words).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    pairs = work.save(pairs.filter(F.col("n_te") >= min_contexts), "pairs")
-    n_e = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    every = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    n_t = every.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = float(n_words)
-    pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    told = pairs.join(n_t, "term").join(n_e, "entity").filter(pmi >= alpha * F.log(n / F.col("n_e")))
+    near = near.dropDuplicates(["entity", "digest", "before", "after"])
+    pairs = near.select("entity", "digest", F.explode(_terms(F.concat_ws(" | ", "before", "after"))).alias("term")).distinct()
+    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
+    n_e = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    p, z2 = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)), z * z / F.col("n_t")
+    low = (p + z2 / 2 - F.sqrt(z2 * (p * (1 - p) + z2 / 4))) / (1 + z2)
+    told = pairs.join(n_t, "term").join(n_e, "entity").filter(low >= F.pow(F.col("n_e") / F.lit(n), F.lit(1 - alpha)))
     return work.save(told.select("entity", "term"), "told")
 
 
-def find(docs: DataFrame, alpha: float = 0.9, min_contexts: int = 3) -> DataFrame:
+def find(docs: DataFrame, alpha: float = 0.9, z: float = 1.0) -> DataFrame:
     """(doc_id, text, base, spans) for each row of docs; base and spans are arrays of (start, ord, end, kind, value).
 
     text is null where no pattern matches; sanitise() is for the rows with spans.
@@ -117,12 +124,11 @@ def find(docs: DataFrame, alpha: float = 0.9, min_contexts: int = 3) -> DataFram
     work = Work(docs.sparkSession, "pii")
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # A row's number is kept by writing it.
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), raw_base(F.col("text")).alias("raw"), F.regexp_count("text", F.lit(TERM)).alias("n_words"))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), raw_base(F.col("text")).alias("raw"))
     rows = work.save(rows.withColumn("text", F.when(F.size("raw") > 0, F.col("text"))), "rows")
     base = work.save(placed(rows.filter(F.size("raw") > 0)).withColumnRenamed("spans", "base"), "base")
     hold = work.save(rows.select("row", "text").join(base, "row"), "hold")
-    n_words = rows.agg(F.sum("n_words")).first()[0] or 0
-    told = disclosing_terms(docs, hold, n_words, work, alpha, min_contexts)
+    told = disclosing_terms(docs, hold, work, alpha, z)
     terms = hold.select("row", F.explode("base.value").alias("value")).select("row", F.lower("value").alias("entity")).join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
     hidden = hold.join(terms, "row").select("row", "terms", raw_matches(F.col("text"), TERM, len(KINDS)).alias("raw"))
     hidden = placed(hidden).join(terms, "row").select("row", F.filter("spans", lambda s: F.array_contains(F.col("terms"), F.lower(s["value"]))).alias("hidden"))

@@ -75,5 +75,20 @@ def test_term_that_reveals_an_entity_is_a_span_and_common_words_are_not(spark):
     assert clean[0].startswith("monday [TERM] [TERM]") and "zb@heart.org" not in clean[0] and "[EMAIL]" in clean[0]
 
 
+def hidden_terms(spark, rows):
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    return {s["value"].lower() for r in pii.find(docs).collect() for s in r["spans"] if s["kind"] == "term"}
+
+
+FILLERS = [f"some words about nothing much that everybody uses every day in many places{'x' * i}" for i in range(200)]
+
+
+def test_copies_of_contexts_change_neither_side(spark):
+    rows = [f"{w} Zaphod Beeblebrox writes from zb@heart.org {w} as usual in places" for w in ("monday", "tuesday", "friday", "sunday")]
+    hidden = hidden_terms(spark, rows * 50 + FILLERS)
+    assert {"zaphod", "beeblebrox"} <= hidden and "some" not in hidden
+    assert hidden == hidden_terms(spark, rows + FILLERS)
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id int, text string")).collect() == []
