@@ -90,5 +90,10 @@ def test_copies_of_contexts_change_neither_side(spark):
     assert hidden == hidden_terms(spark, rows + FILLERS)
 
 
+def test_one_context_is_enough_for_a_term_seen_nowhere_else(spark):
+    hidden = hidden_terms(spark, ["Zaphod uses zb@heart.org every day in many words"] + FILLERS)
+    assert "zaphod" in hidden and not hidden & {"uses", "every", "day", "many", "words"}
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id int, text string")).collect() == []
