@@ -51,8 +51,29 @@ def test_matches_brute_force(spark):
     check(spark, texts(1, 40))
 
 
-def test_large_groups_are_settled_by_counting_windows(spark):
-    check(spark, texts(2, 40), pairwise=1)
+def test_hot_starts_are_split_down_to_windows(spark):
+    check(spark, texts(2, 40), hot=2)
+
+
+def test_many_contexts_of_one_line(spark):
+    """One line of less than a window between different texts, alone and with equal words on either side."""
+    rng = random.Random(11)
+    letters = "abcdefghij "
+    own = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    line, before, after = own(120), own(60), own(60)
+    given = []
+    for k in range(300):
+        a, b = rng.randrange(60), rng.randrange(60)
+        given.append(own(200) + before[60 - a :] + line + after[:b] + own(200) if k % 3 else own(100) + line + own(100))
+    check(spark, given)
+    check(spark, given, hot=20)
+
+
+def test_repeated_and_null_ids_and_other_columns(spark):
+    given = texts(3, 12)
+    docs = spark.createDataFrame([(None if i % 3 else 7, t, b"x", i) for i, t in enumerate(given)], "doc_id int, text string, name binary, i int")
+    got = sorted(tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted(brute(given, 200))
 
 
 def test_chunks_of_long_texts(spark, monkeypatch):
@@ -72,10 +93,10 @@ def test_merge_gives_order_and_common_prefixes():
     pieces = [[] for _ in range(5)]
     for w in words:
         for k in {rng.randrange(5), rng.randrange(5)}:
-            pieces[k].append((w, b"", 0, 0))
-    runs = [[x[1:] for x in suffix_dedup.front_code(p, [])] for p in pieces]
+            pieces[k].append((w, b""))
+    runs = [[x[1:] for x in suffix_dedup.front_code(p, lambda _: 0)] for p in pieces]
     merged = list(suffix_dedup.merge(runs))
-    order = [r for _, r, *_ in merged]
+    order = [r for _, r, _ in merged]
     assert order == sorted(x[0] for p in pieces for x in p)
     assert all(s == suffix_dedup.common(a, b) for (s, *_), a, b in zip(merged[1:], order, order[1:]))
 
