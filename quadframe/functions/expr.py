@@ -1,4 +1,8 @@
-"""Filter expressions and functions on term columns. Errors and unbound are null; truth values are SQL booleans."""
+"""Filter expressions and functions on terms. Errors and unbound are null; truth values are SQL booleans.
+
+A term is a Val where its kind and datatype are known, else a struct column. Results whose datatype is fixed are Vals, so
+nested expressions work on plain values, whatever their arguments are.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .terms import (
-    BLANK, BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, DURATION, FLOAT, INTEGER, IRI, LANG_STRING, LITERAL, NUMERICS, STRING, STRINGS, TIME, XSD,
-    double_of, is_literal_of, level, lit, named, term, v_bool, v_date, v_dbl, v_dec, v_dur, v_int, v_time, v_ts,
+    BLANK, BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, DURATION, FLOAT, INTEGER, IRI, LANG_STRING, LITERAL, NUMERICS, STRING, STRINGS, TIME, XSD, Val,
+    col, decimal_text, double_of, double_text, is_literal_of, level, lit, named, null_of, term, us_of, v_bool, v_date, v_dbl, v_dec, v_dur, v_int, v_time, v_ts, v_us, val,
 )
 
 # Logic
@@ -16,6 +20,10 @@ from .terms import (
 @named
 def ebv(t: Column) -> Column:
     """Effective boolean value: booleans, non-empty strings, numbers other than 0 and NaN; else an error."""
+    if isinstance(t, Val) and t.text is None:
+        if t.level is not None:
+            return t.raw != 0 if t.level <= 1 else (v_dbl(t) != 0) & ~F.isnan(v_dbl(t))
+        return t.raw if t.dt == BOOLEAN else F.length(t.raw) > 0 if t.dt in STRINGS else null_of("boolean")
     number = F.when(level(t) <= 1, v_dec(t) != 0).otherwise((v_dbl(t) != 0) & ~F.isnan(v_dbl(t)))
     bad = F.when(is_literal_of(t, BOOLEAN) | level(t).isNotNull(), False)  # ill-typed: false
     text = F.when(is_literal_of(t, *STRINGS, LANG_STRING), F.length(t["lex"]) > 0)
@@ -27,10 +35,9 @@ def ebv_or(t: Column, default: bool) -> Column:
     return F.coalesce(ebv(t), F.lit(default))
 
 
-@named
-def boolean(b: Column) -> Column:
+def boolean(b: Column) -> Val:
     """A truth value as a literal."""
-    return F.when(b.isNotNull(), lit(F.when(b, "true").otherwise("false"), BOOLEAN))
+    return val(b, BOOLEAN)
 
 
 @named
@@ -40,12 +47,14 @@ def bound(t: Column) -> Column:
 
 @named
 def if_(condition: Column, then: Column, other: Column) -> Column:
-    return F.when(condition, then).when(~condition, other)
+    return F.when(condition, col(then)).when(~condition, col(other))
 
 
-@named
-def coalesce(*terms: Column) -> Column:
-    return F.coalesce(*terms)
+def coalesce(*terms) -> Val | Column:
+    """The first that is no error."""
+    if all(isinstance(x, Val) and x.kind == LITERAL and x.text is None and (x.dt, x.ntz) == (terms[0].dt, terms[0].ntz) for x in terms):
+        return Val(LITERAL, terms[0].dt, F.coalesce(*[x.raw for x in terms]), ntz=terms[0].ntz)
+    return F.coalesce(*map(col, terms))
 
 
 @named
@@ -71,23 +80,75 @@ def is_numeric(t: Column) -> Column:
 # Comparison
 
 
-@named
-def same_term(a: Column, b: Column) -> Column:
-    return a == b
+def _same_shape(a, b) -> bool:
+    return isinstance(a, Val) and isinstance(b, Val) and (a.kind, a.dt, a.prefix) == (b.kind, b.dt, b.prefix) and a.text is None and b.text is None
+
+
+def _same_iri(a: Val, b: Val) -> Column:
+    """Identity of IRIs or blank nodes; what a constant says about a key column is asked of the column."""
+    if b.const is None and a.const is not None:
+        a, b = b, a
+    if _same_shape(a, b) and b.const is None:
+        return a.raw == b.raw
+    if b.const is not None and a.prefix:
+        rest = b.const[len(a.prefix) :]
+        return F.when(a.raw.isNotNull(), a.raw.cast("string") == rest if b.const.startswith(a.prefix) else F.lit(False))
+    return a.lex == b.lex
 
 
 @named
-def _compare_double(a: Column, b: Column, op: str) -> Column:
-    """IEEE 754: NaN is unordered and equals nothing; both zeros are equal."""
-    x, y = a + F.lit(0.0), b + F.lit(0.0)
-    plain = {"=": x == y, "<": x < y, "<=": x <= y}[op]
-    return F.when(F.isnan(a) | F.isnan(b), False).otherwise(plain)
+def same_term(a: Column, b: Column) -> Column:
+    if isinstance(a, Val) and isinstance(b, Val):
+        if (a.kind, a.dt) != (b.kind, b.dt):
+            return F.when(a.isNotNull() & b.isNotNull(), False)
+        if a.kind != LITERAL:
+            return _same_iri(a, b)
+        return a.raw == b.raw if a.dt in STRINGS else a.lex == b.lex
+    return col(a) == col(b)
+
+
+_OPS = {"=": lambda x, y: x == y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y}
+
+
+def _compare_double(a: Column, b: Column, op: str, a_const: bool = False, b_const: bool = False) -> Column:
+    """IEEE 754: NaN is unordered and equals nothing; both zeros are equal. Spark has NaN above all and equal to itself."""
+    plain = _OPS[op](a, b)
+    if b_const:  # a NaN on the left is below nothing, as it should be
+        return plain
+    if a_const:
+        return plain & ~F.isnan(b)
+    return F.when(a.isNotNull() & b.isNotNull(), plain & ~F.isnan(b))
+
+
+def _known_compare(a: Val, b: Val, op: str) -> Column:
+    of = _OPS[op]
+    if a.kind != LITERAL or b.kind != LITERAL:
+        return null_of("boolean")
+    if a.level is not None and b.level is not None:
+        top = max(a.level, b.level)
+        if top == 0:
+            return of(a.raw, b.raw)
+        if top == 1:
+            return of(v_dec(a), v_dec(b))
+        nan = [x.const is not None and x.const != "NaN" for x in (a, b)]
+        return _compare_double(v_dbl(a), v_dbl(b), op, *nan)
+    if a.dt in STRINGS and b.dt in STRINGS or a.dt == b.dt and a.dt in (BOOLEAN, DATE, TIME, DURATION):
+        return of(a.raw, b.raw)
+    if a.dt == b.dt == DATETIME:
+        # A constant is an instant; beside a column without zone it becomes UTC without zone, so that it can be pushed down.
+        x, y = ((F.to_utc_timestamp(v.raw, F.current_timezone()).cast("timestamp_ntz") if v.const is not None and w.ntz and not v.ntz else v.raw) for v, w in ((a, b), (b, a)))
+        if a.ntz != b.ntz and a.const is None and b.const is None:
+            x, y = v_us(a), v_us(b)
+        return of(x, y)
+    return null_of("boolean")
 
 
 @named
 def _compare(a: Column, b: Column, op: str) -> Column:
     """Null where the families differ or have no order."""
-    of = {"=": lambda x, y: x == y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y}[op]
+    if isinstance(a, Val) and isinstance(b, Val):
+        return _known_compare(a, b, op)
+    of = _OPS[op]
     both = lambda *types: is_literal_of(a, *types) & is_literal_of(b, *types)
     top = F.greatest(level(a), level(b))
     number = F.when(top == 0, of(v_int(a), v_int(b))).when(top == 1, of(v_dec(a), v_dec(b))).otherwise(_compare_double(v_dbl(a), v_dbl(b), op))
@@ -105,11 +166,18 @@ def _compare(a: Column, b: Column, op: str) -> Column:
 @named
 def eq(a: Column, b: Column) -> Column:
     """Equal values; terms without a known value are equal if identical, and unknown if they are not but could be."""
+    if isinstance(a, Val) and isinstance(b, Val):
+        family = lambda x: "number" if x.level is not None else "string" if x.dt in STRINGS else x.dt
+        if a.kind == b.kind and a.kind != LITERAL:
+            return _same_iri(a, b)
+        if a.kind == b.kind and family(a) == family(b):
+            return _known_compare(a, b, "=")
+        return F.when(a.isNotNull() & b.isNotNull(), False)
     known = (*NUMERICS, *STRINGS, BOOLEAN, DATETIME, DATE, TIME, DURATION, LANG_STRING)
     unknown = (a["kind"] == LITERAL) & (b["kind"] == LITERAL) & ~(a["dt"].isin(*known) & b["dt"].isin(*known))
     value = _compare(a, b, "=")
     nan = F.coalesce(level(a) >= 2, F.lit(False)) & F.coalesce(level(b) >= 2, F.lit(False))
-    return F.when(a.isNull() | b.isNull(), None).when((a == b) & ~nan, True).when(value.isNotNull(), value).when(unknown, None).otherwise(False)
+    return F.when(a.isNull() | b.isNull(), None).when((col(a) == col(b)) & ~nan, True).when(value.isNotNull(), value).when(unknown, None).otherwise(False)
 
 
 @named
@@ -153,22 +221,24 @@ def not_in(t: Column, *others: Column) -> Column:
 
 @named
 def str_(t: Column) -> Column:
-    return F.when(t["kind"] != BLANK, lit(t["lex"]))
+    return val(F.when(t["kind"] != BLANK, t["lex"]), STRING)
 
 
 @named
 def lang(t: Column) -> Column:
-    return F.when(is_literal(t), lit(t["lang"]))
+    return val(F.when(is_literal(t), t["lang"]), STRING)
 
 
 @named
 def datatype(t: Column) -> Column:
-    return F.when(is_literal(t), term(IRI, t["dt"]))
+    return Val(IRI, "", F.when(is_literal(t), t["dt"]))
 
 
 @named
 def text(t: Column) -> Column:
     """The characters of a string literal; else an error."""
+    if isinstance(t, Val):
+        return t.raw if t.kind == LITERAL and t.dt in STRINGS else null_of("string")
     return F.when(is_literal_of(t, *STRINGS, LANG_STRING), t["lex"])
 
 
@@ -180,7 +250,7 @@ def lang_matches(tag: Column, range_: Column) -> Column:
 
 @named
 def strlen(t: Column) -> Column:
-    return lit(F.length(text(t)), INTEGER)
+    return val(F.length(text(t)).cast("long"), INTEGER)
 
 
 @named
@@ -201,20 +271,14 @@ def str_ends(t: Column, end: Column) -> Column:
 @named
 def position(t: Column, part: Column) -> Column:
     """Place of the first match from 1, 0 if there is none."""
-    return lit(F.call_function("locate", text(part), text(t)), INTEGER)
+    return val(F.call_function("locate", text(part), text(t)).cast("long"), INTEGER)
 
 
 # Numbers
 
 
-@named
-def _decimal_text(x: Column) -> Column:
-    return F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"\.?0+\z", "")
-
-
-@named
-def _double_text(x: Column) -> Column:
-    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "INF").when(x == float("-inf"), "-INF").otherwise(x.cast("string"))
+_decimal_text, _double_text = decimal_text, double_text
+_NAMES = (INTEGER, DECIMAL, FLOAT, DOUBLE)
 
 
 def _of_level(top: Column, whole: Column, exact: Column, wide: Column) -> Column:
@@ -226,9 +290,24 @@ def _of_level(top: Column, whole: Column, exact: Column, wide: Column) -> Column
     )
 
 
-def _binary(a: Column, b: Column, whole, exact, wide) -> Column:
-    top = F.when(level(a).isNotNull() & level(b).isNotNull(), F.greatest(level(a), level(b)))
-    return _of_level(top, whole(v_int(a), v_int(b)), exact(v_dec(a), v_dec(b)), wide(v_dbl(a), v_dbl(b)))
+def _numeric(args: tuple, whole, exact, wide, least: int = 0) -> Val | Column:
+    """The result at the widest level of the arguments, least at least; of known types one branch is built, else all."""
+    if all(isinstance(x, Val) for x in args):
+        if any(x.level is None for x in args):
+            return val(null_of("decimal(38,0)"), INTEGER)
+        top = max(least, *[x.level for x in args])
+        value = (v_int, v_dec, v_dbl, v_dbl)[top]
+        made = (whole, exact, wide, wide)[top](*map(value, args))
+        return val(made.try_cast("decimal(38,0)") if top == 0 else made.cast("decimal(38,10)") if top == 1 else made.cast("float") if top == 2 else made, _NAMES[top])
+    known = F.lit(True)
+    for x in args:
+        known = known & level(x).isNotNull()
+    top = F.when(known, F.greatest(*[level(x) for x in args], F.lit(least)))
+    return _of_level(top, F.lit(None) if least else whole(*map(v_int, args)), exact(*map(v_dec, args)), wide(*map(v_dbl, args)))
+
+
+def _binary(a, b, whole, exact, wide):
+    return _numeric((a, b), whole, exact, wide)
 
 
 @named
@@ -249,14 +328,17 @@ def multiply(a: Column, b: Column) -> Column:
 @named
 def divide(a: Column, b: Column) -> Column:
     """Integers give a decimal; division by zero is an error for exact numbers and follows IEEE 754 for others."""
-    top = F.when(level(a).isNotNull() & level(b).isNotNull(), F.greatest(level(a), level(b), F.lit(1)))
-    x, y = v_dbl(a), v_dbl(b)
-    zero = F.when((x == 0) | F.isnan(x), float("nan")).when((x > 0) == ~y.cast("string").startswith("-"), float("inf")).otherwise(float("-inf"))
-    wide = F.when(y == 0, zero).otherwise(F.try_divide(x, y))
-    return _of_level(top, F.lit(None), F.try_divide(v_dec(a).try_cast("decimal(20,6)"), v_dec(b).try_cast("decimal(20,6)")), wide)
+
+    def wide(x: Column, y: Column) -> Column:
+        zero = F.when((x == 0) | F.isnan(x), float("nan")).when((x > 0) == ~y.cast("string").startswith("-"), float("inf")).otherwise(float("-inf"))
+        return F.when(y == 0, zero).otherwise(F.try_divide(x, y))
+
+    return _numeric((a, b), None, lambda x, y: F.try_divide(x.try_cast("decimal(20,6)"), y.try_cast("decimal(20,6)")), wide, least=1)
 
 
-def _unary(t: Column, whole, exact, wide) -> Column:
+def _unary(t, whole, exact, wide):
+    if isinstance(t, Val):
+        return _numeric((t, t), *[lambda x, _, f=f: f(x) for f in (whole, exact, wide)])
     return _of_level(level(t), whole(v_int(t)), exact(v_dec(t)), wide(v_dbl(t)))
 
 
@@ -294,23 +376,23 @@ def round_(t: Column) -> Column:
 
 @named
 def mod(a: Column, b: Column) -> Column:
-    return lit(F.call_function("try_mod", v_int(a), v_int(b)), INTEGER)
+    return val(F.call_function("try_mod", v_int(a), v_int(b)), INTEGER)
 
 
 @named
 def larger(a: Column, b: Column) -> Column:
-    return lit(F.when(v_int(a).isNotNull() & v_int(b).isNotNull(), F.greatest(v_int(a), v_int(b))), INTEGER)
+    return val(F.when(v_int(a).isNotNull() & v_int(b).isNotNull(), F.greatest(v_int(a), v_int(b))), INTEGER)
 
 
 @named
 def smaller(a: Column, b: Column) -> Column:
-    return lit(F.when(v_int(a).isNotNull() & v_int(b).isNotNull(), F.least(v_int(a), v_int(b))), INTEGER)
+    return val(F.when(v_int(a).isNotNull() & v_int(b).isNotNull(), F.least(v_int(a), v_int(b))), INTEGER)
 
 
 @named
 def or_default(t: Column, default: Column) -> Column:
     """The term, or default where it is an error."""
-    return F.coalesce(t, default)
+    return coalesce(t, default)
 
 
 # Dates, times, durations
@@ -318,12 +400,33 @@ def or_default(t: Column, default: Column) -> Column:
 _DATETIME = r"\A(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})(?:T([0-9]{2}):([0-9]{2}):([0-9]{2}(?:\.[0-9]+)?))?(Z|[+-][0-9]{2}:[0-9]{2})?\z"
 
 
+def _div(x: Column, n: int) -> Column:
+    """x / n rounded down, in whole numbers."""
+    return F.call_function("div", x - F.pmod(x, F.lit(n)), F.lit(n)).cast("long")
+
+
+def _known_part(t: Val, k: int) -> Val:
+    """A part of a dateTime, which a column holds in UTC, or of a date."""
+    if t.dt == DATE:
+        day, us = t.raw, null_of("long")
+    else:
+        us = us_of(t.raw, t.ntz)
+        day, us = F.date_from_unix_date(_div(us, 86_400_000_000).cast("int")), F.pmod(us, F.lit(86_400_000_000))
+    if k <= 3:
+        return val((F.year, F.month, F.dayofmonth)[k - 1](day).cast("long"), INTEGER)
+    if k == 6:
+        return val((F.pmod(us, F.lit(60_000_000)).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(38,10)"), DECIMAL)
+    return val(_div(us, 3_600_000_000) if k == 4 else _div(F.pmod(us, F.lit(3_600_000_000)), 60_000_000), INTEGER)
+
+
 def _part(t: Column, k: int, dt: str = INTEGER) -> Column:
     """A part as written, in local time."""
+    if isinstance(t, Val) and t.text is None and t.kind == LITERAL and t.dt in (DATETIME, DATE):
+        return _known_part(t, k)
     got = F.nullif(F.regexp_extract(t["lex"], _DATETIME, k), F.lit(""))
     value = got.try_cast("decimal(20,6)") if dt == DECIMAL else got.try_cast("int")
     valid = F.coalesce(v_ts(t).isNotNull() | v_date(t).isNotNull(), F.lit(False))
-    return F.when(valid, lit(_decimal_text(value) if dt == DECIMAL else value, dt))
+    return val(F.when(valid, value.cast("decimal(38,10)" if dt == DECIMAL else "long")), dt)
 
 
 @named
@@ -356,40 +459,34 @@ def seconds(t: Column) -> Column:
     return _part(t, 6, DECIMAL)
 
 
-@named
-def duration(us: Column) -> Column:
+def duration(us: Column) -> Val:
     """Microseconds as a dayTimeDuration."""
-    a = F.abs(us)
-    days, rest = F.floor(a / 86_400_000_000).cast("long"), F.pmod(a, F.lit(86_400_000_000))
-    h, m = F.floor(rest / 3_600_000_000).cast("long"), F.floor(F.pmod(rest, F.lit(3_600_000_000)) / 60_000_000).cast("long")
-    s = F.pmod(rest, F.lit(60_000_000)).cast("decimal(20,6)") / F.lit(1_000_000).cast("decimal(10,0)")
-    unit = lambda x, u: F.when(x == 0, "").otherwise(F.concat(x.cast("string"), F.lit(u)))
-    clock = F.concat(unit(h, "H"), unit(m, "M"), F.when(s == 0, "").otherwise(F.concat(_decimal_text(s), F.lit("S"))))
-    body = F.concat(unit(days, "D"), F.when(clock == "", "").otherwise(F.concat(F.lit("T"), clock)))
-    return lit(F.when(us == 0, "PT0S").otherwise(F.concat(F.when(us < 0, "-P").otherwise("P"), body)), DURATION)
+    return val(us, DURATION)
 
 
 @named
 def timezone(t: Column) -> Column:
     """The offset as written; an error without one."""
+    if isinstance(t, Val) and t.text is None and t.dt == DATETIME:  # columns hold UTC
+        return duration(F.when(t.raw.isNotNull(), F.lit(0).cast("long")))
     zone = F.nullif(F.regexp_extract(t["lex"], _DATETIME, 7), F.lit(""))
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     offset = F.when(zone == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")))
-    return F.when(F.coalesce(v_ts(t).isNotNull() | v_date(t).isNotNull(), F.lit(False)), duration(offset.cast("long") * 60_000_000))
+    return duration(F.when(F.coalesce(v_ts(t).isNotNull() | v_date(t).isNotNull(), F.lit(False)), offset.cast("long") * 60_000_000))
 
 
 @named
 def epoch_ms(t: Column) -> Column:
-    return lit(F.unix_millis(v_ts(t)), INTEGER)
+    return val(_div(v_us(t), 1000), INTEGER)
 
 
 @named
 def epoch_us(t: Column) -> Column:
-    return lit(F.unix_micros(v_ts(t)), INTEGER)
+    return val(v_us(t), INTEGER)
 
 
-def datetime_of_us(us: Column) -> Column:
-    return lit(F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), DATETIME)
+def datetime_of_us(us: Column) -> Val:
+    return val(F.timestamp_micros(us), DATETIME)
 
 
 def datetime_of_ms(ms: Column) -> Column:
@@ -413,22 +510,22 @@ def date_of_days(days: Column) -> Column:
 
 @named
 def microseconds(t: Column) -> Column:
-    return lit(F.pmod(F.unix_micros(v_ts(t)), F.lit(1_000_000)), INTEGER)
+    return val(F.pmod(v_us(t), F.lit(1_000_000)), INTEGER)
 
 
 @named
 def datetime_plus(t: Column, d: Column) -> Column:
-    return datetime_of_us(F.unix_micros(v_ts(t)) + v_dur(d))
+    return datetime_of_us(v_us(t) + v_dur(d))
 
 
 @named
 def datetime_minus(t: Column, d: Column) -> Column:
-    return datetime_of_us(F.unix_micros(v_ts(t)) - v_dur(d))
+    return datetime_of_us(v_us(t) - v_dur(d))
 
 
 @named
 def datetime_difference(a: Column, b: Column) -> Column:
-    return duration(F.unix_micros(v_ts(a)) - F.unix_micros(v_ts(b)))
+    return duration(v_us(a) - v_us(b))
 
 
 @named
@@ -453,7 +550,7 @@ def duration_divide(d: Column, n: Column) -> Column:
 
 @named
 def duration_ratio(a: Column, b: Column) -> Column:
-    return lit(_decimal_text(F.try_divide(v_dur(a).cast("decimal(20,0)"), v_dur(b).cast("decimal(20,0)"))), DECIMAL)
+    return val(F.try_divide(v_dur(a).cast("decimal(20,0)"), v_dur(b).cast("decimal(20,0)")).cast("decimal(38,10)"), DECIMAL)
 
 
 @named
@@ -471,7 +568,7 @@ def make_duration(days, hours_, minutes_, seconds_) -> Column:
 
 @named
 def duration_us(d: Column) -> Column:
-    return lit(v_dur(d), INTEGER)
+    return val(v_dur(d), INTEGER)
 
 
 @named
@@ -486,8 +583,8 @@ def duration_part(d: Column, unit: str) -> Column:
     size = {"days": 86_400_000_000, "hours": 3_600_000_000, "minutes": 60_000_000}
     whole = {"days": lambda: F.floor(a / size["days"]), "hours": lambda: F.floor(F.pmod(a, F.lit(size["days"])) / size["hours"]), "minutes": lambda: F.floor(F.pmod(a, F.lit(size["hours"])) / size["minutes"])}
     if unit == "seconds":
-        return lit(_decimal_text((F.pmod(a, F.lit(size["minutes"])) * sign).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")), DECIMAL)
-    return lit(whole[unit]().cast("long") * sign, INTEGER)
+        return val(((F.pmod(a, F.lit(size["minutes"])) * sign).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(38,10)"), DECIMAL)
+    return val(whole[unit]().cast("long") * sign, INTEGER)
 
 
 # Casts
@@ -513,13 +610,13 @@ def to_integer(t: Column, name: str = "integer") -> Column:
     value = F.coalesce(v_int(t), F.when(level(t) == 1, _cut(v_dec(t)).try_cast("decimal(38,0)")), F.when(level(t) >= 2, finite), v_bool(t).cast("int").cast("decimal(38,0)"), string)
     low, high = (F.lit(None if x is None else str(x)).cast("decimal(38,0)") for x in RANGES[name])
     inside = F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True))
-    return lit(F.when(inside, value), XSD + name)
+    return val(F.when(inside, value), XSD + name)
 
 
 def _to_wide(t: Column, dt: str) -> Column:
     string = F.when(is_literal_of(t, *STRINGS), double_of(t["lex"]))
     value = F.coalesce(v_dbl(t), v_bool(t).cast("int").cast("double"), string)
-    return lit(_double_text(value.cast("float") if dt == FLOAT else value), dt)
+    return val(value.cast("float") if dt == FLOAT else value, dt)
 
 
 @named
@@ -536,7 +633,7 @@ def to_double(t: Column) -> Column:
 def to_decimal(t: Column) -> Column:
     string = F.when(is_literal_of(t, *STRINGS) & t["lex"].rlike(r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z"), t["lex"]).try_cast("decimal(38,10)")
     wide = F.when(level(t) >= 2, v_dbl(t).try_cast("decimal(38,10)"))
-    return lit(_decimal_text(F.coalesce(v_dec(t), wide, v_bool(t).cast("int").cast("decimal(38,10)"), string)), DECIMAL)
+    return val(F.coalesce(v_dec(t), wide, v_bool(t).cast("int").cast("decimal(38,10)"), string), DECIMAL)
 
 
 @named
@@ -549,7 +646,7 @@ def to_boolean(t: Column) -> Column:
 @named
 def to_string(t: Column, name: str = "string") -> Column:
     lex = {"string": t["lex"], "normalizedString": F.translate(t["lex"], "\t\n\r", "   "), "token": F.trim(F.regexp_replace(t["lex"], r"[ \t\n\r]+", " "))}[name]
-    return F.when(t["kind"] != BLANK, lit(lex, XSD + name))
+    return val(F.when(t["kind"] != BLANK, lex), XSD + name)
 
 
 def _retyped(t: Column, dt: str, value, *also: Column) -> Column:
@@ -564,9 +661,13 @@ def to_datetime(t: Column) -> Column:
 
 @named
 def to_date(t: Column) -> Column:
+    if isinstance(t, Val) and t.text is None and t.dt == DATETIME:
+        return val(F.date_from_unix_date(_div(us_of(t.raw, t.ntz), 86_400_000_000).cast("int")), DATE)
     return _retyped(t, DATE, v_date, F.when(is_literal_of(t, DATETIME), F.substring(t["lex"], 1, 10)))
 
 
 @named
 def to_time(t: Column) -> Column:
+    if isinstance(t, Val) and t.text is None and t.dt == DATETIME:
+        return val(F.pmod(us_of(t.raw, t.ntz), F.lit(86_400_000_000)), TIME)
     return _retyped(t, TIME, v_time, F.when(is_literal_of(t, DATETIME), F.substring_index(t["lex"], "T", -1)))

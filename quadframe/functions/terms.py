@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,18 +32,84 @@ def plain(kind: int, lex, dt="", lang="") -> Column:
     return F.struct(F.lit(kind).cast("tinyint").alias("kind"), _col(lex).cast("string").alias("lex"), _col(dt).alias("dt"), _col(lang).alias("lang"))
 
 
-#: An argument that prints longer is named once instead of being copied to each place that uses it.
+class Val:
+    """A term whose kind and datatype are known when the query is built, held as its plain value; null is unbound or an error.
+
+    Functions choose the branch for it at once, and its text is made only where a query shows or compares text. raw holds
+    integers and decimals as such, booleans, timestamps, dates, times and durations in microseconds, else characters; IRIs
+    and blank nodes what follows their prefix. text: the lexical form of a constant that isn't written as raw would be.
+    """
+
+    __slots__ = ("kind", "dt", "raw", "sure", "prefix", "text", "ntz", "const")
+
+    def __init__(self, kind: int, dt: str, raw: Column, sure: bool = False, prefix: str = "", text: str | None = None, ntz: bool = False, const: str | None = None):
+        self.kind, self.dt, self.raw, self.sure, self.prefix, self.text, self.ntz, self.const = kind, dt, raw, sure, prefix, text, ntz, const
+
+    @property
+    def level(self) -> int | None:
+        return LEVELS.get(self.dt) if self.kind == LITERAL else None
+
+    @property
+    def lex(self) -> Column:
+        if self.text is not None:
+            return F.when(self.raw.isNotNull(), self.text)
+        if self.kind != LITERAL:
+            return F.concat(F.lit(self.prefix), self.raw.cast("string")) if self.prefix else self.raw.cast("string")
+        if self.dt == DATETIME:
+            return datetime_text(self.raw, self.ntz)
+        spell = {1: decimal_text, 2: lambda x: double_text(x.cast("float")), 3: double_text}.get(self.level) or _SPELL.get(self.dt)
+        return spell(self.raw) if spell else self.raw.cast("string")
+
+    @property
+    def column(self) -> Column:
+        made = plain(self.kind, self.lex, self.dt)
+        return made if self.sure else F.when(self.raw.isNotNull(), made)
+
+    def __getitem__(self, part: str) -> Column:
+        if part == "lex":
+            return self.lex
+        known = {"kind": F.lit(self.kind).cast("tinyint"), "dt": F.lit(self.dt), "lang": F.lit("")}[part]
+        return known if self.sure else F.when(self.raw.isNotNull(), known)
+
+    def isNull(self) -> Column:  # noqa: N802
+        return self.raw.isNull()
+
+    def isNotNull(self) -> Column:  # noqa: N802
+        return self.raw.isNotNull()
+
+    def alias(self, name: str) -> Column:
+        return self.column.alias(name)
+
+
+#: Level of promotion by numeric type: integer, decimal, float, double.
+LEVELS = {**dict.fromkeys(INTEGERS, 0), DECIMAL: 1, FLOAT: 2, DOUBLE: 3}
+
+
+def val(raw: Column, dt: str) -> Val:
+    return Val(LITERAL, dt, raw)
+
+
+def col(x) -> Column:
+    """A term as a struct column."""
+    return x.column if isinstance(x, Val) else x
+
+
+def null_of(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+#: A term without a known type prints longer than this if it is worth naming.
 _LONG = 200
 
 
 def named(f):
-    """Binds long column arguments of f, so that nested expressions grow in proportion."""
+    """Binds long arguments of f that have no known type, so that nested expressions grow in proportion."""
 
     @wraps(f)
     def call(*args, **options):
         for k, x in enumerate(args):
             if isinstance(x, Column) and len(str(x)) > _LONG:
-                rest = lambda v, k=k: call(*args[:k], v, *args[k + 1 :], **options)
+                rest = lambda v, k=k: col(call(*args[:k], v, *args[k + 1 :], **options))
                 return F.get(F.transform(F.array(x), lambda v: rest(v)), F.lit(0))
         return f(*args, **options)
 
@@ -54,6 +120,52 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def decimal_text(x: Column) -> Column:
+    return F.regexp_replace(x.cast("decimal(38,10)").cast("string"), r"\.?0+\z", "")
+
+
+def double_text(x: Column) -> Column:
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "INF").when(x == float("-inf"), "-INF").otherwise(x.cast("string"))
+
+
+def us_of(raw: Column, ntz: bool) -> Column:
+    """Microseconds since 1970 of an instant, or of a time of day and date that stands for UTC."""
+    if not ntz:
+        return F.unix_micros(raw)
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    return F.unix_micros((raw if zone in ("UTC", "Etc/UTC", "GMT", "Z") else F.convert_timezone(F.lit("UTC"), F.lit(zone), raw)).cast("timestamp"))
+
+
+def _clock_text(us: Column) -> Column:
+    rest = F.pmod(us, F.lit(86_400_000_000))
+    return F.concat(F.format_string("%02d:%02d:%02d.%06d", F.floor(rest / 3_600_000_000), F.floor(F.pmod(rest, F.lit(3_600_000_000)) / 60_000_000), F.floor(F.pmod(rest, F.lit(60_000_000)) / 1_000_000), F.pmod(rest, F.lit(1_000_000))), F.lit("Z"))
+
+
+def datetime_text(raw: Column, ntz: bool = False) -> Column:
+    if not ntz:
+        raw = F.to_utc_timestamp(raw, F.current_timezone())
+    return F.concat(F.date_format(raw, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
+def duration_text(us: Column) -> Column:
+    a = F.abs(us)
+    days, rest = F.floor(a / 86_400_000_000).cast("long"), F.pmod(a, F.lit(86_400_000_000))
+    h, m = F.floor(rest / 3_600_000_000).cast("long"), F.floor(F.pmod(rest, F.lit(3_600_000_000)) / 60_000_000).cast("long")
+    s = F.pmod(rest, F.lit(60_000_000)).cast("decimal(20,6)") / F.lit(1_000_000).cast("decimal(10,0)")
+    unit = lambda x, u: F.when(x == 0, "").otherwise(F.concat(x.cast("string"), F.lit(u)))
+    clock = F.concat(unit(h, "H"), unit(m, "M"), F.when(s == 0, "").otherwise(F.concat(decimal_text(s), F.lit("S"))))
+    body = F.concat(unit(days, "D"), F.when(clock == "", "").otherwise(F.concat(F.lit("T"), clock)))
+    return F.when(us == 0, "PT0S").otherwise(F.concat(F.when(us < 0, "-P").otherwise("P"), body))
+
+
+_SPELL = {
+    BOOLEAN: lambda x: F.when(x, "true").when(~x, "false"),
+    DATE: lambda x: F.date_format(x, "yyyy-MM-dd"),
+    TIME: _clock_text,
+    DURATION: duration_text,
+}
+
+
 def term(kind: int, lex, dt="", lang="") -> Column:
     """A term, or null where its lexical form, datatype or language is null."""
     lex, dt, lang = _col(lex).cast("string"), _col(dt), _col(lang)
@@ -87,11 +199,36 @@ def default_graph() -> Column:
 UNBOUND = lambda: F.lit(None).cast(TERM)
 
 
-def is_literal_of(t: Column, *types: str) -> Column:
+def is_literal_of(t, *types: str) -> Column:
+    if isinstance(t, Val):
+        known = F.lit(t.kind == LITERAL and t.dt in types)
+        return known if t.sure else F.when(t.raw.isNotNull(), known)
     return (t["kind"] == LITERAL) & t["dt"].isin(*types)
 
 
-@named
+def typed(kind: str, of):
+    """f(t) for terms of unknown type; of(t) gives a known one's value, or None where it has none of this type."""
+
+    def wrap(f):
+        general = named(f)
+
+        @wraps(f)
+        def call(t):
+            if not isinstance(t, Val):
+                return general(t)
+            known = of(t)
+            return null_of(kind) if known is None else known
+
+        return call
+
+    return wrap
+
+
+def _of_type(*types: str):
+    return lambda t: t.raw if t.kind == LITERAL and t.dt in types else None
+
+
+@typed("int", lambda t: None if t.level is None else F.when(t.raw.isNotNull(), t.level))
 def level(t: Column) -> Column:
     """0 integer, 1 decimal, 2 float, 3 double, else null."""
     dt = t["dt"]
@@ -103,12 +240,17 @@ def _lexical(t: Column, pattern: str) -> Column:
     return F.when(t["lex"].rlike(pattern), t["lex"])
 
 
-@named
+@typed("decimal(38,0)", lambda t: t.raw.cast("decimal(38,0)") if t.level == 0 else None)
 def v_int(t: Column) -> Column:
     return F.when(level(t) == 0, _lexical(t, r"\A[+-]?[0-9]+\z").try_cast("decimal(38,0)"))
 
 
-@named
+def v_long(t) -> Column:
+    """An integer as a long."""
+    return t.raw.cast("long") if isinstance(t, Val) and t.level == 0 else v_int(t).cast("long")
+
+
+@typed("decimal(38,10)", lambda t: t.raw.cast("decimal(38,10)") if t.level in (0, 1) else None)
 def v_dec(t: Column) -> Column:
     """Integers and decimals."""
     return F.when(level(t) <= 1, _lexical(t, r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z").try_cast("decimal(38,10)"))
@@ -120,29 +262,40 @@ def double_of(lex: Column) -> Column:
     return F.coalesce(named, F.when(lex.rlike(r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), lex).try_cast("double"))
 
 
-@named
+def _known_double(t: Val) -> Column | None:
+    if t.level is None:
+        return None
+    return t.raw.cast("float").cast("double") if t.level == 2 else t.raw.cast("double")
+
+
+@typed("double", _known_double)
 def v_dbl(t: Column) -> Column:
     """Any numeric; floats at their own precision."""
     v = double_of(t["lex"])
     return F.when(level(t) == 2, v.cast("float").cast("double")).when(level(t).isNotNull(), v)
 
 
-@named
+@typed("boolean", _of_type(BOOLEAN))
 def v_bool(t: Column) -> Column:
     return F.when(is_literal_of(t, BOOLEAN), F.when(t["lex"].isin("true", "1"), True).when(t["lex"].isin("false", "0"), False))
 
 
-@named
+@typed("timestamp", lambda t: None if t.dt != DATETIME else F.timestamp_micros(us_of(t.raw, True)) if t.ntz else t.raw)
 def v_ts(t: Column) -> Column:
     return F.when(is_literal_of(t, DATETIME), _lexical(t, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?\z").try_cast("timestamp"))
 
 
-@named
+def v_us(t) -> Column:
+    """A dateTime in microseconds since 1970."""
+    return us_of(t.raw, t.ntz) if isinstance(t, Val) and t.dt == DATETIME else F.unix_micros(v_ts(t))
+
+
+@typed("date", _of_type(DATE))
 def v_date(t: Column) -> Column:
     return F.when(is_literal_of(t, DATE), F.substring(_lexical(t, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})?\z"), 1, 10).try_cast("date"))
 
 
-@named
+@typed("long", _of_type(TIME))
 def v_time(t: Column) -> Column:
     """Microseconds since midnight UTC."""
     ts = F.concat(F.lit("1970-01-01T"), _lexical(t, r"\A[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?\z")).try_cast("timestamp")
@@ -152,7 +305,7 @@ def v_time(t: Column) -> Column:
 _DURATION = r"\A(-?)P(?:([0-9]+)D)?(?:T(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?)?\z"
 
 
-@named
+@typed("long", _of_type(DURATION))
 def v_dur(t: Column) -> Column:
     """A dayTimeDuration in microseconds."""
     part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t["lex"], _DURATION, k), F.lit("")).try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)"))
@@ -162,15 +315,22 @@ def v_dur(t: Column) -> Column:
     return F.when(is_literal_of(t, DURATION) & good, (seconds * 1_000_000).try_cast("long") * sign)
 
 
-@named
-def key(t: Column) -> Column:
+def key(t) -> Column:
     """One string for each term, for joins of materialised tables."""
     return F.concat_ws("|", t["kind"].cast("string"), t["dt"], t["lang"], t["lex"])
 
 
-@named
-def order_key(t: Column) -> Column:
+def order_key(t) -> Column:
     """Orders unbound, blank nodes, IRIs, literals; numbers by value, then dates, then the rest; ties by term."""
+    if not isinstance(t, Val):
+        return _order_key(t)
+    if t.kind == LITERAL and t.text is None:  # one type: its values have this order
+        return F.struct(t.raw.isNotNull().alias("bound"), t.raw.alias("value"))
+    return F.struct(t.raw.isNotNull().alias("bound"), t.lex.alias("value"))
+
+
+@named
+def _order_key(t: Column) -> Column:
     rank = F.when(t.isNull(), 0).when(t["kind"] == BLANK, 1).when(t["kind"] == IRI, 2).otherwise(3)
     kind = F.when(v_dbl(t).isNotNull(), 0).when(v_bool(t).isNotNull(), 1).when(v_ts(t).isNotNull(), 2).when(v_date(t).isNotNull(), 3).otherwise(4)
     fine = F.coalesce(v_int(t).cast("decimal(38,0)"), F.floor(v_dec(t)).cast("decimal(38,0)"))

@@ -11,16 +11,25 @@ from ..sources.mapping import Const, Quads
 from ..sources.scratch import checkpointed
 from .patterns import Solutions, _name
 
-#: A path: from quads and a depth bound to edges.
-Path = Callable[[Quads, "int | None"], DataFrame]
+#: A path: from quads, a depth bound, and a constant source or destination or None, to edges between such ends.
+Path = Callable[..., DataFrame]
+
+
+def _ends(edges: DataFrame, src: Const | None, dst: Const | None) -> DataFrame:
+    for name, x in (("src", src), ("dst", dst)):
+        edges = edges if x is None else edges.filter(F.col(name) == x.struct)
+    return edges
 
 
 def link(p: Const) -> Path:
-    return lambda q, _: q.scan("?s", p, "?o").select(F.col("s").alias("src"), F.col("o").alias("dst"))
+    def edges(q, _, src=None, dst=None):
+        return q.scan(src or "?s", p, dst or "?o").select(F.col("s").alias("src"), F.col("o").alias("dst"))
+
+    return edges
 
 
 def inv(path: Path) -> Path:
-    return lambda q, d: path(q, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return lambda q, d, src=None, dst=None: path(q, d, dst, src).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def _step(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -29,20 +38,22 @@ def _step(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def seq(*paths: Path) -> Path:
-    def edges(q, d):
-        out = paths[0](q, d)
-        for p in paths[1:]:
-            out = _step(out, p(q, d))
+    def edges(q, d, src=None, dst=None):
+        last = len(paths) - 1
+        out = None
+        for k, p in enumerate(paths):
+            here = p(q, d, src if k == 0 else None, dst if k == last else None)
+            out = here if out is None else _step(out, here)
         return out
 
     return edges
 
 
 def alt(*paths: Path) -> Path:
-    def edges(q, d):
-        out = paths[0](q, d)
+    def edges(q, d, src=None, dst=None):
+        out = paths[0](q, d, src, dst)
         for p in paths[1:]:
-            out = out.unionByName(p(q, d))
+            out = out.unionByName(p(q, d, src, dst))
         return out
 
     return edges
@@ -51,43 +62,52 @@ def alt(*paths: Path) -> Path:
 def nps(*predicates: Const) -> Path:
     """Edges whose predicate is none of these."""
 
-    def edges(q, _):
+    def edges(q, _, src=None, dst=None):
         other = ~F.col("p.lex").isin(*[p.lex for p in predicates])
-        return q.scan("?s", "?p", "?o").filter(other).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        return q.scan(src or "?s", "?p", dst or "?o").filter(other).select(F.col("s").alias("src"), F.col("o").alias("dst"))
 
     return edges
 
 
-def nodes(q: Quads) -> DataFrame:
-    """(src, dst): each subject and object of the graph with itself."""
+def nodes(q: Quads, src: Const | None = None, dst: Const | None = None) -> DataFrame:
+    """(src, dst): each subject and object of the graph with itself; a constant end, in the graph or not, with itself."""
+    end = src or dst
+    if end is not None:
+        spark = (q.df if q.df is not None else q.tables[0].df).sparkSession
+        return _ends(spark.range(1).select(end.struct.alias("src"), end.struct.alias("dst")), src, dst)
     all_ = q.scan("?s", "?p", "?o")
     each = all_.select(F.explode(F.array("s", "o")).alias("src")).distinct()
     return each.select("src", F.col("src").alias("dst"))
 
 
 def opt(path: Path) -> Path:
-    return lambda q, d: path(q, d).unionByName(nodes(q)).distinct()
+    return lambda q, d, src=None, dst=None: path(q, d, src, dst).unionByName(nodes(q, src, dst)).distinct()
 
 
 def plus(path: Path, max_depth: int | str | None = "default") -> Path:
-    """Distinct pairs over 1 to max_depth steps; None goes on until nothing is new."""
+    """Distinct pairs over 1 to max_depth steps; None goes on until nothing is new.
+
+    A constant end bounds the walk: it starts there, and only what it reaches is ever kept.
+    """
     if isinstance(max_depth, int) and max_depth < 1:
         raise ValueError("one or more steps need a depth of at least 1")
 
-    def edges(q, d):
+    def edges(q, d, src=None, dst=None):
+        if src is None and dst is not None:
+            return inv(plus(inv(path), max_depth))(q, d, None, dst)
         most = d if max_depth == "default" else max_depth
+        if most == 1:
+            return path(q, d, src, dst).distinct()
         step = checkpointed(path(q, d).distinct())
-        reached = frontier = step
+        reached = frontier = step if src is None else checkpointed(path(q, d, src).distinct())
         depth = 1
-        while most is None or depth < most:
+        while (most is None or depth < most) and not frontier.isEmpty():
             fresh = _step(frontier, step).distinct().join(reached, ["src", "dst"], "left_anti")
             # Each round is cut off, so that plans don't grow, and ends the loop when it is empty.
             frontier = checkpointed(fresh)
-            if frontier.isEmpty():
-                break
             reached = reached.unionByName(frontier)
             depth += 1
-        return reached
+        return _ends(reached, None, dst)
 
     return edges
 
@@ -95,30 +115,25 @@ def plus(path: Path, max_depth: int | str | None = "default") -> Path:
 def star(path: Path, max_depth: int | str | None = "default") -> Path:
     """plus() and no step at all; max_depth 0 is no step only."""
     if max_depth == 0:
-        return lambda q, _: nodes(q)
-    return lambda q, d: plus(path, max_depth)(q, d).unionByName(nodes(q)).distinct()
+        return nothing()
+    return lambda q, d, src=None, dst=None: plus(path, max_depth)(q, d, src, dst).unionByName(nodes(q, src, dst)).distinct()
 
 
 def nothing() -> Path:
     """The step of length zero."""
-    return lambda q, _: nodes(q)
+    return lambda q, _, src=None, dst=None: nodes(q, src, dst)
 
 
-def path(quads: Quads, subject, expr: Path, obj, max_depth: int | None = 4, zero: bool = False) -> Solutions:
-    """Pairs that expr connects. zero: expr may have length zero, so a constant end matches itself even off the graph."""
+def path(quads: Quads, subject, expr: Path, obj, max_depth: int | None = 4) -> Solutions:
+    """Pairs that expr connects. A constant end is part of the walk, and a step of length zero leads from it to itself."""
     if max_depth is not None and max_depth < 1:
         raise ValueError("max_depth is at least 1")
-    edges = expr(quads, max_depth)
-    fixed = [x for x in (subject, obj) if isinstance(x, Const)]
-    if zero and fixed:
-        spark = edges.sparkSession
-        ends = spark.range(1).select(fixed[0].column.alias("src"), fixed[0].column.alias("dst"))
-        edges = edges.unionByName(ends).distinct()
+    edges = expr(quads, max_depth, *[x if isinstance(x, Const) else None for x in (subject, obj)])
     names: dict[str, str] = {}
     for place, x in (("src", subject), ("dst", obj)):
         if isinstance(x, Const):
-            edges = edges.filter(F.col(place) == x.column)
-        elif (name := _name(x)) in names:
+            continue
+        if (name := _name(x)) in names:
             edges = edges.filter(F.col(names[name]) == F.col(place))
         else:
             names[name] = place

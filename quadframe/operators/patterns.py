@@ -1,14 +1,18 @@
 """Solutions of graph patterns, and the operators between them.
 
-A solution is a row with a term column for each variable; unbound is null. Solutions know which variables are bound in
-every row (certain) and which may not be (maybe). Joins on certain variables are equi-joins. On a variable that may be
-unbound the sides are split by which such variables are bound; each pair of parts is an equi-join again, and no pair of
-rows is ever compared by a disjunction.
+A solution is a row with a column for each variable; unbound is null. A variable whose terms all have one type has a
+shape, and its column holds the plain value: a key, a number, a timestamp. Other variables hold terms as structs. Joins of
+equal shapes compare plain values.
+
+Solutions know which variables are bound in every row (certain) and which may not be (maybe). Where sides share a certain
+variable, a join is one equi-join on those, and what may be unbound is a condition on the pairs that it finds. Without one
+the sides are split by which variables are bound, and each pair of parts is an equi-join again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import chain, combinations
 
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
+from ..functions.expr import same_term
 from ..sources.mapping import Const, Quads
 
 HIDDEN = "__"
@@ -25,78 +30,126 @@ def _subsets(names: Sequence[str]):
     return chain.from_iterable(combinations(names, k) for k in range(len(names) + 1))
 
 
+@dataclass(frozen=True)
+class Shape:
+    """The one type of a variable's terms; sql is the type of the plain values."""
+
+    kind: int
+    dt: str
+    prefix: str
+    sql: str
+
+
 class Solutions:
-    def __init__(self, df: DataFrame, certain: set[str], maybe: set[str] = frozenset()):
+    def __init__(self, df: DataFrame, certain: set[str], maybe: set[str] = frozenset(), shapes: dict[str, Shape] | None = None):
         self.df, self.certain, self.maybe = df, set(certain), set(maybe)
+        self.shapes = {n: s for n, s in (shapes or {}).items() if n in self.certain or n in self.maybe}
 
     @property
     def variables(self) -> list[str]:
         return sorted(self.certain | self.maybe)
 
-    def __getitem__(self, name: str) -> Column:
-        """The column of a variable; null for one that isn't bound here."""
-        return F.col(f"`{name}`") if name in self.certain or name in self.maybe else t.UNBOUND()
+    def __getitem__(self, name: str) -> t.Val | Column:
+        """The term of a variable; null for one that isn't bound here."""
+        if name not in self.certain and name not in self.maybe:
+            return t.UNBOUND()
+        shape = self.shapes.get(name)
+        if shape is None:
+            return F.col(f"`{name}`")
+        return t.Val(shape.kind, shape.dt, F.col(f"`{name}`"), name in self.certain, shape.prefix, ntz=shape.sql == "timestamp_ntz")
+
+    def _with(self, df: DataFrame, certain=None, maybe=None) -> Solutions:
+        return Solutions(df, self.certain if certain is None else certain, self.maybe if maybe is None else maybe, self.shapes)
+
+    def loosened(self, names: Sequence[str]) -> Solutions:
+        """These variables as structs."""
+        names = [n for n in names if n in self.shapes]
+        if not names:
+            return self
+        df = self.df.withColumns({n: self[n].column for n in names})
+        return Solutions(df, self.certain, self.maybe, {n: s for n, s in self.shapes.items() if n not in names})
+
+    def terms(self) -> DataFrame:
+        """All variables as structs."""
+        return self.loosened(self.variables).df.select(*self.variables)
 
     # Row operators
 
     def filter(self, condition: Column) -> Solutions:
         """Rows whose condition is true; errors drop a row."""
-        return Solutions(self.df.filter(condition), self.certain, self.maybe)
+        return self._with(self.df.filter(condition))
 
-    def bind(self, name: str, value: Column | Const) -> Solutions:
+    def bind(self, name: str, value: t.Val | Column | Const) -> Solutions:
         """A new variable; unbound where the value is an error."""
         if name in self.certain or name in self.maybe:
             raise ValueError(f"{name} is bound already")
         constant = isinstance(value, Const)
-        df = self.df.withColumn(name, value.column if constant else value)
-        return Solutions(df, self.certain | ({name} if constant else set()), self.maybe | (set() if constant else {name}))
+        value = value.column if constant else value
+        known = isinstance(value, t.Val) and value.text is None
+        df = self.df.withColumn(name, value.raw if known else t.col(value))
+        shapes = {**self.shapes, name: Shape(value.kind, value.dt, value.prefix, dict(df.dtypes)[name])} if known else self.shapes
+        return Solutions(df, self.certain | ({name} if constant else set()), self.maybe | (set() if constant else {name}), shapes)
 
     # Between solutions
 
-    def _parts(self, names: Sequence[str]):
-        """(bound names, rows) for each way that names can be bound."""
-        names = [n for n in names if n in self.maybe]
-        for bound in _subsets(names):
-            rows = self.df
-            for n in names:
-                rows = rows.filter(self[n].isNotNull() if n in bound else self[n].isNull())
-            yield set(bound), rows
+    def _aligned(self, other: Solutions) -> tuple[Solutions, Solutions]:
+        """Both with the same shapes of shared variables."""
+        differ = [n for n in set(self.variables) & set(other.variables) if self.shapes.get(n) != other.shapes.get(n)]
+        return self.loosened(differ), other.loosened(differ)
 
     def _join(self, other: Solutions, at_least: int = 0) -> DataFrame | None:
-        """All compatible pairs, merged, that have at least so many variables bound on both sides."""
+        """All compatible pairs, merged, of aligned sides that have at least so many variables bound on both sides."""
         shared = sorted(set(self.variables) & set(other.variables))
         unsure = [n for n in shared if n in self.maybe or n in other.maybe]
+        sure = [n for n in shared if n not in unsure]
+        only = [n for n in other.variables if n not in shared]
+        right = other.df.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}") for n in other.variables])
+        merged = lambda on: [F.coalesce(F.col(f"`{n}`"), F.col(f"`{HIDDEN}r_{n}`")).alias(n) if n in shared and n not in on else F.col(f"`{n}`") for n in self.variables]
+        added = [F.col(f"`{HIDDEN}r_{n}`").alias(n) for n in only]
+        if sure and at_least <= len(sure):
+            fits = [self.df[f"`{n}`"] == right[f"{HIDDEN}r_{n}"] for n in sure]
+            fits += [self.df[f"`{n}`"].isNull() | right[f"{HIDDEN}r_{n}"].isNull() | (self.df[f"`{n}`"] == right[f"{HIDDEN}r_{n}"]) for n in unsure]
+            return self.df.join(right, reduce(lambda a, b: a & b, fits)).select(*merged(sure), *added)
         out = None
         for mine, left in self._parts(unsure):
-            for theirs, right in other._parts(unsure):
+            for theirs, part in other._parts(unsure):
                 on = [n for n in shared if (n in self.certain or n in mine) and (n in other.certain or n in theirs)]
                 if len(on) < at_least:
                     continue
-                only = [n for n in other.variables if n not in shared]
-                right_ = right.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}") for n in other.variables])
-                same = reduce(lambda a, b: a & b, [left[n] == right_[f"{HIDDEN}r_{n}"] for n in on]) if on else None
-                pairs = left.crossJoin(right_) if same is None else left.join(right_, same)
-                merged = [F.coalesce(F.col(f"`{n}`"), F.col(f"`{HIDDEN}r_{n}`")).alias(n) if n in shared and n not in on else F.col(f"`{n}`") for n in self.variables]
-                got = pairs.select(*merged, *[F.col(f"`{HIDDEN}r_{n}`").alias(n) for n in only])
+                right = part.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}") for n in other.variables])
+                same = reduce(lambda a, b: a & b, [left[f"`{n}`"] == right[f"{HIDDEN}r_{n}"] for n in on]) if on else None
+                pairs = left.crossJoin(right) if same is None else left.join(right, same)
+                got = pairs.select(*merged(on), *added)
                 out = got if out is None else out.unionByName(got)
         return out
 
+    def _parts(self, names: Sequence[str]):
+        """(bound names, rows) for each way that names can be bound."""
+        names = [n for n in names if n in self.maybe]
+        for bound in _subsets(names):
+            rows = self.df
+            for n in names:
+                rows = rows.filter(F.col(f"`{n}`").isNotNull() if n in bound else F.col(f"`{n}`").isNull())
+            yield set(bound), rows
+
     def join(self, other: Solutions) -> Solutions:
-        certain = self.certain | other.certain
-        return Solutions(self._join(other), certain, (self.maybe | other.maybe) - certain)
+        a, b = self._aligned(other)
+        certain = a.certain | b.certain
+        return Solutions(a._join(b), certain, (a.maybe | b.maybe) - certain, {**a.shapes, **b.shapes})
 
     def union(self, *others: Solutions) -> Solutions:
         """All rows of all branches; a variable that a branch lacks is unbound there."""
         out = self
         for o in others:
-            certain = out.certain & o.certain
-            df = out.df.select(*out.variables).unionByName(o.df.select(*o.variables), allowMissingColumns=True)
-            out = Solutions(df, certain, (set(out.variables) | set(o.variables)) - certain)
+            a, b = out._aligned(o)
+            certain = a.certain & b.certain
+            df = a.df.select(*a.variables).unionByName(b.df.select(*b.variables), allowMissingColumns=True)
+            out = Solutions(df, certain, (set(a.variables) | set(b.variables)) - certain, {**a.shapes, **b.shapes})
         return out
 
     def _same_row(self, other: DataFrame) -> tuple[DataFrame, Column]:
         renamed = other.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}m_{n}") for n in self.variables])
-        equal = [self.df[n] == renamed[f"{HIDDEN}m_{n}"] if n in self.certain else self.df[n].eqNullSafe(renamed[f"{HIDDEN}m_{n}"]) for n in self.variables]
+        equal = [self.df[f"`{n}`"] == renamed[f"{HIDDEN}m_{n}"] if n in self.certain else self.df[f"`{n}`"].eqNullSafe(renamed[f"{HIDDEN}m_{n}"]) for n in self.variables]
         return renamed, reduce(lambda a, b: a & b, equal, F.lit(True))
 
     def _sure(self, other: Solutions) -> list[str] | None:
@@ -104,42 +157,46 @@ class Solutions:
         shared = sorted(set(self.variables) & set(other.variables))
         return shared if all(n in self.certain and n in other.certain for n in shared) else None
 
+    def _tagged(self) -> Solutions:
+        # Equal rows have equal partners, so rows can stand for themselves when the unmatched are found.
+        df = self.df.select(*[f"`{n}`" for n in self.variables], F.struct(*[f"`{n}`" for n in self.variables]).alias(f"{HIDDEN}row"))
+        return Solutions(df, self.certain | {f"{HIDDEN}row"}, self.maybe, self.shapes)
+
     def optional(self, other: Solutions, condition: Callable[[Solutions], Column] | None = None) -> Solutions:
         """Left join; condition sees the variables of both sides. A side without new variables or condition changes nothing."""
+        self, other = self._aligned(other)
         new = [n for n in other.variables if n not in self.variables]
-        if not new and condition is None and self._sure(other) is not None and other.certain <= self.certain and getattr(other, "is_set", False):
-            return self
         maybe = self.maybe | set(new) | {n for n in other.variables if n in self.maybe}
+        shapes = {**self.shapes, **other.shapes}
         shared = self._sure(other)
         if shared:
             right = other.df.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}" if n in shared else n) for n in other.variables])
-            on = reduce(lambda a, b: a & b, [self.df[n] == right[f"{HIDDEN}r_{n}"] for n in shared])
+            on = reduce(lambda a, b: a & b, [self.df[f"`{n}`"] == right[f"{HIDDEN}r_{n}"] for n in shared])
             if condition is not None:
-                on = on & condition(Solutions(self.df, self.certain | other.certain, self.maybe | other.maybe))
-            return Solutions(self.df.join(right, on, "left").select(*self.variables, *new), self.certain, maybe - self.certain)
-        # Equal rows have equal partners, so rows can stand for themselves when the unmatched are found.
-        tagged = Solutions(self.df.select(*self.variables, F.struct(*self.variables).alias(f"{HIDDEN}row")), self.certain | {f"{HIDDEN}row"}, self.maybe)
-        pairs = Solutions(tagged._join(other), tagged.certain | other.certain, tagged.maybe | other.maybe)
+                on = on & condition(Solutions(self.df, self.certain | other.certain, self.maybe | other.maybe, shapes))
+            return Solutions(self.df.join(right, on, "left").select(*[f"`{n}`" for n in (*self.variables, *new)]), self.certain, maybe - self.certain, shapes)
+        tagged = self._tagged()
+        pairs = Solutions(tagged._join(other), tagged.certain | other.certain, tagged.maybe | other.maybe, shapes)
         matched = pairs.df if condition is None else pairs.df.filter(condition(pairs))
         rows, same = self._same_row(matched.select(f"{HIDDEN}row.*").distinct())
         alone = self.df.join(rows, same, "left_anti")
-        out = matched.select(*self.variables, *new).unionByName(alone.select(*self.variables), allowMissingColumns=True)
-        return Solutions(out, self.certain, maybe - self.certain)
+        out = matched.select(*[f"`{n}`" for n in (*self.variables, *new)]).unionByName(alone.select(*[f"`{n}`" for n in self.variables]), allowMissingColumns=True)
+        return Solutions(out, self.certain, maybe - self.certain, shapes)
 
     def _with_partner(self, other: Solutions, how: str, at_least: int = 0) -> Solutions:
+        self, other = self._aligned(other)
         shared = self._sure(other)
         if shared:
-            keys = other.df.select(*shared)
-            return Solutions(self.df.join(keys, shared, how).select(*self.variables), self.certain, self.maybe)
+            keys = other.df.select(*[f"`{n}`" for n in shared])
+            return self._with(self.df.join(keys, shared, how).select(*[f"`{n}`" for n in self.variables]))
         if shared == []:
             some = other.df.limit(1).select(F.lit(1).alias(f"{HIDDEN}one"))
-            return Solutions(self.df.join(F.broadcast(some), F.lit(True), how), self.certain, self.maybe)
-        tagged = Solutions(self.df.select(*self.variables, F.struct(*self.variables).alias(f"{HIDDEN}row")), self.certain | {f"{HIDDEN}row"}, self.maybe)
-        pairs = tagged._join(other, at_least)
+            return self._with(self.df.join(F.broadcast(some), F.lit(True), how))
+        pairs = self._tagged()._join(other, at_least)
         if pairs is None:
-            return self if how == "left_anti" else Solutions(self.df.limit(0), self.certain, self.maybe)
+            return self if how == "left_anti" else self._with(self.df.limit(0))
         rows, same = self._same_row(pairs.select(f"{HIDDEN}row.*").distinct())
-        return Solutions(self.df.join(rows, same, how), self.certain, self.maybe)
+        return self._with(self.df.join(rows, same, how))
 
     def exists(self, other: Solutions) -> Solutions:
         return self._with_partner(other, "left_semi")
@@ -155,7 +212,14 @@ class Solutions:
 
     def exists_flag(self, other: Solutions, name: str) -> Solutions:
         """Whether exists() would keep the row, as a boolean literal to be used in expressions."""
-        has, hasnt = (x.bind(name, Const(t.LITERAL, v, t.BOOLEAN)) for x, v in ((self.exists(other), "true"), (self.not_exists(other), "false")))
+        a, b = self._aligned(other)
+        shared = a._sure(b)
+        if shared:  # each row has at most one partner
+            right = b.df.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}") for n in shared]).distinct().withColumn(f"{HIDDEN}has", F.lit(True))
+            on = reduce(lambda x, y: x & y, [a.df[f"`{n}`"] == right[f"{HIDDEN}r_{n}"] for n in shared])
+            df = a.df.join(right, on, "left").select(*[f"`{n}`" for n in a.variables], F.coalesce(F.col(f"{HIDDEN}has"), F.lit(False)).alias(name))
+            return Solutions(df, a.certain | {name}, a.maybe, {**a.shapes, name: Shape(t.LITERAL, t.BOOLEAN, "", "boolean")})
+        has, hasnt = (x.bind(name, t.val(F.lit(v), t.BOOLEAN)) for x, v in ((a.exists(b), True), (a.not_exists(b), False)))
         return has.union(hasnt)
 
     # What a user reads
@@ -192,25 +256,33 @@ def _pattern(quads: Quads, s, p, o, g) -> Solutions:
     return Solutions(df.select(*[F.col(place).alias(n) for n, place in first.items()]), set(first))
 
 
-def _star(quads: Quads, subject: str, patterns: list[tuple], g) -> Solutions | None:
+def _star(quads: Quads, subject, patterns: list[tuple], g) -> Solutions | None:
     """Patterns about one subject that one scan of a mapped table answers."""
-    tables = {id(x): x for _, p, _ in patterns if (x := quads.table_of(p.lex))}
-    if len(patterns) < 2 or len(tables) != 1 or any(quads.table_of(p.lex) is None for _, p, _ in patterns) or g is not None:
+    table = quads.table_of(patterns[0][1].lex)
+    if table is None or g is not None and g != table.graph:
         return None
-    table = next(iter(tables.values()))
-    df, columns, equal = table.df, {_name(subject): table.subject()}, []
+    df, columns, equal = table.df, {}, []
+    if isinstance(subject, Const):
+        df = df.filter(table.subject_equals(subject))
+    else:
+        columns[_name(subject)] = table.subject_val()
     for _, p, o in patterns:
         obj = table.columns[p.lex]
-        df = df.filter(F.col(obj.column).isNotNull())
+        df = df.filter(F.col(f"`{obj.column}`").isNotNull())
         if isinstance(o, Const):
             df = df.filter(obj.equals(o, table.kinds))
-        elif (name := _name(o)) in columns:
-            equal.append(columns[name] == obj.term())
         else:
-            columns[name] = obj.term()
+            here = obj.val(table.kinds)
+            here = obj.term(table.kinds) if here is None else here
+            if (name := _name(o)) in columns:
+                equal.append(same_term(columns[name], here))
+            else:
+                columns[name] = here
     for e in equal:
         df = df.filter(e)
-    return Solutions(df.select(*[c.alias(n) for n, c in columns.items()]), set(columns))
+    out = df.select(*[(c.raw if isinstance(c, t.Val) else c).alias(n) for n, c in columns.items()])
+    kinds = dict(out.dtypes)
+    return Solutions(out, set(columns), set(), {n: Shape(c.kind, c.dt, c.prefix, kinds[n]) for n, c in columns.items() if isinstance(c, t.Val)})
 
 
 def bgp(quads: Quads, *patterns: tuple, graph=None) -> Solutions:
@@ -220,8 +292,8 @@ def bgp(quads: Quads, *patterns: tuple, graph=None) -> Solutions:
     groups: dict = {}
     for pattern in patterns:
         s, p, _ = pattern
-        fixed = isinstance(p, Const) and not isinstance(s, Const)
-        groups.setdefault((s, id(quads.table_of(p.lex)) if quads.table_of(p.lex) else id(pattern)) if fixed else id(pattern), []).append(pattern)
+        table = quads.table_of(p.lex) if isinstance(p, Const) else None
+        groups.setdefault((s, id(table)) if table else id(pattern), []).append(pattern)
     parts: list[Solutions] = []
     for key, group in groups.items():
         star = _star(quads, key[0], group, graph) if isinstance(key, tuple) else None
@@ -232,9 +304,7 @@ def bgp(quads: Quads, *patterns: tuple, graph=None) -> Solutions:
         nth = next((k for k, x in enumerate(parts) if set(x.variables) & set(out.variables)), 0)
         out = out.join(parts.pop(nth))
     shown = [n for n in out.variables if not n.startswith(HIDDEN)]
-    sol = Solutions(out.df.select(*shown), set(shown)) if shown else out
-    sol.is_set = not any(n.startswith(HIDDEN) for n in out.variables)
-    return sol
+    return Solutions(out.df.select(*[f"`{n}`" for n in shown]), set(shown), set(), out.shapes) if shown else out
 
 
 def graph(quads: Quads, name, *patterns: tuple) -> Solutions:
@@ -244,7 +314,19 @@ def graph(quads: Quads, name, *patterns: tuple) -> Solutions:
 
 def values(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence[Const | None]]) -> Solutions:
     """Inline data; None is unbound."""
-    schema = t.T.StructType([t.T.StructField(n, t.TERM) for n in names])
-    data = [tuple(None if x is None else (x.kind, x.lex, x.dt, x.lang) for x in row) for row in rows]
+    fields, data, shapes = [], [list(row) for row in rows], {}
+    for k, n in enumerate(names):
+        column = [row[k] for row in rows if row[k] is not None]
+        canonical = all(x.kind == t.LITERAL and x.dt in (t.STRING, t.INTEGER) and x.dt == column[0].dt and (x.dt == t.STRING or str(int(x.lex)) == x.lex and abs(int(x.lex)) < 1 << 63) for x in column)
+        if column and canonical:
+            of, sql = (str, "string") if column[0].dt == t.STRING else (int, "bigint")
+            shapes[n] = Shape(t.LITERAL, column[0].dt, "", sql)
+            fields.append(t.T.StructField(n, t.T.StringType() if of is str else t.T.LongType()))
+        else:
+            of = lambda lex: lex
+            fields.append(t.T.StructField(n, t.TERM))
+        for row in data:
+            x = row[k]
+            row[k] = None if x is None else of(x.lex) if n in shapes else (x.kind, x.lex, x.dt, x.lang)
     maybe = {n for k, n in enumerate(names) if any(row[k] is None for row in rows)}
-    return Solutions(spark.createDataFrame(data, schema), set(names) - maybe, maybe)
+    return Solutions(spark.createDataFrame([tuple(r) for r in data], t.T.StructType(fields)), set(names) - maybe, maybe, shapes)

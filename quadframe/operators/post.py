@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from ..functions.expr import _decimal_text, _double_text
-from .patterns import HIDDEN, Solutions
+from ..functions.terms import decimal_text as _decimal_text, double_text as _double_text
+from ..sources.mapping import Const
+from .patterns import HIDDEN, Shape, Solutions
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ def sample(var: str) -> Aggregate:
 
 
 def group_concat(var: str) -> Aggregate:
-    """Lexical forms joined by spaces, in their order."""
+    """Lexical forms joined by spaces, in their order. The result is one string of the group, so groups must fit in a row."""
     return Aggregate("group_concat", var)
 
 
@@ -72,51 +73,63 @@ def is_empty(var: str) -> Aggregate:
     return Aggregate("is_empty", var)
 
 
-def _number(x: Column) -> tuple[Column, Column]:
-    """Widest level of a column of terms, null if one is bound and not a number; and how many are bound."""
-    n = F.count(x)
+def _number(x) -> tuple[Column, Column]:
+    """Widest level of terms, null if one is bound and not a number; and how many are bound."""
+    n = F.count(t.col(x) if not isinstance(x, t.Val) else x.raw)
     return F.when(F.count(t.level(x)) == n, F.coalesce(F.max(t.level(x)), F.lit(0))), n
 
 
-def _value(a: Aggregate, x: Column | None, row: Column) -> Column:
+def _by_level(x, top: Column, **of) -> Column:
+    """The branch of each level that terms can have."""
+    known = x.level if isinstance(x, t.Val) else None
+    out = None
+    for level, made in enumerate(of.values()):
+        if known is None or known == level or level == 0:  # without rows the level is 0
+            out = F.when(top == level, made()) if out is None else out.when(top == level, made())
+    return out
+
+
+def _value(a: Aggregate, x: t.Val | Column | None, row: Column) -> t.Val | Column:
+    plain = x.raw if isinstance(x, t.Val) else x
     if a.kind == "count":
-        counted = row if x is None else x
-        return t.lit(F.count_distinct(counted) if a.distinct else F.count(F.lit(1) if x is None else counted), t.INTEGER)
+        counted = row if x is None else plain
+        return t.val(F.count_distinct(counted) if a.distinct else F.count(F.lit(1) if x is None else counted), t.INTEGER)
     if a.kind == "sum":
-        top, _ = _number(x)
-        whole = F.coalesce(F.try_sum(t.v_int(x)), F.when(F.count(x) == 0, F.lit(0).cast("decimal(38,0)")))
-        return (
-            F.when(top == 0, t.lit(whole.cast("decimal(38,0)"), t.INTEGER))
-            .when(top == 1, t.lit(_decimal_text(F.try_sum(t.v_dec(x))), t.DECIMAL))
-            .when(top == 2, t.lit(_double_text(F.sum(t.v_dbl(x)).cast("float")), t.FLOAT))
-            .when(top == 3, t.lit(_double_text(F.sum(t.v_dbl(x))), t.DOUBLE))
-        )
+        if isinstance(x, t.Val) and x.level == 0:
+            return t.val(F.when(F.count(plain) == 0, F.lit(0)).otherwise(F.try_sum(t.v_int(x))).cast("decimal(38,0)"), t.INTEGER)
+        top, n = _number(x)
+        whole = F.coalesce(F.try_sum(t.v_int(x)), F.when(n == 0, F.lit(0).cast("decimal(38,0)")))
+        return _by_level(
+            x, top,
+            integer=lambda: t.lit(whole.cast("decimal(38,0)"), t.INTEGER), decimal=lambda: t.lit(_decimal_text(F.try_sum(t.v_dec(x))), t.DECIMAL),
+            float=lambda: t.lit(_double_text(F.sum(t.v_dbl(x)).cast("float")), t.FLOAT), double=lambda: t.lit(_double_text(F.sum(t.v_dbl(x))), t.DOUBLE),
+        )
     if a.kind == "avg":
         top, n = _number(x)
-        exact = F.try_divide(F.try_sum(t.v_dec(x).try_cast("decimal(28,10)")), n.cast("decimal(19,0)"))
-        wide = F.sum(t.v_dbl(x)) / n
-        return (
-            F.when(n == 0, t.lit(0))
-            .when(top <= 1, t.lit(_decimal_text(exact), t.DECIMAL))
-            .when(top == 2, t.lit(_double_text(wide.cast("float")), t.FLOAT))
-            .when(top == 3, t.lit(_double_text(wide), t.DOUBLE))
-        )
+        exact = lambda: t.lit(_decimal_text(F.try_divide(F.try_sum(t.v_dec(x).try_cast("decimal(28,10)")), n.cast("decimal(19,0)"))), t.DECIMAL)
+        wide = lambda: F.sum(t.v_dbl(x)) / n
+        levels = _by_level(x, top, integer=exact, decimal=exact, float=lambda: t.lit(_double_text(wide().cast("float")), t.FLOAT), double=lambda: t.lit(_double_text(wide()), t.DOUBLE))
+        return F.when(n == 0, t.lit(0)).otherwise(levels)
     if a.kind in ("min", "max"):
+        if isinstance(x, t.Val) and x.kind == t.LITERAL and x.text is None:
+            return t.Val(x.kind, x.dt, (F.min if a.kind == "min" else F.max)(plain), ntz=x.ntz)
         known = F.when(x.isNotNull(), t.order_key(x))
-        return (F.min_by if a.kind == "min" else F.max_by)(x, known)
+        best = (F.min_by if a.kind == "min" else F.max_by)(plain, known)
+        return t.Val(x.kind, x.dt, best, prefix=x.prefix) if isinstance(x, t.Val) else best
     if a.kind == "sample":
-        return F.any_value(x, ignoreNulls=True)
+        some = F.any_value(plain, ignoreNulls=True)
+        return t.Val(x.kind, x.dt, some, prefix=x.prefix, ntz=x.ntz) if isinstance(x, t.Val) else some
     if a.kind == "group_concat":
-        return t.lit(F.array_join(F.array_sort(F.collect_list(x["lex"])), " "), t.STRING)
+        return t.val(F.array_join(F.array_sort(F.collect_list(x["lex"])), " "), t.STRING)
+    if a.kind == "count_true":
+        return t.val(F.count_if(t.v_bool(x)), t.INTEGER)
     truth = {
         "all_true": lambda: F.coalesce(F.bool_and(t.v_bool(x)), F.lit(True)),
         "any_true": lambda: F.coalesce(F.bool_or(t.v_bool(x)), F.lit(False)),
-        "exists": lambda: F.count(x) > 0,
-        "is_empty": lambda: F.count(x) == 0,
+        "exists": lambda: F.count(plain) > 0,
+        "is_empty": lambda: F.count(plain) == 0,
     }
-    if a.kind == "count_true":
-        return t.lit(F.count_if(t.v_bool(x)), t.INTEGER)
-    return t.lit(F.when(truth[a.kind](), "true").otherwise("false"), t.BOOLEAN)
+    return t.val(truth[a.kind](), t.BOOLEAN)
 
 
 def group(sol: Solutions, keys: Sequence[str] = (), **aggregates: Aggregate) -> Solutions:
@@ -130,12 +143,13 @@ def group(sol: Solutions, keys: Sequence[str] = (), **aggregates: Aggregate) ->
         raise ValueError(f"unknown variables: {sorted(unknown - set(sol.variables))}")
     by = [F.col(f"`{k}`") for k in keys]
     row = F.struct(*[F.col(f"`{v}`") for v in sol.variables]) if sol.variables else F.struct(F.lit(1))
-    pick = lambda a: None if a.var is None else F.col(f"`{a.var}`")
     apart = {n: a for n, a in aggregates.items() if a.distinct and a.kind in ("sum", "avg")}
-    plain = {n: _value(a, pick(a), row).alias(n) for n, a in aggregates.items() if n not in apart}
-    out = sol.df.groupBy(*by).agg(*plain.values()) if plain or keys and not apart else None
+    made = {n: _value(a, None if a.var is None else sol[a.var], row) for n, a in aggregates.items()}
+    raw = {n: (m.raw if isinstance(m, t.Val) else m).alias(n) for n, m in made.items()}
+    plain = [c for n, c in raw.items() if n not in apart]
+    out = sol.df.groupBy(*by).agg(*plain) if plain or keys and not apart else None
     for n, a in apart.items():
-        one = sol.df.select(*by, pick(a)).distinct().groupBy(*by).agg(_value(a, pick(a), row).alias(n))
+        one = sol.df.select(*by, F.col(f"`{a.var}`")).distinct().groupBy(*by).agg(raw[n])
         if out is None:
             out = one
         elif keys:
@@ -146,11 +160,20 @@ def group(sol: Solutions, keys: Sequence[str] = (), **aggregates: Aggregate) ->
             out = out.join(renamed, same[0]).select(*out.columns, n)
         else:  # one row each
             out = out.crossJoin(one)
-    return Solutions(out, set(keys) & sol.certain, set(aggregates) | set(keys) - sol.certain)
+    kinds = dict(out.dtypes)
+    shapes = {k: s for k, s in sol.shapes.items() if k in keys}
+    shapes |= {n: Shape(m.kind, m.dt, m.prefix, kinds[n]) for n, m in made.items() if isinstance(m, t.Val)}
+    return Solutions(out, set(keys) & sol.certain, set(aggregates) | set(keys) - sol.certain, shapes)
 
 
-def order_by(sol: Solutions, *keys: str | tuple[str, str]) -> Solutions:
-    """Keys are variables or (variable, 'asc' or 'desc'); they need not be selected later."""
+def first_rows(sol: Solutions, keys: Sequence[str], n: int, *order: str | tuple[str, str]) -> Solutions:
+    """The first n rows of each group in the order of terms, for aggregates over the beginning of a sequence."""
+    window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*_order(sol, order))
+    df = sol.df.withColumn(f"{HIDDEN}nth", F.row_number().over(window)).filter(F.col(f"{HIDDEN}nth") <= n).drop(f"{HIDDEN}nth")
+    return Solutions(df, sol.certain, sol.maybe, sol.shapes)
+
+
+def _order(sol: Solutions, keys) -> list[Column]:
     columns = []
     for k in keys:
         name, way = (k, "asc") if isinstance(k, str) else k
@@ -158,19 +181,24 @@ def order_by(sol: Solutions, *keys: str | tuple[str, str]) -> Solutions:
             raise ValueError(f"cannot order by unknown variable {name}")
         key = t.order_key(sol[name])
         columns.append(key.desc() if way == "desc" else key.asc())
-    return Solutions(sol.df.orderBy(*columns), sol.certain, sol.maybe)
+    return columns
+
+
+def order_by(sol: Solutions, *keys: str | tuple[str, str]) -> Solutions:
+    """Keys are variables or (variable, 'asc' or 'desc'); they need not be selected later."""
+    return Solutions(sol.df.orderBy(*_order(sol, keys)), sol.certain, sol.maybe, sol.shapes)
 
 
 def limit(sol: Solutions, n: int) -> Solutions:
-    return Solutions(sol.df.limit(n), sol.certain, sol.maybe)
+    return Solutions(sol.df.limit(n), sol.certain, sol.maybe, sol.shapes)
 
 
 def offset(sol: Solutions, n: int) -> Solutions:
-    return Solutions(sol.df.offset(n), sol.certain, sol.maybe)
+    return Solutions(sol.df.offset(n), sol.certain, sol.maybe, sol.shapes)
 
 
 def distinct(sol: Solutions) -> Solutions:
-    return Solutions(sol.df.distinct(), sol.certain, sol.maybe)
+    return Solutions(sol.df.distinct(), sol.certain, sol.maybe, sol.shapes)
 
 
 def reduced(sol: Solutions) -> Solutions:
@@ -181,7 +209,18 @@ def reduced(sol: Solutions) -> Solutions:
 def select(sol: Solutions, *names: str) -> Solutions:
     """Chosen variables, or all that aren't internal; one that isn't in scope is unbound."""
     names = names or tuple(n for n in sol.variables if not n.startswith(HIDDEN))
-    return Solutions(sol.df.select(*[sol[n].alias(n) for n in names]), sol.certain & set(names), set(names) - sol.certain)
+    columns = [(F.col(f"`{n}`") if n in sol.variables else t.UNBOUND()).alias(n) for n in names]
+    return Solutions(sol.df.select(*columns), sol.certain & set(names), set(names) - sol.certain, sol.shapes)
+
+
+def construct(sol: Solutions, *template: tuple) -> DataFrame:
+    """(s, p, o, g): the template's triples for each solution, without those that are unbound, or whose subject is a literal
+    or whose predicate is no IRI."""
+    term = lambda x: x.struct if isinstance(x, Const) else t.col(sol[x.removeprefix("?")])
+    each = F.array(*[F.struct(*[term(x).alias(n) for n, x in zip("spo", triple)]) for triple in template])
+    rows = sol.df.select(F.explode(each).alias("q")).select("q.s", "q.p", "q.o")
+    good = F.col("s.kind").isin(t.IRI, t.BLANK) & (F.col("p.kind") == t.IRI) & F.col("o").isNotNull()
+    return rows.filter(good).distinct().withColumn("g", t.plain(t.DEFAULT_GRAPH, ""))
 
 
 def ask(sol: Solutions) -> DataFrame:
@@ -194,6 +233,7 @@ def disclose(sol: Solutions, names: Sequence[str] | None = None) -> Solutions |
     return ask(sol) if names is not None and not names else select(sol, *(names or ()))
 
 
-def negatives(sol: Solutions, expected: DataFrame) -> DataFrame:
+def negatives(sol: Solutions, expected: Solutions) -> Solutions:
     """Rows of the pattern that an expected result lacks, counting repeats."""
-    return sol.df.select(*expected.columns).exceptAll(expected)
+    a, b = select(sol, *expected.variables)._aligned(expected)
+    return Solutions(a.df.select(*b.variables).exceptAll(b.df.select(*b.variables)), a.certain, a.maybe, a.shapes)

@@ -8,8 +8,10 @@ predicate read all columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +31,33 @@ class Const:
     lang: str = ""
 
     @property
-    def column(self) -> Column:
+    def struct(self) -> Column:
         return t.plain(self.kind, self.lex, self.dt, self.lang)
 
+    @property
+    def column(self) -> t.Val | Column:
+        """Typed where the lexical form is valid for the type, else a struct."""
+        if self.kind in (t.IRI, t.BLANK):
+            return t.Val(self.kind, "", F.lit(self.lex), sure=True, const=self.lex)
+        raw, level = None, t.LEVELS.get(self.dt)
+        if self.kind != t.LITERAL or self.lang:
+            return self.struct
+        if self.dt in t.STRINGS:
+            return t.Val(self.kind, self.dt, F.lit(self.lex), sure=True, const=self.lex)
+        if level == 0 and re.fullmatch(r"[+-]?[0-9]{1,38}", self.lex):
+            raw = F.lit(int(self.lex)) if abs(int(self.lex)) < 1 << 63 else F.lit(Decimal(self.lex))
+        elif level == 1 and re.fullmatch(r"[+-]?([0-9]{1,28}(\.[0-9]{0,10})?|\.[0-9]{1,10})", self.lex):
+            raw = F.lit(Decimal(self.lex))
+        elif level in (2, 3) and re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?INF|NaN", self.lex):
+            raw = F.lit(float(self.lex))
+        elif self.dt == t.BOOLEAN and self.lex in ("true", "1", "false", "0"):
+            raw = F.lit(self.lex in ("true", "1"))
+        elif self.dt in (t.DATETIME, t.DATE, t.TIME, t.DURATION):
+            raw = {t.DATETIME: t.v_ts, t.DATE: t.v_date, t.TIME: t.v_time, t.DURATION: t.v_dur}[self.dt](self.struct)
+        if raw is None:
+            return self.struct
+        return t.Val(self.kind, self.dt, raw, text=self.lex, const=self.lex)
+
 
 def I(name: str) -> Const:  # noqa: E743
     """An IRI; a name without a scheme is in the example name space."""
@@ -55,26 +81,44 @@ class Object:
     dt: str = t.STRING
     lang: str | None = None
 
-    def term(self) -> Column:
-        """The term of a column that isn't null."""
-        c = F.col(self.column)
+    def val(self, kinds: dict[str, str], sure: bool = True) -> t.Val | None:
+        """The column as a typed term; None if terms of the column differ in type."""
+        kind, c = kinds[self.column], F.col(f"`{self.column}`")
+        raw = c.cast("bigint") if kind in ("tinyint", "smallint", "int") else c
         if self.prefix is not None:
-            return t.plain(t.IRI, F.concat(F.lit(self.prefix), c.cast("string")))
+            return t.Val(t.IRI, "", raw, sure, self.prefix)
+        level = t.LEVELS.get(self.dt)
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        fits = (
+            whole if level == 0 else kind == "double" if level == 3 else kind == "float" if level == 2 else kind.startswith("decimal") if level == 1
+            else kind == "string" if self.dt in t.STRINGS else kind in ("timestamp", "timestamp_ntz") if self.dt == t.DATETIME else (self.dt, kind) in ((t.BOOLEAN, "boolean"), (t.DATE, "date"))
+        )
+        return t.Val(t.LITERAL, self.dt, raw, sure, ntz=kind == "timestamp_ntz") if fits and self.lang is None else None
+
+    def term(self, kinds: dict[str, str]) -> Column:
+        """The term of a column that isn't null."""
+        known, c = self.val(kinds), F.col(f"`{self.column}`")
+        if known is not None:
+            return known.column
         if self.lang is not None:
-            return t.plain(t.LITERAL, c, F.when(F.col(self.lang).isNull(), t.STRING).otherwise(t.LANG_STRING), F.coalesce(F.col(self.lang), F.lit("")))
-        if self.dt == t.DATETIME:
-            return t.plain(t.LITERAL, F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")), t.DATETIME)
+            lang = F.col(f"`{self.lang}`")
+            return t.plain(t.LITERAL, c, F.when(lang.isNull(), t.STRING).otherwise(t.LANG_STRING), F.coalesce(lang, F.lit("")))
         return t.plain(t.LITERAL, c, self.dt)
 
     def equals(self, const: Const, kinds: dict[str, str]) -> Column:
         """A condition on the column where that says the same, else on the term."""
-        c, lex = F.col(self.column), const.lex
+        c, lex, known = F.col(f"`{self.column}`"), const.lex, self.val(kinds)
         if self.prefix is not None:
             if const.kind != t.IRI or not lex.startswith(self.prefix):
                 return F.lit(False)
             lex = lex[len(self.prefix) :]
-        elif self.lang is not None or const.kind != t.LITERAL or const.dt != self.dt or self.dt not in (t.STRING, t.INTEGER):
-            return self.term() == const.column
+        elif known is not None and const.kind == t.LITERAL and const.dt == self.dt and isinstance(const.column, t.Val) and self.dt not in t.STRINGS and known.level != 0:
+            # The value may be written in other ways; the first part is what a scan can use.
+            from ..functions.expr import eq
+
+            return eq(known, const.column) & (known.lex == lex)
+        elif known is None or const.kind != t.LITERAL or const.dt != self.dt:
+            return self.term(kinds) == const.struct
         if kinds[self.column] == "string":
             return c == lex
         plain = lex.removeprefix("-")
@@ -83,7 +127,7 @@ class Object:
 
 @dataclass
 class Table:
-    """A table read as quads. key: columns of the subject; unique: whether each subject has one row."""
+    """A table read as quads. key: columns of the subject; unique: whether each subject has one row, as its owner declares."""
 
     df: DataFrame
     name: str
@@ -102,31 +146,41 @@ class Table:
     def graph(self) -> Const:
         return Const(t.IRI, f"{EX}g/{self.name}")
 
-    def subject(self) -> Column:
+    def subject_val(self) -> t.Val:
         if self.blank:
-            return t.plain(t.BLANK, F.concat(F.lit(self.name[0]), F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in self.key]), 256)))
-        return t.plain(t.IRI, F.concat(F.lit(self.prefix), F.concat_ws("/", *[F.col(k).cast("string") for k in self.key])))
+            return t.Val(t.BLANK, "", F.concat(F.lit(self.name[0]), F.sha2(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in self.key]), 256)), sure=True)
+        if len(self.key) == 1:
+            return Object(self.key[0], self.prefix).val(self.kinds)
+        return t.Val(t.IRI, "", F.concat_ws("/", *[F.col(f"`{k}`").cast("string") for k in self.key]), sure=True, prefix=self.prefix)
+
+    def subject(self) -> Column:
+        return self.subject_val().column
 
     def subject_equals(self, const: Const) -> Column:
         if self.blank or len(self.key) > 1:
-            return self.subject() == const.column
+            return self.subject() == const.struct
         return Object(self.key[0], self.prefix).equals(const, self.kinds)
 
     def triples(self, predicate: str) -> DataFrame:
         """(s, p, o, g) of one predicate."""
         o = self.columns[predicate]
-        return self.df.filter(F.col(o.column).isNotNull()).select(self.subject().alias("s"), t.plain(t.IRI, predicate).alias("p"), o.term().alias("o"), self.graph.column.alias("g"))
+        return self.df.filter(F.col(f"`{o.column}`").isNotNull()).select(self.subject().alias("s"), t.plain(t.IRI, predicate).alias("p"), o.term(self.kinds).alias("o"), self.graph.struct.alias("g"))
 
     def all_triples(self) -> DataFrame:
         """(s, p, o, g) of all columns in one scan."""
-        each = F.array(*[F.struct(t.plain(t.IRI, p).alias("p"), F.when(F.col(o.column).isNotNull(), o.term()).alias("o")) for p, o in self.columns.items()])
-        return self.df.select(self.subject().alias("s"), F.explode(each).alias("po"), self.graph.column.alias("g")).select("s", "po.p", "po.o", "g").filter("o is not null")
+        each = F.array(*[F.struct(t.plain(t.IRI, p).alias("p"), F.when(F.col(f"`{o.column}`").isNotNull(), o.term(self.kinds)).alias("o")) for p, o in self.columns.items()])
+        return self.df.select(self.subject().alias("s"), F.explode(each).alias("po"), self.graph.struct.alias("g")).select("s", "po.p", "po.o", "g").filter("o is not null")
 
 
 class Quads:
-    """A quad table (s, p, o, g) or mapped tables. default_graph: 'union' of all graphs, or 'strict'."""
+    """A quad table (s, p, o, g) or mapped tables. default_graph: 'union' of all graphs, or 'strict'.
+
+    triples_differ: declares that no triple of a quad table repeats, in one graph or several; else each union of graphs
+    is made distinct.
+    """
 
-    def __init__(self, source: DataFrame | Sequence[Table], default_graph: str = "union"):
+    def __init__(self, source: DataFrame | Sequence[Table], default_graph: str = "union", triples_differ: bool = False):
+        self.triples_differ = triples_differ
         if default_graph not in ("union", "strict"):
             raise ValueError("default_graph is 'union' or 'strict'")
         self.tables = None if isinstance(source, DataFrame) else list(source)
@@ -148,11 +202,12 @@ class Quads:
             df = self.df.select("s", "p", "o", "g")
             if g is None and self.default_graph == "strict":
                 df = df.filter(F.col("g.kind") == t.DEFAULT_GRAPH)
-            elif g is None:
-                df = df.dropDuplicates(["s", "p", "o"])
             for name, x in zip("spog", (s, p, o, g)):
                 if isinstance(x, Const):
                     df = df.filter((F.col(f"{name}.kind") == x.kind) & (F.col(f"{name}.lex") == x.lex) & (F.col(f"{name}.dt") == x.dt) & (F.col(f"{name}.lang") == x.lang))
+            if g is None and self.default_graph == "union":  # which graph doesn't matter, and isn't carried along
+                df = df.select("s", "p", "o")
+                df = (df if self.triples_differ else df.distinct()).withColumn("g", F.lit(None).cast(t.TERM))
             return df
         parts = []
         for table in self.tables:
@@ -167,7 +222,7 @@ class Quads:
                 parts.append(Table(base, table.name, table.key, table.columns, table.unique, table.blank, table.subject_of).triples(p.lex))
             else:
                 got = Table(base, table.name, table.key, table.columns, table.unique, table.blank, table.subject_of).all_triples()
-                parts.append(got.filter(F.col("o") == o.column) if isinstance(o, Const) else got)
+                parts.append(got.filter(F.col("o") == o.struct) if isinstance(o, Const) else got)
         if not parts:
             spark = self.tables[0].df.sparkSession
             return spark.createDataFrame([], t.QUAD)

@@ -49,7 +49,7 @@ def bag(rows):
 
 
 def got(sol: Solutions):
-    return Counter(frozenset((n, r[n]["lex"]) for n in sol.variables if r[n] is not None) for r in sol.df.collect())
+    return Counter(frozenset((n, r[n]["lex"]) for n in sol.variables if r[n] is not None) for r in sol.terms().collect())
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -106,9 +106,9 @@ def test_paths(spark):
     assert pairs(paths.plus(p), max_depth=None) == {(x, y) for x in "012" for y in "012"}
     assert ("3", "3") in pairs(paths.star(p)) and ("2", "3") not in pairs(paths.star(p))
     assert pairs(paths.seq(paths.star(p, 0), paths.nps(PREDICATES[0]))) == {("2", "3")}
-    assert paths.path(q, I("n9"), paths.star(p), "?o", zero=True).df.count() == 1
-    assert paths.path(q, I("n9"), paths.star(p), I("n9"), zero=True).df.count() == 1
-    assert paths.path(q, a, paths.star(p, 0), b, zero=True).df.count() == 0
+    assert paths.path(q, I("n9"), paths.star(p), "?o").df.count() == 1
+    assert paths.path(q, I("n9"), paths.star(p), I("n9")).df.count() == 1
+    assert paths.path(q, a, paths.star(p, 0), b).df.count() == 0
     with pytest.raises(ValueError):
         paths.plus(p, 0)
     with pytest.raises(ValueError):
@@ -134,17 +134,30 @@ def numbers(spark, *literals):
     ],
 )
 def test_aggregates_are_exact(spark, given, aggregate, want):
-    row = post.group(numbers(spark, *given), n=aggregate).df.first()["n"]
+    row = post.group(numbers(spark, *given), n=aggregate).terms().first()["n"]
     assert row is None if want is None else (row["lex"], row["dt"]) == want
 
 
 def test_empty_group_order_and_slice(spark):
     none = numbers(spark, L(1)).filter(t.F.lit(False))
-    out = post.group(none, n=post.count(), s=post.sum_("v"), a=post.avg("v"), m=post.min_("v")).df.first()
+    out = post.group(none, n=post.count(), s=post.sum_("v"), a=post.avg("v"), m=post.min_("v")).terms().first()
     assert (out["n"]["lex"], out["s"]["lex"], out["a"]["lex"], out["m"]) == ("0", "0", "0", None)
     mixed = numbers(spark, L("b"), L(10), L(9007199254740993), L(9007199254740992), I("x"), None, L("9.5", t.DECIMAL))
-    order = [r["v"] and r["v"]["lex"] for r in post.order_by(mixed, "v").df.collect()]
+    order = [r["v"] and r["v"]["lex"] for r in post.order_by(mixed, "v").terms().collect()]
     assert order == [None, I("x").lex, "9.5", "10", "9007199254740992", "9007199254740993", "b"]
-    assert [r["v"]["lex"] for r in post.limit(post.offset(post.order_by(numbers(spark, L(30), L(10), L(20)), "v"), 1), 1).df.collect()] == ["20"]
+    assert [r["v"]["lex"] for r in post.limit(post.offset(post.order_by(numbers(spark, L(30), L(10), L(20)), "v"), 1), 1).terms().collect()] == ["20"]
     with pytest.raises(ValueError):
         post.order_by(mixed, "nothing")
+
+
+def test_known_types_reach_the_scan(spark):
+    from quadframe.plans.tables import quads
+
+    q = quads(spark, "/root/testdata/sf0.001", "orders", "customer")
+    sol = bgp(q, ("?o", I("total"), "?t"), ("?o", I("date"), "?d"), ("?o", I("cust"), "?c"), ("?c", I("customer_name"), "?n"))
+    sol = sol.filter(e.gt(sol["t"], L(400000).column) & e.lt(sol["d"], L("1996-01-01T00:00:00Z", t.DATETIME).column))
+    plan = sol.values(n=None)._jdf.queryExecution().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line or "FileScan" in line]
+    assert any("GreaterThan(o_totalprice,400000.0)" in line and "LessThan(o_orderdate," in line for line in pushed)
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "transform(" not in plan and "lambda" not in physical and "RLIKE" not in physical and "concat" not in physical
