@@ -11,7 +11,7 @@ from ..functions import expr as e
 from ..functions import terms as t
 from ..operators import commit, paths, post
 from ..operators.patterns import Solutions, bgp, graph, values
-from ..sources import nquads
+from ..sources import dataset, nquads, scratch
 from ..sources.mapping import EX, I, L, Quads
 from .tables import quads
 
@@ -84,10 +84,31 @@ def bgp_any_predicate(q):
     return post.group(bgp(q, ("?s", "?p", "?o")), ["p"], n=post.count()).values(p=None, n=whole)
 
 
-@query(f"SELECT '{EX}nation/' || n_nationkey AS s, '{EX}region' AS p, '{EX}region/' || n_regionkey AS o FROM nation WHERE n_nationkey = 7 UNION ALL SELECT '{EX}nation/7', '{EX}nation_name', n_name FROM nation WHERE n_nationkey = 7", "nation")
+@query(f"SELECT '{EX}part/7' AS s, '{EX}' || unnest(['part_name', 'brand', 'type']) AS p, unnest([p_name, p_brand, p_type]) AS o FROM part WHERE p_partkey = 7 UNION ALL SELECT '{EX}part/7', '{EX}' || unnest(['size', 'price']), unnest([CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) FROM part WHERE p_partkey = 7", "part")
 def bgp_constant_subject(q):
-    sol = bgp(q, (I("nation/7"), "?p", "?o"))
-    return sol.df.select(F.lit(EX + "nation/7").alias("s"), k(sol["p"]).alias("p"), k(sol["o"]).alias("o"))
+    sol = bgp(q, (I("part/7"), "?p", "?o"))
+    return sol.df.select(F.lit(EX + "part/7").alias("s"), k(sol["p"]).alias("p"), k(sol["o"]).alias("o"))
+
+
+def _knows(q, graphs: int = 3) -> DataFrame:
+    """A quad table derived from orders: customers that know customers, in the default graph and others."""
+    o = q.tables[0].df
+    person = lambda c: t.plain(t.IRI, F.concat(F.lit(EX + "customer/"), c.cast("string")))
+    nth = F.col("o_orderkey") % graphs
+    g = F.when(nth == 0, t.plain(t.DEFAULT_GRAPH, "")).otherwise(t.plain(t.IRI, F.concat(F.lit(EX + "g/"), nth.cast("string"))))
+    return o.select(person(F.col("o_custkey")).alias("s"), t.plain(t.IRI, EX + "knows").alias("p"), person(F.col("o_orderkey") % 100).alias("o"), g.alias("g"))
+
+
+@query(f"SELECT DISTINCT '{EX}customer/' || o_custkey AS x FROM orders WHERE o_custkey = o_orderkey % 100", "orders")
+def bgp_self(q):
+    """One variable twice in one pattern, over a quad table whose triples repeat in several graphs."""
+    return bgp(Quads(_knows(q)), ("?x", I("knows"), "?x")).values(x=None)
+
+
+@query(f"SELECT '{EX}customer/' || o_custkey AS x, '{EX}customer/' || (o_orderkey % 100) AS y FROM orders WHERE o_orderkey % 3 = 0", "orders")
+def graph_strict(q):
+    """The default graph only."""
+    return bgp(Quads(_knows(q), "strict"), ("?x", I("knows"), "?y")).values(x=None, y=None)
 
 
 @query("SELECT CAST(quality AS VARCHAR) AS v, count(*) AS n FROM labels WHERE quality = toxic GROUP BY 1", "labels")
@@ -134,9 +155,9 @@ def optional_nested(q):
     return sol.df.select(k(sol["name"]).alias("name"), t.v_dbl(sol["t"]).alias("total"), t.v_dbl(sol["qty"]).alias("quantity"))
 
 
-@query("SELECT n_name AS name FROM nation", "nation")
+@query("SELECT c_name AS name FROM customer", "customer")
 def optional_ground(q):
-    return bgp(q, ("?n", I("nation_name"), "?name"), ("?n", I("region"), "?r")).optional(bgp(q, ("?n", I("region"), "?r"))).values(name=None)
+    return bgp(q, ("?n", I("customer_name"), "?name"), ("?n", I("segment"), "?r")).optional(bgp(q, ("?n", I("segment"), "?r"))).values(name=None)
 
 
 @query("SELECT c_name AS name FROM customer LEFT JOIN orders ON o_custkey = c_custkey", "customer", "orders")
@@ -177,9 +198,9 @@ def minus_label(q):
     return sol.df.select(key_of(sol["d"]).alias("doc_id"))
 
 
-@query("SELECT r_name AS name FROM region", "region", "nation")
+@query("SELECT s_name AS name FROM supplier", "supplier", "customer")
 def minus_disjoint(q):
-    return bgp(q, ("?r", I("region_name"), "?name")).minus(bgp(q, ("?n", I("nation_name"), "?x"))).values(name=None)
+    return bgp(q, ("?r", I("supplier_name"), "?name")).minus(bgp(q, ("?n", I("customer_name"), "?x"))).values(name=None)
 
 
 @query("SELECT c_name AS name, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') OR c_acctbal > 5000 AS good FROM customer", "customer", "orders")
@@ -189,12 +210,12 @@ def exists_in_expression(q):
     return sol.df.select(k(sol["name"]).alias("name"), good.alias("good"))
 
 
-@query(f"SELECT '{EX}nation/' || n_nationkey AS s, n_name AS name FROM nation", "nation", "region")
+@query(f"SELECT '{EX}customer/' || c_custkey AS s, c_name AS name FROM customer", "customer", "supplier")
 def graph_const(q):
-    return graph(q, I("g/nation"), ("?s", I("nation_name"), "?name")).values(s=None, name=None)
+    return graph(q, I("g/customer"), ("?s", I("customer_name"), "?name")).values(s=None, name=None)
 
 
-@query(f"SELECT g, count(*) AS n FROM (SELECT '{EX}g/nation' AS g FROM nation UNION ALL SELECT '{EX}g/nation' FROM nation UNION ALL SELECT '{EX}g/region' FROM region) GROUP BY 1", "nation", "region")
+@query(f"SELECT g, count(*) AS n FROM (SELECT '{EX}g/labels' AS g FROM labels UNION ALL SELECT '{EX}g/labels' FROM labels UNION ALL SELECT '{EX}g/supplier' FROM supplier, (VALUES (1), (2), (3)) v(x)) GROUP BY 1", "labels", "supplier")
 def graph_var(q):
     return post.group(graph(q, "?g", ("?s", "?p", "?o")), ["g"], n=post.count()).values(g=None, n=whole)
 
@@ -261,19 +282,46 @@ def path_inverse(q):
     return _pairs(paths.path(q, "?src", paths.inv(paths.link(I("cust"))), "?dst"))
 
 
-@query(f"SELECT '{EX}nation/' || n_nationkey AS src, '{EX}region/' || n_regionkey AS dst FROM nation", "nation")
+@query(f"SELECT '{EX}supplier/' || s_suppkey AS src, '{EX}nation/' || s_nationkey AS dst FROM supplier", "supplier")
 def path_nps(q):
-    return _pairs(paths.path(q, "?src", paths.nps(I("nation_name")), "?dst"))
+    return _pairs(paths.path(q, "?src", paths.nps(I("supplier_name"), I("supplier_acctbal")), "?dst"))
 
 
-@query(f"SELECT '{EX}region/' || n_regionkey AS src, '{EX}nation/' || n_nationkey AS dst FROM nation", "nation")
+@query(f"SELECT '{EX}nation/' || s_nationkey AS src, '{EX}supplier/' || s_suppkey AS dst FROM supplier", "supplier")
 def path_reverse_nps(q):
-    return _pairs(paths.path(q, "?src", paths.inv(paths.nps(I("nation_name"))), "?dst"))
+    return _pairs(paths.path(q, "?src", paths.inv(paths.nps(I("supplier_name"), I("supplier_acctbal"))), "?dst"))
 
 
-@query(f"SELECT DISTINCT '{EX}nation/' || n_nationkey AS src, '{EX}nation/' || n_nationkey AS dst FROM nation UNION SELECT '{EX}region/' || n_regionkey, '{EX}region/' || n_regionkey FROM nation UNION SELECT n_name, n_name FROM nation", "nation")
+@query(f"SELECT x AS src, x AS dst FROM (SELECT '{EX}documents/' || doc_id AS x FROM labels UNION SELECT CAST(quality AS VARCHAR) FROM labels UNION SELECT CAST(toxic AS VARCHAR) FROM labels)", "labels")
 def path_zero(q):
-    return _pairs(paths.path(q, "?src", paths.star(paths.link(I("region")), max_depth=0), "?dst"))
+    return _pairs(paths.path(q, "?src", paths.star(paths.link(I("quality")), max_depth=0), "?dst"))
+
+
+@query(f"SELECT '{EX}conversations/1/' || turn AS dst FROM conversations WHERE conv_id = 1 AND turn BETWEEN 1 AND 4", "conversations")
+def path_from(q):
+    """The walk begins at a constant."""
+    return paths.path(q, I("conversations/1/0"), paths.plus(paths.link(I("next"))), "?dst").values(dst=None)
+
+
+@query(f"SELECT '{EX}conversations/1/' || turn AS src FROM conversations WHERE conv_id = 1 AND turn <= 3", "conversations")
+def path_to(q):
+    """The walk ends at a constant, which the step of length zero leads to as well."""
+    return paths.path(q, "?src", paths.star(paths.link(I("next"))), I("conversations/1/3")).values(src=None)
+
+
+@query("SELECT count(*) AS same, 0 AS other, 1 AS off FROM (SELECT 1) x", "conversations")
+def path_zero_ends(q):
+    """Constant ends of a step of length zero: the same, two others, and one that isn't in the graph."""
+    p, here = paths.opt(paths.link(I("next"))), I("conversations/1/5")
+    same, other = paths.path(q, here, p, here), paths.path(q, here, p, I("conversations/1/1"))
+    off = paths.path(q, I("nobody"), p, "?o")
+    n = lambda sol, name: sol.df.agg(F.count(F.lit(1)).alias(name))
+    return n(same, "same").crossJoin(n(other, "other").select(F.col("other").cast("int"))).crossJoin(n(off, "off").select(F.col("off").cast("int")))
+
+
+@query(f"{_TURNS} AND b.turn BETWEEN a.turn + 1 AND a.turn + 2", "conversations")
+def path_depth(q):
+    return _pairs(paths.path(q, "?src", paths.plus(paths.link(I("next"))), "?dst", max_depth=2))
 
 
 # Filters
@@ -424,6 +472,125 @@ def casts_time(q):
     return sol.df.select(_order_id(sol), k(e.to_date(d)).alias("d"), k(e.to_time(d)).alias("ti"), k(e.to_datetime(e.to_date(d))).alias("ts"))
 
 
+@query("""SELECT o_orderkey AS id, CAST(epoch_us(o_orderdate) % 60000000 AS DOUBLE) / 1e6 AS s, epoch_us(o_orderdate) % 1000000 AS us, epoch_us(date_trunc('second', o_orderdate)) AS made, epoch_us(date_trunc('second', o_orderdate)) - 7200000000 AS zoned, epoch_us(o_orderdate) // 1000 * 1000 AS back FROM orders""", "orders")
+def dt_build(q):
+    sol = bgp(q, ("?o", I("date"), "?d"))
+    d = sol["d"]
+    parts = [whole(f(d)) for f in (e.year, e.month, e.day, e.hours, e.minutes)] + [F.floor(t.v_dec(e.seconds(d)))]
+    us = lambda x: whole(e.epoch_us(x))
+    return sol.df.select(
+        _order_id(sol), t.v_dec(e.seconds(d)).cast("double").alias("s"), whole(e.microseconds(d)).alias("us"), us(e.make_datetime(*parts)).alias("made"),
+        us(e.make_datetime(*parts, zone="+02:00")).alias("zoned"), us(e.datetime_of_ms(whole(e.epoch_ms(d)))).alias("back"),
+    )
+
+
+_GAP = "SELECT l_orderkey AS id, epoch_us(l_shipdate) - epoch_us(o_orderdate) AS gap, l_linenumber AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _gaps(q):
+    sol = bgp(q, ("?l", I("order"), "?o"), ("?l", I("shipdate"), "?s"), ("?l", I("linenumber"), "?n"), ("?o", I("date"), "?d"))
+    return sol, e.datetime_difference(sol["s"], sol["d"])
+
+
+@query(f"SELECT id, gap + 86400000000 AS a, gap - 3600000000 AS s, gap * n AS m, CAST(round(gap / 4.0::DOUBLE) AS BIGINT) AS d, round(gap / 3600000000.0::DOUBLE, 4) AS r, -gap AS neg, 0 AS z FROM ({_GAP})", "lineitem", "orders")
+def dur_arith(q):
+    sol, gap = _gaps(q)
+    us, day, hour = (lambda x: whole(e.duration_us(x))), L("P1D", t.DURATION).column, L("PT1H", t.DURATION).column
+    return sol.df.select(
+        _order_id(sol), us(e.duration_add(gap, day)).alias("a"), us(e.duration_subtract(gap, hour)).alias("s"), us(e.duration_multiply(gap, sol["n"])).alias("m"), us(e.duration_divide(gap, L(4).column)).alias("d"),
+        F.round(t.v_dec(e.duration_ratio(gap, hour)).cast("double"), 4).alias("r"), us(e.duration_negate(gap)).alias("neg"), t.v_dur(e.duration_zero()).cast("int").alias("z"),
+    )
+
+
+@query(f"""SELECT id, CAST((n * 24 + 5) * 60 + 7 AS BIGINT) * 60000000 + 1500000 AS made, sign(gap) * (abs(gap) // 86400000000) AS d, sign(gap) * (abs(gap) % 86400000000 // 3600000000) AS h, sign(gap) * (abs(gap) % 3600000000 // 60000000) AS m,
+    sign(gap) * (abs(gap) % 60000000) / 1e6 AS s, gap AS again FROM ({_GAP})""", "lineitem", "orders")
+def dur_parts(q):
+    """Components, and the text of a duration read again."""
+    sol, gap = _gaps(q)
+    part = lambda unit: whole(e.duration_part(gap, unit))
+    made = e.make_duration(whole(sol["n"]), F.lit(5), F.lit(7), F.lit(1.5))
+    return sol.df.select(
+        _order_id(sol), t.v_dur(made).alias("made"), part("days").alias("d"), part("hours").alias("h"), part("minutes").alias("m"), t.v_dec(e.duration_part(gap, "seconds")).cast("double").alias("s"),
+        t.v_dur(t.lit(k(gap), t.DURATION)).alias("again"),
+    )
+
+
+@query(f"SELECT id FROM ({_GAP}) WHERE gap < 2592000000000 AND gap >= -86400000000 AND gap <> 0", "lineitem", "orders")
+def dur_compare(q):
+    sol, gap = _gaps(q)
+    span = lambda x: L(x, t.DURATION).column
+    return sol.filter(e.lt(gap, span("P30D")) & e.ge(gap, span("-PT24H")) & e.ne(gap, span("PT0S"))).df.select(_order_id(sol))
+
+
+@query("""SELECT o_orderkey AS id, strftime(make_date(year(o_orderdate), month(o_orderdate), 1), '%Y-%m-%d') AS first, year(o_orderdate) AS y, month(o_orderdate) AS mo, day(o_orderdate) AS d,
+    CAST(o_orderdate AS DATE) < DATE '1997-06-01' AS early, strftime(DATE '1970-01-01' + CAST(o_orderkey % 20000 AS INTEGER), '%Y-%m-%d') AS nth, CAST(NULL AS VARCHAR) AS z FROM orders""", "orders")
+def date_lib(q):
+    sol = bgp(q, ("?o", I("date"), "?d"))
+    d = e.to_date(sol["d"])
+    y, mo = whole(e.year(d)), whole(e.month(d))
+    return sol.df.select(
+        _order_id(sol), k(e.make_date(y, mo, F.lit(1))).alias("first"), y.alias("y"), mo.alias("mo"), whole(e.day(d)).alias("d"), e.lt(d, L("1997-06-01", t.DATE).column).alias("early"),
+        k(e.date_of_days(key_of(sol["o"]) % 20000)).alias("nth"), k(e.timezone(t.col(d))).alias("z"),
+    )
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-02-29' AND CAST(o_orderdate AS TIME) < TIME '12:30:00'", "orders")
+def filter_cmp_date_time(q):
+    sol = bgp(q, ("?o", I("date"), "?d"))
+    keep = e.ge(e.to_date(sol["d"]), L("1996-02-29", t.DATE).column) & e.lt(e.to_time(sol["d"]), L("12:30:00Z", t.TIME).column)
+    return sol.filter(keep).df.select(_order_id(sol))
+
+
+_INT_TYPES = {n: r for n, r in e.RANGES.items() if n != "integer"}
+
+
+def _int_sql(n: str) -> str:
+    low, high = (x if x is not None else d for x, d in zip(_INT_TYPES[n], (-(10**30), 10**30)))
+    return f'CASE WHEN v BETWEEN {low} AND {high} THEN v END AS "{n}"'
+
+
+@query(f"SELECT id, {', '.join(map(_int_sql, _INT_TYPES))} FROM (SELECT c_custkey AS id, CAST(trunc(c_acctbal * 10) AS BIGINT) AS v FROM customer)", "customer")
+def cast_integers(q):
+    sol = bgp(q, ("?c", I("customer_acctbal"), "?a"))
+    a = e.multiply(sol["a"], L(10).column)
+    return sol.df.select(_order_id(sol, "c"), *[whole(e.to_integer(a, n)).alias(n) for n in _INT_TYPES])
+
+
+@query("""SELECT c_custkey AS id, CAST(substr(c_name, 10) AS DOUBLE) AS w, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE) AS d, CAST(c_custkey % 2 AS DOUBLE) AS b, c_mktsegment || ' x' AS s, replace(c_mktsegment || chr(9) || 'x', chr(9), ' ') AS n, c_mktsegment || ' x' AS tok, CAST(c_nationkey AS VARCHAR) AS i FROM customer""", "customer")
+def casts_text(q):
+    sol = bgp(q, ("?c", I("customer_name"), "?n"), ("?c", I("customer_acctbal"), "?a"), ("?c", I("segment"), "?s"), ("?c", I("customer_nation"), "?k"))
+    string = lambda x: t.lit(x, t.STRING)
+    number, segment = string(F.substring(k(sol["n"]), 10, 20)), k(sol["s"])
+    odd = e.boolean(key_of(sol["c"]) % 2 == 1)
+    return sol.df.select(
+        _order_id(sol, "c"), t.v_dbl(e.to_double(number)).alias("w"), t.v_dec(e.to_decimal(sol["a"])).cast("double").alias("d"), t.v_dbl(e.to_double(odd)).alias("b"), k(e.to_string(string(F.concat(segment, F.lit(" x"))))).alias("s"),
+        k(e.to_string(string(F.concat(segment, F.lit("\tx"))), "normalizedString")).alias("n"), k(e.to_string(string(F.concat(F.lit("  "), segment, F.lit("  x "))), "token")).alias("tok"), k(e.to_string(t.val(key_of(sol["k"]), t.INTEGER))).alias("i"),
+    )
+
+
+@query("""SELECT id, z = 'NaN' AS nan_differs, z <> 'NaN' AS equals_itself, z = 'INF' AS above_all, z = '-INF' AS below_all, z = 'NaN' AS not_less, v AS whole FROM
+    (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN 'one' WHEN sign(c_custkey % 5 - 2) = 0 THEN 'NaN' WHEN c_custkey % 5 > 2 THEN 'INF' ELSE '-INF' END AS z, CASE WHEN c_custkey % 3 = 1 THEN CAST(c_custkey % 5 AS BIGINT) ELSE -1 END AS v FROM customer)""", "customer")
+def num_special(q):
+    """Quotients by zero: NaN is unordered and differs from itself, infinities stand at the ends; an error has a default."""
+    sol = bgp(q, ("?c", I("customer_name"), "?n"))
+    key = key_of(sol["c"])
+    top, bottom = t.val((key % 5 - 2).cast("double"), t.DOUBLE), t.val(F.when(key % 3 == 1, 1.0).otherwise(0.0), t.DOUBLE)
+    x = e.divide(top, bottom)
+    error = e.mod(t.val(key % 5, t.INTEGER), t.val(F.when(key % 3 == 1, 7).otherwise(0), t.INTEGER))
+    high, low = L(1e300).column, L(-1e300).column
+    return sol.df.select(
+        _order_id(sol, "c"), e.ne(x, x).alias("nan_differs"), e.eq(x, x).alias("equals_itself"), e.gt(x, high).alias("above_all"), e.lt(x, low).alias("below_all"),
+        (~(e.lt(x, high) | e.ge(x, high))).alias("not_less"), whole(e.or_default(error, t.val(F.lit(-1), t.INTEGER))).alias("whole"),
+    )
+
+
+@query("SELECT p_partkey AS id, least(p_size, 20) AS lo, length(p_name) > 0 AS text, true AS fallback, p_size % 2 = 1 AS odd FROM part", "part")
+def ebv_terms(q):
+    """The truth value of a plain string, of an IRI by default, and of a number; and the smaller of two integers."""
+    sol = bgp(q, ("?p", I("part_name"), "?n"), ("?p", I("size"), "?s"))
+    return sol.df.select(_order_id(sol, "p"), whole(e.smaller(sol["s"], L(20).column)).alias("lo"), e.ebv(sol["n"]).alias("text"), e.ebv_or(sol["p"], True).alias("fallback"), e.ebv(e.mod(sol["s"], L(2).column)).alias("odd"))
+
+
 # Aggregates, order, forms
 
 
@@ -457,6 +624,55 @@ def agg_seq(q):
     return out.values(status=None, every=boole, some=boole, n=whole)
 
 
+@query("SELECT source, count(quality) > 0 AS some, count(CASE WHEN toxic = 1 THEN 1 END) = 0 AS none FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1", "documents", "labels")
+def agg_exists(q):
+    sol = bgp(q, ("?d", I("source"), "?source")).optional(bgp(q, ("?d", I("quality"), "?q"))).optional(bgp(q, ("?d", I("toxic"), "?t")))
+    sol = sol.bind("bad", e.if_(e.eq(sol["t"], L(1).column), sol["t"], t.UNBOUND()))
+    return post.group(sol, ["source"], some=post.exists("q"), none=post.is_empty("bad")).values(source=None, some=boole, none=boole)
+
+
+@query("""SELECT p_brand AS brand, CAST(sum(p_size) AS BIGINT) AS total, round(avg(p_size), 6) AS mean, min(p_size) AS low, max(p_size) AS high FROM
+    (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, CAST(p_partkey AS VARCHAR)) AS nth FROM part) WHERE nth <= 3 GROUP BY 1""", "part")
+def agg_partial(q):
+    """Aggregates over the first three of each group."""
+    sol = post.first_rows(bgp(q, ("?p", I("brand"), "?brand"), ("?p", I("size"), "?s")), ["brand"], 3, ("s", "desc"), "p")
+    out = post.group(sol, ["brand"], total=post.sum_("s"), mean=post.avg("s"), low=post.min_("s"), high=post.max_("s"))
+    return out.values(brand=None, total=whole, mean=lambda x: F.round(t.v_dec(x).cast("double"), 6), low=whole, high=whole)
+
+
+@query("SELECT c_nationkey AS nation, string_agg(c_mktsegment, ' ' ORDER BY c_mktsegment) AS segments, c_nationkey AS one FROM customer GROUP BY 1", "customer")
+def agg_concat_sample(q):
+    sol = bgp(q, ("?c", I("segment"), "?s"), ("?c", I("customer_nation"), "?n"))
+    sol = sol.bind("key", t.val(key_of(sol["n"]), t.INTEGER))
+    out = post.group(sol, ["n"], segments=post.group_concat("s"), one=post.sample("key"))
+    return out.df.select(key_of(out["n"]).cast("int").alias("nation"), k(out["segments"]).alias("segments"), whole(out["one"]).cast("int").alias("one"))
+
+
+@query("SELECT p_type AS type, round(avg(DISTINCT p_size), 6) AS mean, round(avg(DISTINCT p_retailprice), 6) AS price FROM part GROUP BY 1", "part")
+def agg_avg_distinct(q):
+    out = post.group(bgp(q, ("?p", I("type"), "?type"), ("?p", I("size"), "?s"), ("?p", I("price"), "?w")), ["type"], mean=post.avg("s", distinct=True), price=post.avg("w", distinct=True))
+    return out.values(type=None, mean=lambda x: F.round(t.v_dec(x).cast("double"), 6), price=lambda x: F.round(t.v_dbl(x), 6))
+
+
+@query(f"SELECT '{EX}customer/' || c_custkey AS c, c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F'", "customer", "orders")
+def select_all(q):
+    """All variables but the blank node's."""
+    sol = post.select(bgp(q, ("_:o", I("cust"), "?c"), ("_:o", I("status"), L("F")), ("?c", I("customer_name"), "?name")))
+    return sol.values(**dict.fromkeys(sol.variables))
+
+
+@query(f"SELECT DISTINCT '{EX}customer/' || o_custkey AS s, '{EX}likes' AS p, o_orderpriority AS o FROM orders", "orders")
+def construct_triples(q):
+    made = post.construct(bgp(q, ("?o", I("cust"), "?c"), ("?o", I("priority"), "?p")), ("?c", I("likes"), "?p"), ("?p", I("of"), "?c"), ("?c", I("has"), "?nothing"))
+    return made.select(*[F.col(f"{n}.lex").alias(n) for n in "spo"])
+
+
+@query("SELECT count(*) > 0 AS result FROM customer WHERE c_acctbal < -900", "customer")
+def disclose_none(q):
+    sol = bgp(q, ("?c", I("customer_acctbal"), "?a"))
+    return post.disclose(sol.filter(e.lt(sol["a"], L(-900).column)), [])
+
+
 @query("SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 10", "customer")
 def group_having(q):
     out = post.group(bgp(q, ("?c", I("segment"), "?segment")), ["segment"], n=post.count())
@@ -469,9 +685,15 @@ def order_topk(q):
     return sol.df.select(_order_id(sol), t.v_dbl(sol["t"]).alias("total"))
 
 
-@query("SELECT n_name AS name FROM nation ORDER BY n_name LIMIT 5 OFFSET 3", "nation")
+@query("SELECT c_name AS name FROM customer ORDER BY c_name LIMIT 5 OFFSET 3", "customer")
 def order_slice(q):
-    return post.limit(post.offset(post.order_by(bgp(q, ("?n", I("nation_name"), "?name")), "name"), 3), 5).values(name=None)
+    return post.limit(post.offset(post.order_by(bgp(q, ("?n", I("customer_name"), "?name")), "name"), 3), 5).values(name=None)
+
+
+@query("SELECT o_orderkey AS id FROM orders ORDER BY o_totalprice, CAST(o_orderkey AS VARCHAR) LIMIT 7", "orders")
+def order_unprojected(q):
+    sol = post.limit(post.order_by(bgp(q, ("?o", I("total"), "?t")), "t", "o"), 7)
+    return post.select(sol, "o").df.select(_order_id(sol))
 
 
 @query("SELECT DISTINCT text, lang FROM documents", "documents")
@@ -505,39 +727,76 @@ def _sql_hash(kind: int, lex: str, special: str | None = None, dt: str = "", lan
     return "sha256(" + " || ".join(part(x) for x in (f"'{kind}'", lex, special or lex, f"'{lang}'", f"'{dt}'")) + ")"
 
 
-def _nation_leaves() -> str:
-    s = f"'{EX}nation/' || CAST(n_nationkey AS VARCHAR)"
-    g = _sql_hash(0, f"'{EX}g/nation'")
-    one = lambda p, o: f"SELECT sha256('quad' || {_sql_hash(0, s)} || {_sql_hash(0, repr(EX + p))} || {o} || {g}) AS h FROM nation"
-    return f"({one('nation_name', _sql_hash(2, 'n_name', dt=t.STRING))} UNION ALL {one('region', _sql_hash(0, f"'{EX}region/' || CAST(n_regionkey AS VARCHAR)"))})"
+def _quads_sql(table: str, s: str, columns: dict[str, str]) -> str:
+    """(h) of the quads of a table; columns: SQL of the object's hash by predicate."""
+    g = _sql_hash(0, f"'{EX}g/{table}'")
+    one = lambda p, o: f"SELECT sha256('quad' || {_sql_hash(0, s)} || {_sql_hash(0, repr(EX + p))} || {o} || {g}) AS h FROM {table}"
+    return "(" + " UNION ALL ".join(one(p, o) for p, o in columns.items()) + ")"
+
 
+_ORDER_QUADS = _quads_sql("orders", f"'{EX}orders/' || CAST(o_orderkey AS VARCHAR)", {
+    "cust": _sql_hash(0, f"'{EX}customer/' || CAST(o_custkey AS VARCHAR)"), "status": _sql_hash(2, "o_orderstatus", dt=t.STRING), "total": _sql_hash(2, "CAST(o_totalprice AS VARCHAR)", dt=t.DOUBLE),
+    "date": _sql_hash(2, "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'", "CAST(epoch_ms(o_orderdate) AS VARCHAR)", dt=t.DATETIME), "priority": _sql_hash(2, "o_orderpriority", dt=t.STRING),
+})
+_DOC = f"'{EX}documents/' || CAST(doc_id AS VARCHAR)"
+_LABEL_QUADS = _quads_sql("labels", _DOC, {p: _sql_hash(2, f"CAST({p} AS VARCHAR)", dt=t.INTEGER) for p in ("quality", "toxic")})
 
-@query(f"SELECT h FROM {_nation_leaves()}", "nation")
+
+def _leaves_sql(quads_: str) -> str:
+    return f"""q AS {quads_}, l AS (SELECT row_number() OVER (ORDER BY h) AS idx, h FROM q UNION ALL SELECT 0, repeat('0', 64) UNION ALL SELECT (SELECT count(*) + 1 FROM q), repeat('f', 64)) """
+
+
+_LEAVES = "WITH " + _leaves_sql(_LABEL_QUADS)
+_TREE = "WITH RECURSIVE " + _leaves_sql(_LABEL_QUADS) + """, tree AS (SELECT 0 AS level, idx, h FROM l UNION ALL
+    SELECT level + 1, idx // 2, sha256('node' || min_by(h, idx) || max_by(h, idx)) FROM tree WHERE (SELECT count(*) FROM l) > pow(2, level) GROUP BY level, idx // 2) """
+_PREFIX = f"""SELECT DISTINCT sha256('prefix' || {_sql_hash(0, _DOC)} || {_sql_hash(0, f"'{EX}' || p")} || {_sql_hash(0, f"'{EX}g/labels'")}) AS h FROM labels, (VALUES ('quality'), ('toxic')) v(p)"""
+
+
+@query(f"SELECT h FROM {_ORDER_QUADS}", "orders")
 def leaf_hash(q):
     return commit.hashed(q.quads()).select("h")
 
 
-_LEAVES = f"""WITH q AS {_nation_leaves()}, l AS (SELECT row_number() OVER (ORDER BY h) AS idx, h FROM q UNION ALL SELECT 0, repeat('0', 64) UNION ALL SELECT (SELECT count(*) + 1 FROM q), repeat('f', 64)) """
+@query(f"SELECT sha256(concat_ws('', length(k), ':', k)) AS h FROM (SELECT DISTINCT CAST(doc_id % 2 = 0 AS VARCHAR) AS k FROM documents)", "documents")
+def leaf_boolean(q):
+    """The canonical value of booleans, in both spellings."""
+    odd = q.tables[0].df.select((F.col("doc_id") % 2 == 0).alias("b")).distinct()
+    lex = F.when(F.col("b"), "1").otherwise("0")
+    word = F.when(commit.special(t.lit(lex, t.BOOLEAN)) == "1", "true").otherwise("false")
+    return odd.select(F.sha2(F.concat(F.length(word).cast("string"), F.lit(":"), word), 256).alias("h"))
 
 
-@query(_LEAVES + "SELECT idx, h FROM l", "nation")
+@query(_LEAVES + "SELECT idx, h FROM l", "labels")
 def leaf_index(q):
     return commit.leaves(q.quads()).select("idx", "h")
 
 
-@query(_LEAVES + f""", p AS (SELECT sha256(CAST(r_regionkey AS VARCHAR)) AS h FROM region UNION SELECT h FROM l WHERE idx = 3)
-    SELECT p.h AS h, CASE WHEN count(CASE WHEN l.h = p.h THEN 1 END) > 0 THEN max(CASE WHEN l.h = p.h THEN idx END) ELSE max(CASE WHEN l.h < p.h THEN idx END) END AS left_idx,
-    CASE WHEN count(CASE WHEN l.h = p.h THEN 1 END) > 0 THEN max(CASE WHEN l.h = p.h THEN idx END) ELSE min(CASE WHEN l.h > p.h THEN idx END) END AS right_idx,
-    count(CASE WHEN l.h = p.h THEN 1 END) > 0 AS present FROM p CROSS JOIN l GROUP BY p.h""", "nation", "region")
+@query(_LEAVES + "SELECT idx, h FROM l", "labels")
+def persisted_leaves(q):
+    """The hashed dataset written, and read again."""
+    path = scratch.fresh(spark_of(q), "dataset")
+    dataset.save(q.quads(), path)
+    leaf, level = dataset.load(spark_of(q), path)
+    return leaf.join(level.filter("level = 0").select("idx", F.col("h").alias("node")), "idx").filter("h = node").select("idx", "h")
+
+
+_BRACKET = """CASE WHEN present THEN own ELSE below END AS left_idx, CASE WHEN present THEN own ELSE above END AS right_idx, present,
+    CASE WHEN NOT present THEN CASE WHEN below = 0 THEN 0 WHEN above = top THEN 2 ELSE 1 END END AS tag FROM
+    (SELECT p.h AS h, bool_or(l.h = p.h) AS present, max(CASE WHEN l.h = p.h THEN idx END) AS own, max(CASE WHEN l.h < p.h THEN idx END) AS below, min(CASE WHEN l.h > p.h THEN idx END) AS above, max(idx) AS top
+     FROM p CROSS JOIN l GROUP BY p.h)"""
+
+
+@query(_LEAVES + f""", p AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents UNION SELECT h FROM l WHERE idx = 3 UNION SELECT repeat('0', 63) || '1' UNION SELECT repeat('f', 63) || 'e')
+    SELECT h, {_BRACKET}""", "labels", "documents")
 def bracket_absent(q):
-    own = Quads([x for x in q.tables if x.name == "nation"])
-    leaf = commit.leaves(own.quads())
-    keys = next(x.df for x in q.tables if x.name == "region")
-    probes = keys.select(F.sha2(F.col("r_regionkey").cast("string"), 256).alias("h")).union(leaf.filter("idx = 3").select("h"))
-    return commit.absent(probes, leaf).select("h", "left_idx", "right_idx", "present")
+    leaf = commit.leaves(Quads([x for x in q.tables if x.name == "labels"]).quads())
+    keys = next(x.df for x in q.tables if x.name == "documents")
+    ends = spark_of(q).range(1).select(F.explode(F.array(F.lit("0" * 63 + "1"), F.lit("f" * 63 + "e"))).alias("h"))
+    probes = keys.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("h")).union(leaf.filter("idx = 3").select("h")).union(ends)
+    return commit.absent(probes, leaf).select("h", "left_idx", "right_idx", "present", F.col("tag").cast("int").alias("tag"))
 
 
-@query("SELECT count(*) AS n, true AS ok FROM (SELECT 1 FROM nation UNION ALL SELECT 1 FROM nation UNION ALL SELECT 1 UNION ALL SELECT 1)", "nation")
+@query("SELECT 2 * count(*) + 2 AS n, true AS ok FROM labels", "labels")
 def inclusion_check(q):
     leaf = commit.leaves(q.quads())
     level = commit.levels(leaf)
@@ -545,18 +804,42 @@ def inclusion_check(q):
     return commit.check_inclusion(commit.paths(leaf, level), top).agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"))
 
 
-@query(None, "customer")
+@query("SELECT count(*) >= 0 AS ok FROM labels", "labels")
+def sentinel_check(q):
+    leaf = commit.leaves(q.quads())
+    level = commit.levels(leaf)
+    return commit.check_sentinels(leaf, commit.paths(leaf, level), commit.root(level).first()[0])
+
+
+@query(_TREE + "SELECT max_by(h, level) AS root FROM tree", "labels")
 def merkle_root(q):
     return commit.root(commit.levels(commit.leaves(q.quads())))
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT c_custkey, p FROM customer, (VALUES (1), (2), (3), (4)) v(p))", "customer")
+@query(f"SELECT row_number() OVER (ORDER BY h) AS idx, h FROM ({_PREFIX})", "labels")
 def prefix_commit(q):
-    return commit.prefix_leaves(q.quads()).filter("s is not null").agg(F.count(F.lit(1)).alias("n"))
+    return commit.prefix_leaves(q.quads()).filter("s is not null").select("idx", "h")
+
+
+@query(f"""WITH RECURSIVE {_leaves_sql(f"({_PREFIX})")}, tree AS (SELECT 0 AS level, idx, h FROM l UNION ALL
+    SELECT level + 1, idx // 2, sha256('node' || min_by(h, idx) || max_by(h, idx)) FROM tree WHERE (SELECT count(*) FROM l) > pow(2, level) GROUP BY level, idx // 2) SELECT max_by(h, level) AS root FROM tree""", "labels")
+def prefix_root(q):
+    return commit.root(commit.levels(commit.prefix_leaves(q.quads())))
+
+
+@query(f"""WITH {_leaves_sql(f"({_PREFIX})")}, p AS (SELECT DISTINCT sha256('prefix' || {_sql_hash(0, _DOC)} || {_sql_hash(0, f"'{EX}quality'")} || {_sql_hash(0, f"'{EX}g/labels'")}) AS h FROM documents)
+    SELECT h, {_BRACKET}""", "labels", "documents")
+def prefix_absent(q):
+    """Which documents have some quality, without saying which: brackets of their prefixes."""
+    leaf = commit.prefix_leaves(Quads([x for x in q.tables if x.name == "labels"]).quads())
+    docs = next(x for x in q.tables if x.name == "documents")
+    h = commit.prefix_hash(docs.subject(), I("quality").struct, I("g/labels").struct)
+    return commit.absent(docs.df.select(h.alias("h")), leaf).select("h", "left_idx", "right_idx", "present", F.col("tag").cast("int").alias("tag"))
 
 
-@query(f"""SELECT '<{EX}nation/' || n_nationkey || '> <{EX}nation_name> "' || n_name || '" <{EX}g/nation> .' AS value FROM nation
-    UNION ALL SELECT '<{EX}nation/' || n_nationkey || '> <{EX}region> <{EX}region/' || n_regionkey || '> <{EX}g/nation> .' FROM nation""", "nation")
+@query(f"""SELECT '<{EX}supplier/' || s_suppkey || '> <{EX}supplier_name> "' || s_name || '" <{EX}g/supplier> .' AS value FROM supplier
+    UNION ALL SELECT '<{EX}supplier/' || s_suppkey || '> <{EX}supplier_nation> <{EX}nation/' || s_nationkey || '> <{EX}g/supplier> .' FROM supplier
+    UNION ALL SELECT '<{EX}supplier/' || s_suppkey || '> <{EX}supplier_acctbal> "' || CAST(s_acctbal AS VARCHAR) || '"^^<{t.DOUBLE}> <{EX}g/supplier> .' FROM supplier""", "supplier")
 def nquads_lines(q):
     """Written as text and parsed again."""
     text = nquads.lines(q.quads())
