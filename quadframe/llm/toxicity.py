@@ -4,17 +4,20 @@ Texts are folded first: lower case, homoglyphs to Latin letters, digits and sign
 words. The lexicon is learned from labelled texts: words, and beginnings of words, that toxic texts hold and others
 don't, weighted by log odds. Phrases of a matched word and its neighbour that labelled clean texts hold are exceptions
 and don't count. The sum of weights is divided by a root of the number of words and made a probability by a logistic
-curve fitted to the labelled texts.
+curve fitted to the labelled texts. How often and how clearly a term must be toxic is chosen by cross-validation.
 
-Null and empty texts score as texts without a match. Labels may repeat; a text is toxic if one of its labels is. Without
-toxic labels the lexicon is empty and every score is the share of toxic labels, smoothed.
+Null and empty texts score as texts without a match; very long ones are folded and matched whole, in time in proportion.
+Labels may repeat; a text is toxic if one of its labels is. Rows that repeat an identifier or a text each count, up to the
+bound; null identifiers are not learned from. Equal settings go by their order. Without toxic labels the lexicon is empty
+and every score is the share of toxic labels, smoothed; an empty table gives an empty result. Other columns don't matter;
+a column tox_score of the input can't be kept beside the score of that name.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import Work
+
 #: Labelled rows that the lexicon is learned from, at most: those first by a hash of doc_id.
 MAX_LABELLED = 20_000
-#: Toxic texts that must hold a term, log odds it must have, lengths of the beginnings of words that are tried.
-MIN_TOXIC, MIN_ODDS, STEMS = 6, 2.5, (4, 5, 6, 7, 8)
+#: Toxic texts that must hold a term and log odds it must have: the pairs that cross-validation over the labelled rows
+#: chooses from; its folds; lengths of the beginnings of words that are tried.
+SETTINGS, FOLDS, STEMS = ((6, 2.5), (6, 2.0), (6, 3.0), (3, 2.5), (3, 2.0), (3, 3.0)), 3, (4, 5, 6, 7, 8)
 #: Clean texts that make a phrase an exception.
 MIN_CLEAN = 3
 
@@ -98,52 +104,94 @@ class Matcher:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """(text, toxic) of the labelled rows that are learned from."""
+    """(text, toxic, fold) of the labelled rows that are learned from, at most one a label; equal texts share a fold."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # At most max_labelled pairs of numbers are broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    rows = rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("text").alias("key"))
+    return rows.orderBy("key").limit(max_labelled).select("text", "toxic", F.pmod("key", F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def _counts(rows: DataFrame, of) -> DataFrame:
-    """(term, toxic, n): in how many rows of each label each of of(text) is."""
+    """(term, toxic, fold, n): in how many rows of each label and fold each of of(text, fold) is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[int(toxic > 0)].update(of(text))
-        for toxic, n in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array([toxic] * len(n), pa.int32()), pa.array(n.values(), pa.int64())], ["term", "toxic", "n"])
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                seen[toxic, fold].update(of(text, fold))
+        for (toxic, fold), n in seen.items():
+            columns = [pa.array(n.keys(), pa.string()), pa.array([toxic] * len(n), pa.int32()), pa.array([fold] * len(n), pa.int32()), pa.array(n.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "fold", "n"])
+
+    return rows.select("text", "toxic", "fold").mapInArrow(run, "term string, toxic int, fold int, n long").groupBy("term", "toxic", "fold").agg(F.sum("n").alias("n"))
+
+
+def lexicon_of(toxic: dict[str, int], clean: dict[str, int], bad: int, good: int, min_toxic: int, min_odds: float) -> dict[str, float]:
+    """Terms of enough toxic texts and odds, with the logarithm of their odds. toxic, clean: texts that hold each term."""
+    enough = {t: n for t, n in toxic.items() if n >= min_toxic}
+    odds = {t: math.log((n + 0.5) / (bad - n + 0.5) * (good - clean.get(t, 0) + 0.5) / (clean.get(t, 0) + 0.5)) for t, n in enough.items()}
+    return chosen_terms({t: w for t, w in odds.items() if w >= min_odds}, enough)
+
 
-    return rows.mapInArrow(run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+def _points(rows: DataFrame, strengths) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By name: strengths, labels and how many texts have them. strengths(text, fold) gives (name, strength) pairs."""
+    out: dict[str, list] = defaultdict(list)
+    for r in _counts(rows, lambda text, fold: [f"{name}:{x:.1f}" for name, x in strengths(text, fold)]).collect():
+        name, x = r["term"].rsplit(":", 1)
+        out[name].append((float(x), float(r["toxic"]), float(r["n"])))
+    return {name: tuple(np.array(v).T) for name, v in out.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict[str, float], list[str], tuple[float, float]]:
-    """Lexicon, exception phrases, and slope and offset of the logistic curve. labels: (doc_id, toxic)."""
-    rows = _labelled(docs, labels, max_labelled)
-    size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
-    likely = {r["term"]: r["n"] for r in _counts(rows.filter("toxic > 0"), lambda t: terms_of(fold(t))).filter(F.col("n") >= MIN_TOXIC).collect()}
-    clean = {r["term"]: r["n"] for r in _counts(rows.filter("toxic <= 0"), lambda t: terms_of(fold(t)).intersection(likely)).collect()}
-    odds = {t: math.log((n + 0.5) / (bad - n + 0.5) * (good - clean.get(t, 0) + 0.5) / (clean.get(t, 0) + 0.5)) for t, n in likely.items()}
-    lexicon = chosen_terms({t: w for t, w in odds.items() if w >= MIN_ODDS}, likely)
-    plain = Matcher(lexicon)
-
-    def phrases(text: str | None) -> set[str]:
+    """Lexicon, exception phrases, and slope and offset of the logistic curve. labels: (doc_id, toxic).
+
+    What a term needs to enter is chosen among SETTINGS by the log loss over folds that a lexicon has not seen.
+    """
+    work = Work(docs.sparkSession, "toxicity")
+    rows = work.save(_labelled(docs, labels, max_labelled), "labelled")
+    size = Counter({(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count(F.lit(1)).alias("n")).collect()})
+    bad, good = (sum(n for (toxic, _), n in size.items() if toxic == k) for k in (1, 0))
+    least = min(m for m, _ in SETTINGS)
+    toxic: dict[str, list[int]] = {}
+    for r in _counts(rows.filter("toxic = 1"), lambda t, _: terms_of(fold(t))).groupBy("term").agg(F.collect_list(F.struct("fold", "n")).alias("by")).filter(F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= least).collect():
+        toxic[r["term"]] = [next((x["n"] for x in r["by"] if x["fold"] == f), 0) for f in range(FOLDS)]
+    likely = frozenset(toxic)
+    clean: dict[str, list[int]] = {t: [0] * FOLDS for t in toxic}
+    for r in _counts(rows.filter("toxic = 0"), lambda t, _: terms_of(fold(t)).intersection(likely)).collect():
+        clean[r["term"]][r["fold"]] = r["n"]
+
+    def lexicon(setting: tuple[int, float], without: int | None = None) -> dict[str, float]:
+        seen = [f for f in range(FOLDS) if f != without]
+        total = lambda by: {t: sum(n[f] for f in seen) for t, n in by.items()}
+        return lexicon_of(total(toxic), total(clean), sum(size[1, f] for f in seen), sum(size[0, f] for f in seen), *setting)
+
+    setting = SETTINGS[0]
+    if bad and good:
+        apart = {(s, f): lexicon(s, f) for s in SETTINGS for f in range(FOLDS)}
+        matchers: dict = {}
+
+        def unseen(text: str | None, f: int) -> Iterator[tuple[str, float]]:
+            for k, s in enumerate(SETTINGS):
+                if (k, f) not in matchers:
+                    matchers[k, f] = Matcher(apart[s, f])
+                yield str(k), matchers[k, f].strength(text)
+
+        losses = {name: _loss(*xyn) for name, xyn in _points(rows, unseen).items()}
+        setting = SETTINGS[int(min(losses, key=lambda k: (round(losses[k], 6), int(k))))]
+    chosen = lexicon(setting)
+    plain = Matcher(chosen)
+
+    def phrases(text: str | None, _: int) -> set[str]:
         return {p for pair, _ in plain.hits(fold(text)) for p in pair if " " in p}
 
     seen = _counts(rows, phrases).groupBy("term").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     exceptions = [r["term"] for r in seen.filter((F.col("clean") >= MIN_CLEAN) & (F.col("clean") > F.col("toxic"))).collect()]
-    matcher = Matcher(lexicon, exceptions)
-
-    def strengths(text: str | None) -> list[str]:
-        return [f"{matcher.strength(text):.1f}"]
-
-    points = _counts(rows, strengths).collect()
-    x = np.array([float(r["term"]) for r in points])
-    y, n = np.array([float(r["toxic"]) for r in points]), np.array([float(r["n"]) for r in points])
-    return lexicon, exceptions, _logistic(x, y, n) if bad else (0.0, math.log((bad + 0.5) / (good + 1.5)))
+    matcher = Matcher(chosen, exceptions)
+    points = _points(rows, lambda text, _: [("all", matcher.strength(text))]).get("all", (np.empty(0),) * 3)
+    work.drop("labelled")
+    return chosen, exceptions, _logistic(*points) if bad else (0.0, math.log((bad + 0.5) / (good + 1.5)))
 
 
 def chosen_terms(odds: dict[str, float], count: dict[str, int]) -> dict[str, float]:
@@ -170,6 +218,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(w[0]), float(w[1] + 3.0 * w[0])
 
 
+def _loss(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Mean log loss of the logistic curve of the points."""
+    slope, offset = _logistic(x, y, n)
+    z = np.clip(slope * x + offset, -30, 30)
+    return float((n * (np.log1p(np.exp(z)) - y * z)).sum() / n.sum())
+
+
 def score(docs: DataFrame, model: tuple, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, and tox_score (0 to 1), for each row of docs."""
     lexicon, exceptions, (slope, offset) = model
