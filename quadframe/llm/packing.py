@@ -8,8 +8,10 @@ capacity prices the best configurations under the weights. The solution is round
 best fit, whole classes of equal sequences at a time. Pieces get their place by arithmetic from their rank among pieces
 of equal length, so no task sees more than its own pieces.
 
-Null texts count as empty; an empty text is a piece of one end id. Repeated rows are separate documents. The plan that
-tasks receive has a few entries for each different length (4096 at most) and doesn't grow with the documents.
+Null texts count as empty; an empty text is a piece of one end id. Repeated rows are separate documents; an empty table
+gives an empty result. Very long texts become many pieces, very long words are encoded but not kept. Among equal lengths
+places follow the order in which tasks read. Other columns of the input don't matter. The plan that tasks receive has a few
+entries for each different length (4096 at most) and doesn't grow with the documents.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 
 from .work import Work
 
-#: Words, and parts of words, kept with their ids in a worker; the caches start anew beyond.
-CACHED = 250_000
+#: Words, and parts of words, kept with their ids in a worker, and their greatest length; the caches start anew beyond.
+CACHED, LONGEST = 250_000, 64
 #: The tokenizer's own cut of printable ASCII text.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: A piece of less than one part in so many of a sequence is left to best fit.
-SHORT = 64
-#: Rounds of multiplicative weights, and how fast weights change.
-ROUNDS, RATE = 6, 3.0
+#: Texts whose ids tell whether a tokenizer cuts as PLAIN does.
+PROBES = ("It's 2024: the Quick_brown-fox's 3.14% (e.g. re-use), can't!?", "x=1;y->z //a\tb\n\nC++ don'T 'sx ''s a1b2", "naïve Straße — 东京 😀 и", "ab" * 50)
+#: Rounds of multiplicative weights at most, least distance from the dual bound at which they stop, how fast weights change.
+ROUNDS, GAP, RATE = 12, 1e-4, 3.0
 
 
 class Encoder:
@@ -47,29 +49,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.parts = {"": b""}, {}
+        self.words, self.parts, self.known = {"": b""}, {}, True
+        # A tokenizer that joins words or cuts them in other ways is asked for whole texts.
+        self.known = all(self(t) == self._whole(t) for t in PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+            if len(part) <= LONGEST:
+                self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         t = self.tokenizer
         if "<|" in word:  # special tokens are cut out of the text as it stands
-            return np.array(t.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(word)
         if word.isascii() and word.isprintable():
             return b"".join(map(self._part, PLAIN.findall(word.lower())))
         return b"".join([self._part(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))])
 
     def __call__(self, text: str) -> bytes:
+        if not self.known:
+            return self._whole(text)
         if len(self.words) > CACHED or len(self.parts) > CACHED:
             self.words, self.parts = {"": b""}, {}
         words, out = self.words, text.replace("\n", " ").split(" ")
+        long_ = {}
         for w in set(out).difference(words):
-            words[w] = self._word(w)
-        return b"".join(map(words.__getitem__, out))
+            (words if len(w) <= LONGEST else long_)[w] = self._word(w)
+        return b"".join([words[w] if w in words else long_[w] for w in out]) if long_ else b"".join(map(words.__getitem__, out))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -144,7 +156,12 @@ def configuration(first: int, pick: np.ndarray, down: np.ndarray, capacity: int)
 
 
 def solve(counts: dict[int, int], capacity: int) -> dict[tuple[int, ...], float]:
-    """Fractional numbers of configurations by multiplicative weights; lengths are covered about equally often."""
+    """Fractional numbers of configurations by multiplicative weights; lengths are covered about equally often.
+
+    The weights over the best configuration's value are a solution of the dual program, so their total bounds the number
+    of sequences from below; rounds end when the cover is near that bound.
+    """
+    bound = 0.0
     lengths = np.array(sorted(counts))
     wanted = np.array([counts[n] for n in lengths], float)
     place = {int(n): k for k, n in enumerate(lengths)}
@@ -155,16 +172,20 @@ def solve(counts: dict[int, int], capacity: int) -> dict[tuple[int, ...], float]
         # A length's price: its share of a sequence, more if it is covered less than others.
         weight[lengths] = lengths / capacity * np.exp(-RATE * (lag - lag.mean()) / max(1.0, lag.mean()))
         best, pick, down = knapsack(weight, capacity)
+        bound = max(bound, float(weight[lengths] @ wanted) / best[capacity])
+        total = sum(used.values())
+        if used and total / max((covered / wanted).min(), 1e-9) <= bound * (1 + GAP):
+            break
         top = (weight[lengths] + best[capacity - lengths]).max()
         step = np.zeros(len(lengths))
         for k in np.argsort(lag - 1e-6 * lengths, kind="stable"):
-            if (lag[k] + step[k] / wanted[k]) >= lag.mean() + 1 / ROUNDS + 0.5:
+            if (lag[k] + step[k] / wanted[k]) >= lag.mean() + 1 / 6 + 0.5:
                 continue
             chosen = configuration(int(lengths[k]), pick, down, capacity)
             if sum(weight[n] for n in chosen) < 0.5 * top:
                 continue
             need = Counter(place[n] for n in chosen)
-            times = min(wanted[i] / a for i, a in need.items()) / ROUNDS
+            times = min(wanted[i] / a for i, a in need.items()) / 6
             used[chosen] += times
             for i, a in need.items():
                 step[i] += a * times
@@ -219,17 +240,18 @@ def plan_for(counts: dict[int, int], capacity: int) -> dict[tuple[int, ...], int
     full = left.pop(capacity, 0)
     if full:
         plan[(capacity,)] = full
-    # The program is about what is hard to place; shorter pieces fill gaps.
-    large = {n: k for n, k in left.items() if n * SHORT >= capacity}
-    if large:
-        for p, x in sorted(solve(large, capacity).items(), key=lambda i: (sum(i[0]), i[1], i[0]), reverse=True):
+    rest = dict(left)
+    if left:
+        for p, x in sorted(solve(left, capacity).items(), key=lambda i: (sum(i[0]), i[1], i[0]), reverse=True):
             need = Counter(p)
             n = min(int(x + 0.5), *(left[k] // a for k, a in need.items()))
             if n:
                 plan[p] = plan.get(p, 0) + n
                 for k, a in need.items():
                     left[k] -= a * n
-    return best_fit({k: n for k, n in left.items() if n}, plan, capacity)
+    # Rounding can cost more than the program gains, so the plan without it is made too.
+    whole = {(capacity,): full} if full else {}
+    return min((best_fit({k: n for k, n in c.items() if n}, p, capacity) for c, p in ((left, plan), (rest, whole))), key=lambda p: sum(p.values()))
 
 
 def slots(plan: dict[tuple[int, ...], int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -259,7 +281,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 4096, end_id:
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = cut.drop("ids").join(first, ["part", "length"])
+    # A row for each task and length: it grows with the tasks, so it is never broadcast.
+    ranked = cut.drop("ids").join(first.hint("merge"), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("place"), "part", "rank")
     where = docs.sparkSession.sparkContext.broadcast(slots(plan_for(counts, capacity)))
 
