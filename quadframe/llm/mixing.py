@@ -8,8 +8,10 @@ documents that come first in a seeded order, up to the rest of its target.
 The prefix of the seeded order is found without sorting a whole source in one task: words are summed by (source, leading
 digits of the key), prefix sums run over those sums, and only the one slice that the cut falls into is ordered by row.
 
-Null and empty texts have size 0 and are taken 0 words. A null source is a source of its own and comes last. Repeated
-rows are separate documents. Without any words all targets are 0; an empty table gives an empty result.
+Null and empty texts have size 0 and are taken 0 words; a very long text counts by its words like any other, so a source's
+total may miss its target by half its longest text. A null source is a source of its own and comes last. Repeated rows are
+separate documents; rows of one identifier and size go by a hash of their other columns, so that reruns agree. Columns of
+the input may have any names. Without any words all targets are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +54,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 1
     """
     work = Work(docs.sparkSession, "mix")
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")][: bool(keep)])
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    # Rows of one identifier and size go by the other columns; rows equal in all stand for each other.
+    tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in keep]) if keep else F.lit(0)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), *[x for x in (kept.alias("row"), tie.alias("tie")) if keep])
     rows = work.save(rows, "rows").withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     slices = work.save(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "slices")
     plan = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs, max_epochs)
@@ -70,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 1
     inside = F.coalesce(F.col("slice") == F.col("cut"), F.lit(False))
     # Without a cut the rest is 0 words.
     outside = joined.filter(~inside).withColumn("more", F.coalesce((F.col("slice") < F.col("cut")).cast("int"), F.lit(0)))
-    order = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("key", "size", *["tie"][: bool(keep)]).rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("size").over(order) - F.col("size") / 2
     within = joined.filter(inside).withColumn("more", (middle < F.col("part")).cast("int"))
     out = outside.unionByName(within).withColumn("times", (F.col("whole") + F.col("more")).cast("int"))
@@ -80,4 +85,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 1
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; rows taken 0 times go."""
     mixed = mix(docs, keep=docs.columns, **options).filter("times > 0")
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    repeated = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
