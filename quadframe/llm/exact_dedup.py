@@ -7,7 +7,9 @@ compared byte by byte with the text that stays. Rows that a digest brings togeth
 
 The locator is (file, row in file) of the input; input that isn't in files is written to the shared folder first. Null
 texts count as empty. Of rows with equal text and identifier the one first by locator stays; a null identifier comes
-after all others. Repeated rows are separate documents. An empty table gives an empty result.
+after all others. Repeated rows are separate documents. An empty table gives an empty result. Very long texts are hashed
+and compared whole. Columns of the input may have any names. A call is one run of the stream: its state lives in the
+checkpoint of that call.
 """
 
 from __future__ import annotations
@@ -107,11 +109,15 @@ def exact_groups(docs: DataFrame, digest=sha256_of) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    work = Work(docs.sparkSession, "kept")
+    work, names = Work(docs.sparkSession, "kept"), docs.columns
     try:
+        if "_metadata" in names:
+            raise AnalysisException("a column of the input hides the locator")
         docs.select("_metadata.row_index")
+        where = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
     except AnalysisException:
-        docs = work.save(docs, "docs")
-    kept = exact_groups(docs).filter("kept").select(F.col("at_file").alias("__file"), F.col("at_row").alias("__row"))
-    here = docs.select("*", F.col("_metadata.file_path").alias("__at_file"), F.col("_metadata.row_index").alias("__at_row"))
-    return here.join(kept, (F.col("__at_file") == F.col("__file")) & (F.col("__at_row") == F.col("__row")), "left_semi").select(*docs.columns)
+        docs = work.save(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), "docs")
+        where = docs.select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
+        docs = docs.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
+    kept = exact_groups(docs).filter("kept").select("at_file", "at_row")
+    return where.join(kept, ["at_file", "at_row"], "left_semi").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
