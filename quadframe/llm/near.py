@@ -3,12 +3,13 @@
 Candidates share a band: 32 bands of 5 least hashes each, so a pair of similarity 0.8 has none in common with a
 probability of (1 - 0.8 ** 5) ** 32 = 3e-6, and a closer pair with less. Every candidate is settled by the exact
 similarity of the two sets. Of each band's bucket the first members in the order of their set's name are compared with
-all others of other components, then put away; their number doubles each round until no bucket holds two components.
+all others of other components, then put away; their number grows eightfold each round until no bucket holds two components.
 So a dense group takes about one comparison a member, and no pair goes unseen because a group is large.
 
 Equal sets are one member. Texts of fewer than five words have one shingle, the whole text; texts without words have none
 and are copies of each other only. A-Z count as a-z, words end at ASCII white space. Null identifiers come last in the
-choice of the document to keep, ties go by the text; rows equal in both stay together.
+choice of the document to keep, ties go by the text; rows equal in both stay together. Very long texts are cut into
+shingles whole. Columns of the input may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
         if not found.isEmpty():
             new = components(found, Work(work.spark, "near-links")).select("node", F.col("label").alias("to"))
             nodes, members = work.save(_renamed(nodes, new), f"nodes{step}"), _renamed(members, new)
-        first, step = min(2 * first, MOST_FIRST), step + 1
+        first, step = min(8 * first, MOST_FIRST), step + 1
 
 
 def grouped(docs: DataFrame, work: Work) -> DataFrame:
@@ -133,5 +134,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     work = Work(docs.sparkSession, "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept")
     kept = work.save(grouped(docs, work).groupBy("label").agg(first).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key")), "kept")
-    here = docs.withColumn("__text_key", F.xxhash64("text"))
-    return here.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi").select(*docs.columns)
+    here = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("text_key"))
+    first = here.join(kept, F.col("of").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
+    return first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
