@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-quadframe-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
