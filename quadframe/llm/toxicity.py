@@ -96,8 +96,11 @@ class Matcher:
             after = folded.find(" ", stop + 1)
             yield (folded[before + 1 : stop], folded[start : after if after > 0 else stop]), weight
 
-    def strength(self, folded: str) -> float:
-        """Logarithm of the matched weight of a folded text over the root of the number of words."""
+    def strength(self, text: str | None) -> float:
+        """Logarithm of the matched weight over the root of the number of words."""
+        return self.strength_of(fold(text))
+
+    def strength_of(self, folded: str) -> float:
         total = sum(w for phrases, w in self.hits(folded) if not self.exceptions.intersection(phrases))
         return math.log(total / math.sqrt(folded.count(" ") + 20) + 0.01)
 
@@ -177,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             for k, s in enumerate(SETTINGS):
                 if (k, f) not in matchers:
                     matchers[k, f] = Matcher(apart[s, f])
-                yield str(k), matchers[k, f].strength(folded)
+                yield str(k), matchers[k, f].strength_of(folded)
 
         losses = {name: _loss(*xyn) for name, xyn in _points(rows, unseen).items()}
         setting = SETTINGS[int(min(losses, key=lambda k: (round(losses[k], 6), int(k))))]
@@ -190,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     seen = _counts(rows, phrases).groupBy("term").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     exceptions = [r["term"] for r in seen.filter((F.col("clean") >= MIN_CLEAN) & (F.col("clean") > F.col("toxic"))).collect()]
     matcher = Matcher(chosen, exceptions)
-    points = _points(rows, lambda text, _: [("all", matcher.strength(fold(text)))]).get("all", (np.empty(0),) * 3)
+    points = _points(rows, lambda text, _: [("all", matcher.strength(text))]).get("all", (np.empty(0),) * 3)
     work.drop("labelled")
     return chosen, exceptions, _logistic(*points) if bad else (0.0, math.log((bad + 0.5) / (good + 1.5)))
 
@@ -237,7 +240,7 @@ def score(docs: DataFrame, model: tuple, keep: Iterable[str] = ("doc_id",)) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*shared.value)
         for batch in batches:
-            x = [slope * matcher.strength(fold(t)) + offset for t in batch.column(at).to_pylist()]
+            x = [slope * matcher.strength(t) + offset for t in batch.column(at).to_pylist()]
             p = pa.array([1 / (1 + math.exp(-min(max(v, -30.0), 30.0))) for v in x], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], p], [*names, "tox_score"])
 
