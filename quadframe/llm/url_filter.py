@@ -3,12 +3,16 @@
 Labelled page outcomes (bad or not) are counted by host. The overall rate is the prior of every suffix, a suffix's
 posterior mean the prior of its registered domains, a domain's the prior of its hosts. How strongly a level is shrunk
 towards its parent is estimated from the data: the beta-binomial correlation of the level by the method of moments. A
-page is blocked if the lower posterior bound of its host's bad rate exceeds a threshold; hosts without labels are
-judged by the posterior of their domain, then suffix, then the overall rate. Allow and block rules go before that.
-
-A url that is null or has no ``://`` has empty host and path; it is judged by the overall rate. Suffix is the last label
-of a host, registered domain the last two (for a listed two-label suffix, the last three). Repeated rows are judged one
-by one. Without labels the prior is 0.5 bad of 1 page, which blocks nothing.
+page is blocked if its host's bad rate exceeds a threshold with a posterior probability of 95 %; the threshold is ``lift``
+times the overall rate, so hosts that are no worse than others are never blocked, and clearly worse ones are, however rare
+bad pages are. Hosts without labels are judged by the posterior of their domain, then suffix, then the overall rate. Allow
+and block rules go before that.
+
+A url that is null or has no ``://`` has empty host and path; it is judged by the overall rate. The hierarchy is that of the
+host without user and port: suffix is the last label (for the suffixes of LONG_SUFFIXES the last two), registered domain
+one label more; an address in numbers is its own domain under one suffix. Very long urls are taken whole. Repeated rows
+are judged one by one. Without labels the prior is 0.5 bad of 1 page, which blocks nothing; without pages the result is
+empty. Other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -32,13 +36,30 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+#: Public suffixes of two labels.
+LONG_SUFFIXES = (
+    "co.uk", "org.uk", "me.uk", "ltd.uk", "plc.uk", "net.uk", "sch.uk", "ac.uk", "gov.uk", "nhs.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.nz", "org.nz", "ac.nz",
+    "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "co.kr", "or.kr", "com.cn", "net.cn", "org.cn", "gov.cn", "com.tw", "com.hk", "com.sg", "com.my", "co.in", "co.id", "co.th",
+    "com.br", "org.br", "gov.br", "com.ar", "com.mx", "com.co", "co.za", "com.tr", "com.ua", "co.il", "com.pl", "com.pt",
+)
+_NUMBERS = r"\A(?:[0-9.]+|\[.*)\z"
+
+
+def name_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*\z|\.\z", "")
+
+
+def suffix_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_NUMBERS), "#").when(two.isin(*long_suffixes), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def domain_of(host: Column, long_suffixes: Sequence[str] = ()) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two) if long_suffixes else two
+def domain_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> Column:
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_NUMBERS), name).when(two.isin(*long_suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -59,10 +80,10 @@ def _level(df: DataFrame, by: str, prior: Column) -> tuple[DataFrame, float]:
     return df, 1 / min(max(rho, RHO[0]), RHO[1]) - 1
 
 
-def reputation(labelled: DataFrame, long_suffixes: Sequence[str] = ()) -> dict:
+def reputation(labelled: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> dict:
     """Posterior beta parameters of the bad rate by host, domain and suffix, and overall. labelled: (host, bad 0 or 1)."""
     hosts = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("host_n"), F.sum("bad").alias("host_x"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), long_suffixes), "suffix": suffix_of(F.col("host"))})
+    hosts = hosts.withColumns({"domain": domain_of(F.col("host"), long_suffixes), "suffix": suffix_of(F.col("host"), long_suffixes)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("host_n").alias("domain_n"), F.sum("host_x").alias("domain_x"))
     suffixes = domains.groupBy("suffix").agg(F.sum("domain_n").alias("suffix_n"), F.sum("domain_x").alias("suffix_x"))
     total = suffixes.agg(F.coalesce(F.sum("suffix_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("suffix_x"), F.lit(0)).alias("x")).first()
@@ -81,17 +102,19 @@ def reputation(labelled: DataFrame, long_suffixes: Sequence[str] = ()) -> dict:
     return {"host": hosts, "domain": domains, "suffix": suffixes, "overall": (total["x"] + 0.5, total["n"] - total["x"] + 0.5)}
 
 
-def lower_bound(a: Column, b: Column, z: float) -> Column:
-    """Mean less z standard deviations of a beta distribution."""
-    s = a + b
-    return a / s - z * F.sqrt(a * b / (s * s * (s + 1)))
+def deviate(a: Column, b: Column, x: float) -> Column:
+    """Standard normal deviate of the probability that a beta variable is at most x, by cube roots (of two gammas' ratio)."""
+    u, v = F.pow(b * x, F.lit(1 / 3)), F.pow(a * (1 - x), F.lit(1 / 3))
+    return 3 * (u * (1 - 1 / (9 * b)) - v * (1 - 1 / (9 * a))) / F.sqrt(u * u / b + v * v / a)
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = (), threshold: float = 0.5, z: float = 1.64, long_suffixes: Sequence[str] = ()) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = (), lift: float = 1.25, z: float = 1.645, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate) for each row of pages. labelled: (host, bad 0 or 1)."""
     known = reputation(labelled, long_suffixes)
+    bad, good = known["overall"]
+    threshold = min(lift * bad / (bad + good), 1 - 0.5 * good / (bad + good))
     here = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    here = here.withColumns({"domain": domain_of(F.col("host"), long_suffixes), "suffix": suffix_of(F.col("host"))})
+    here = here.withColumns({"domain": domain_of(F.col("host"), long_suffixes), "suffix": suffix_of(F.col("host"), long_suffixes)})
     # One row a host to look up, so that a host with a third of the pages is one row in the chain of joins.
     every = here.select("host", "domain", "suffix").distinct()
     for by in ("host", "domain", "suffix"):
@@ -99,7 +122,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str,
     a, b = (F.coalesce(F.col(f"host_{p}"), F.col(f"domain_{p}"), F.col(f"suffix_{p}"), F.lit(known["overall"][i])) for i, p in enumerate("ab"))
     every = every.select("host", a.alias("a"), b.alias("b"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    worst = F.when(lower_bound(F.col("a"), F.col("b"), z) > threshold, "block").otherwise("allow")
+    worst = F.when(deviate(F.col("a"), F.col("b"), threshold) < -z, "block").otherwise("allow")
     return here.join(every, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, worst).alias("verdict"), (F.col("a") / (F.col("a") + F.col("b"))).alias("bad_rate"))
 
 
