@@ -2,10 +2,10 @@
 
 Vectors get binary codes: signs after rotations that are learned on a bounded sample (principal axes, a seeded turn, then
 alternating fits of the signs, several turns side by side). Codes are cut into substrings and every substring of every
-row is indexed. For a query, the pigeonhole principle names the entries to probe: a code within Hamming radius r has a
-substring within r // m of the query's, so the union of those entries holds every code within r. The radius of a query in
-a block is the distance of its ``share`` nearest codes there; those codes are ranked by exact inner products in double
-precision, and the best of all blocks are merged.
+row is indexed. Entries are probed at growing distances from the query's substrings: 0, 1, 2 bits and so on. By the
+pigeonhole principle, entries within d bits hold every code within m (d + 1) - 1 bits of the query, m the number of
+substrings; probing ends when at least ``share`` of the block's codes lie within that radius, which are then its nearest.
+Those are ranked by exact inner products in double precision, and the best of all blocks are merged.
 
 Queries are a stated set and meet the rows in blocks; a block's best ``k`` are all it passes on. Vectors that are null,
 zero or hold null or non-finite components take no part, nor do those that differ in length from most. Ties go to the
@@ -27,6 +27,9 @@ SUBSTRING_BITS = 16
 SHARE, LEAST = 0.05, 64
 BLOCK_ROWS, LEAST_BLOCKS = 8_192, 16
 QUERIES_AT_ONCE = 4_096
+_ALL = np.arange(1 << SUBSTRING_BITS, dtype=np.uint16)
+#: By distance: what a substring is flipped by.
+FLIPS = [_ALL[np.bitwise_count(_ALL) == d] for d in range(SUBSTRING_BITS + 1)]
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -66,12 +69,36 @@ class Index:
     """The substrings of a block of codes, each with the rows that hold it."""
 
     def __init__(self, subs: np.ndarray):
-        self.subs, self.entries = subs, []
+        self.subs, self.entries, self.probed = subs, [], 0
         for j in range(subs.shape[1]):
             order = np.argsort(subs[:, j], kind="stable")
             value, first = np.unique(subs[order, j], return_index=True)
             self.entries.append((value, np.append(first, len(order)), order))
 
+    def _entry(self, j: int, query: np.ndarray, distance: int) -> np.ndarray:
+        """Rows whose substring j differs from the query's in so many bits."""
+        value, first, order = self.entries[j]
+        flips = FLIPS[distance]
+        if len(flips) < len(value):  # look up what can be there, else go through what is there
+            wanted = query[j] ^ flips
+            at = np.minimum(np.searchsorted(value, wanted), len(value) - 1)
+            at = at[value[at] == wanted]
+        else:
+            at = np.flatnonzero(np.bitwise_count(value ^ query[j]) == distance)
+        return np.concatenate([order[first[k] : first[k + 1]] for k in at]) if len(at) else order[:0]
+
+    def nearest(self, query: np.ndarray, n: int) -> np.ndarray:
+        """The n rows of nearest codes and all others at the distance of the last."""
+        m, distance = self.subs.shape[1], np.full(len(self.subs), 1 << 15, np.int64)
+        for d in range(SUBSTRING_BITS + 1):
+            rows = np.unique(np.concatenate([self._entry(j, query, d) for j in range(m)]))
+            rows = rows[distance[rows] == 1 << 15]
+            self.probed += len(rows)
+            distance[rows] = np.bitwise_count(self.subs[rows] ^ query).sum(axis=1, dtype=np.int64)
+            if np.count_nonzero(distance <= m * (d + 1) - 1) >= n:
+                break
+        return np.flatnonzero(distance <= np.partition(distance, n - 1)[n - 1])
+
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code differs from the query's in at most radius bits."""
         n, near = self.subs.shape[0], radius // self.subs.shape[1]
@@ -87,18 +114,13 @@ class Index:
         rows = np.flatnonzero(found)
         return rows[np.bitwise_count(self.subs[rows] ^ query).sum(axis=1, dtype=np.int64) <= radius]
 
-    def radius_of(self, query: np.ndarray, n: int) -> int:
-        """Distance of the n-th nearest code."""
-        distance = np.bitwise_count(self.subs ^ query).sum(axis=1, dtype=np.int64)
-        return int(np.partition(distance, n - 1)[n - 1])
-
 
 def best_of_block(qid: np.ndarray, q: np.ndarray, qs: np.ndarray, ids: np.ndarray, v: np.ndarray, subs: np.ndarray, k: int, share: float):
     """The k best candidates of the block for each query: query ids, ids, scores."""
     index, out = Index(subs), ([], [], [])
     want = min(len(ids), max(LEAST, k + 1, int(share * len(ids))))
     for i in range(len(qid)):
-        rows = index.within(qs[i], index.radius_of(qs[i], want))
+        rows = index.nearest(qs[i], want)
         rows = rows[ids[rows] != qid[i]]
         if len(rows) < min(k, len(ids) - 1):  # copies of the query's id stood in the way
             rows = np.flatnonzero(ids != qid[i])

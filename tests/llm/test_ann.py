@@ -38,6 +38,21 @@ def test_pigeonhole_finds_every_code_within_the_radius():
         assert index.within(subs[0], radius).tolist() == np.flatnonzero(distance <= radius).tolist()
 
 
+def test_growing_probes_find_the_nearest_codes_and_leave_most_rows_of_structured_data():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 16, size=(200, 16), dtype=np.uint16)
+    subs = np.repeat(centres, 20, axis=0)
+    for _ in range(10):
+        subs[np.arange(len(subs)), rng.integers(0, 16, len(subs))] ^= np.uint16(1) << rng.integers(0, 16, len(subs)).astype(np.uint16)
+    index = ann.Index(subs)
+    for i in range(0, 4000, 400):
+        distance = np.bitwise_count(subs ^ subs[i]).sum(axis=1, dtype=np.int64)
+        for n in (1, 20, 300):
+            index.probed = 0
+            assert index.nearest(subs[i], n).tolist() == np.flatnonzero(distance <= np.sort(distance)[n - 1]).tolist()
+            assert n > 20 or index.probed < 400
+
+
 def test_odd_vectors_ties_and_few_rows(spark):
     nan = float("nan")
     rows = [(20, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (40, [0.5, 0.5]), (7, None), (8, [0.0, 0.0]), (9, [nan, 1.0]), (10, [None, 1.0]), (11, [float("inf"), 1.0]), (12, [1.0]), (None, [1.0, 1.0]), (60, None), (3, [1.0, 0.0])]
