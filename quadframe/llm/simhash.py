@@ -3,17 +3,21 @@
 Distinct fingerprints are put under upper nodes, each a mask and the bit pattern that its members share under it. The
 masks of a level cut the bits that are still free into ``radius + 1`` blocks, so two fingerprints that differ in at most
 ``radius`` bits share a node of every level; nodes with many members get children until all nodes are small. Inside a
-node the members are sorted by Gray rank and gathered into leaves of neighbours, again a mask of the bits that agree and
-their pattern; two leaves whose patterns differ in more than ``radius`` bits under both masks are pruned as wholes, and
-only the others are compared member by member. A node emits a spanning forest of its links, never all pairs; connected
+node the members are sorted by Gray rank, and a tree stands over that order: leaves of neighbours, and groups of groups above
+them, each with the mask of the bits in which all below agree and their pattern, of which a group keeps what its parent
+doesn't have already. Each leaf descends the tree from the root and adds up, group by group, the bits that differ under
+both masks; as soon as the sum exceeds ``radius`` the whole group is pruned. Only leaves that remain are compared member by
+member. A node emits a spanning forest of its links, never all pairs; connected
 components then come from label propagation with pointer jumping.
 
 A wide fingerprint has 128 bits: the first 64 are indexed with ``radius``, and what they bring together must also agree in
 all but ``total`` of the 128, which tells texts of a Jaccard similarity of 0.8 from chance. At the defaults (five words,
 radius 10, total 24) a pair of similarity 0.9 is linked with an estimated probability of 0.93, and one of 0.5 with 0.02.
 
-Null and empty texts have fingerprint 0 and link like any other. Repeated rows are separate documents. Null identifiers
-are ignored in the choice of a component's smallest, which is null if there is no other.
+Null and empty texts have fingerprint 0 and link like any other; very long ones are cut into shingles whole. Repeated rows
+are separate documents. Null identifiers are ignored in the choice of a component's smallest, which is null if there is no
+other. Ties can't arise: links and smallest identifiers don't depend on order. An empty table gives an empty result. Other
+columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from .work import Work
 
 #: Members above which a node of the index gets children.
 NODE_SIZE = 8192
-#: Neighbours in Gray order that form a leaf.
-LEAF = 32
+#: Neighbours in Gray order that form a leaf, and groups that form a larger one.
+LEAF, FAN = 32, 8
 _SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -109,15 +113,45 @@ def _alike(fp: np.ndarray, more: np.ndarray, i: np.ndarray, j: np.ndarray, total
     return differing <= total
 
 
+class GrayTree:
+    """Groups of fingerprints in Gray order, from leaves to one root: the pattern that is shared below each, and its mask."""
+
+    def __init__(self, fp: np.ndarray):
+        cut = np.arange(0, len(fp), LEAF)
+        low, high = np.bitwise_and.reduceat(fp, cut), np.bitwise_or.reduceat(fp, cut)
+        self.pattern, self.mask = [low], [~(low ^ high)]
+        while len(self.pattern[-1]) > 1:
+            cut = np.arange(0, len(low), FAN)
+            low, high = np.bitwise_and.reduceat(low, cut), np.bitwise_or.reduceat(high, cut)
+            self.pattern.append(low)
+            self.mask.append(~(low ^ high))
+        # What a group adds to its parent's mask.
+        self.own = [m & ~np.repeat(up, FAN)[: len(m)] for m, up in zip(self.mask, self.mask[1:])] + [self.mask[-1]]
+        self.visited = 0
+
+    def leaves_near(self, leaf: int, radius: int) -> np.ndarray:
+        """Leaves from this one on that no group above them prunes."""
+        mask, pattern = self.mask[0][leaf], self.pattern[0][leaf]
+        at, differing = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for level in range(len(self.pattern) - 1, -1, -1):
+            self.visited += len(at)
+            differing = differing + np.bitwise_count((self.pattern[level][at] ^ pattern) & self.own[level][at] & mask)
+            stay = differing <= radius
+            at, differing = at[stay], differing[stay]
+            if level:
+                at, differing = (at[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(differing, FAN)
+                there = (at < len(self.pattern[level - 1])) & (at >= leaf // FAN ** (level - 1))
+                at, differing = at[there], differing[there]
+        return at
+
+
 def forest_of_node(fp: np.ndarray, more: np.ndarray, radius: int, total: int) -> np.ndarray:
     """For each member, in Gray order, the first member that links connect it to."""
     n, label = len(fp), np.arange(len(fp))
     cut = np.arange(0, n, LEAF)
-    low, high = np.bitwise_and.reduceat(fp, cut), np.bitwise_or.reduceat(fp, cut)
-    mask, size = ~(low ^ high), np.diff(np.append(cut, n))
+    size, tree = np.diff(np.append(cut, n)), GrayTree(fp)
     for a in range(len(cut)):
-        apart = np.bitwise_count((low[a] ^ low[a:]) & mask[a] & mask[a:])
-        near = a + np.flatnonzero(apart <= radius)
+        near = tree.leaves_near(a, radius)
         others = np.concatenate([np.arange(cut[b], cut[b] + size[b]) for b in near])
         own = np.arange(cut[a], cut[a] + size[a])
         i, j = np.nonzero(np.bitwise_count(fp[own][:, None] ^ fp[others][None, :]) <= radius)

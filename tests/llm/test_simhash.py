@@ -57,6 +57,26 @@ def test_forest_of_a_node_connects_what_brute_force_connects():
     assert label.tolist() == brute_components(order, 4)
 
 
+def test_tree_prunes_whole_groups_and_loses_no_leaf():
+    fps = _fps(5, 2000)
+    ranks = np.array(fps, np.uint64)
+    rank = ranks.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    fp = ranks[np.argsort(rank)]
+    tree, leaves = simhash.GrayTree(fp), -(-len(fp) // simhash.LEAF)
+    for a in range(0, leaves, 9):
+        tree.visited = 0
+        near = set(tree.leaves_near(a, 2).tolist())
+        own = fp[a * simhash.LEAF : (a + 1) * simhash.LEAF]
+        least = [np.bitwise_count(own[:, None] ^ fp[b * simhash.LEAF : (b + 1) * simhash.LEAF][None, :]).min() for b in range(leaves)]
+        assert {b for b in range(a, leaves) if least[b] <= 2} <= near
+    # Fingerprints with a common beginning: most groups are left at their top.
+    fp = np.sort(np.array([(k // 64 << 52) | random.Random(k).getrandbits(8) for k in range(1 << 14)], np.uint64))
+    tree = simhash.GrayTree(fp)
+    assert len(tree.leaves_near(0, 0)) < 20 and tree.visited < 120
+
+
 def test_links_connect_what_brute_force_connects(spark):
     fps = _fps(2, 120)
     df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long").selectExpr("fp", "0L as more", "fp as id")
