@@ -4,7 +4,8 @@ Vectors get binary codes: signs after rotations that are learned on a bounded sa
 alternating fits of the signs, several turns side by side). Codes are cut into substrings and every substring of every
 row is indexed. Entries are probed at growing distances from the query's substrings: 0, 1, 2 bits and so on. By the
 pigeonhole principle, entries within d bits hold every code within m (d + 1) - 1 bits of the query, m the number of
-substrings; probing ends when at least ``share`` of the block's codes lie within that radius, which are then its nearest.
+substrings; probing ends when at least ``share`` of the block's codes lie within that radius, which are then its nearest,
+or when looking up takes more steps than the block has rows, which are then gone through.
 Those are ranked by exact inner products in double precision, and the best of all blocks are merged.
 
 Queries are a stated set and meet the rows in blocks; a block's best ``k`` are all it passes on. Vectors that are null,
@@ -78,24 +79,21 @@ class Index:
     def _entry(self, j: int, query: np.ndarray, distance: int) -> np.ndarray:
         """Rows whose substring j differs from the query's in so many bits."""
         value, first, order = self.entries[j]
-        flips = FLIPS[distance]
-        if len(flips) < len(value):  # look up what can be there, else go through what is there
-            wanted = query[j] ^ flips
-            at = np.minimum(np.searchsorted(value, wanted), len(value) - 1)
-            at = at[value[at] == wanted]
-        else:
-            at = np.flatnonzero(np.bitwise_count(value ^ query[j]) == distance)
+        wanted = query[j] ^ FLIPS[distance]
+        at = np.minimum(np.searchsorted(value, wanted), len(value) - 1)
+        at = at[value[at] == wanted]
         return np.concatenate([order[first[k] : first[k + 1]] for k in at]) if len(at) else order[:0]
 
     def nearest(self, query: np.ndarray, n: int) -> np.ndarray:
         """The n rows of nearest codes and all others at the distance of the last."""
         m, distance = self.subs.shape[1], np.full(len(self.subs), 1 << 15, np.int64)
         for d in range(SUBSTRING_BITS + 1):
-            rows = np.unique(np.concatenate([self._entry(j, query, d) for j in range(m)]))
+            dear = m * len(FLIPS[d]) > len(self.subs)  # more look-ups than rows: the rest is gone through
+            rows = np.flatnonzero(distance == 1 << 15) if dear else np.unique(np.concatenate([self._entry(j, query, d) for j in range(m)]))
             rows = rows[distance[rows] == 1 << 15]
             self.probed += len(rows)
             distance[rows] = np.bitwise_count(self.subs[rows] ^ query).sum(axis=1, dtype=np.int64)
-            if np.count_nonzero(distance <= m * (d + 1) - 1) >= n:
+            if dear or np.count_nonzero(distance <= m * (d + 1) - 1) >= n:
                 break
         return np.flatnonzero(distance <= np.partition(distance, n - 1)[n - 1])
 
