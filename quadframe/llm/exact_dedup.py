@@ -69,12 +69,12 @@ def fold(schema, work: Work, path: str) -> DataFrame:
     return written.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("group_size").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, digest=sha256_of) -> DataFrame:
+def exact_groups(docs: DataFrame, digest=sha256_of, work: Work | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) and at_file, at_row, for each row of docs.
 
     digest is the function whose values are the keys of the state; group membership doesn't rest on it alone.
     """
-    work = Work(docs.sparkSession, "exact")
+    work = work or Work(docs.sparkSession, "exact")
     source = located(docs.select("doc_id", "text"), work)
     norm = collapse_blanks(F.col("text"))
     index = source.select("doc_id", norm.alias("norm"), "at_file", "at_row").select("doc_id", "at_file", "at_row", digest(F.col("norm")).alias("digest"), sha256_of(F.col("norm")).alias("text_sha256"))
@@ -119,5 +119,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
         docs = work.save(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), "docs")
         where = docs.select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("at_file"), F.col("_metadata.row_index").alias("at_row"))
         docs = docs.select(F.col(f"c{names.index('doc_id')}").alias("doc_id"), F.col(f"c{names.index('text')}").alias("text"))
-    kept = exact_groups(docs).filter("kept").select("at_file", "at_row")
+    groups_work = Work(docs.sparkSession, "exact")
+    kept = work.save(exact_groups(docs, work=groups_work).filter("kept").select("at_file", "at_row"), "kept")
+    groups_work.clear()
     return where.join(kept, ["at_file", "at_row"], "left_semi").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

@@ -111,8 +111,11 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
         found = work.save(found, f"found{step}")
         members = members.join(heads.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti")
         if not found.isEmpty():
-            new = components(found, Work(work.spark, "near-links")).select("node", F.col("label").alias("to"))
+            linking = Work(work.spark, "near-links")
+            new = work.save(components(found, linking).select("node", F.col("label").alias("to")), f"new{step}")
+            linking.clear()
             nodes, members = work.save(_renamed(nodes, new), f"nodes{step}"), _renamed(members, new)
+        work.drop(f"pairs{step}")
         first, step = min(8 * first, MOST_FIRST), step + 1
 
 
@@ -134,6 +137,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     work = Work(docs.sparkSession, "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept")
     kept = work.save(grouped(docs, work).groupBy("label").agg(first).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__key")), "kept")
+    work.clear("kept")  # what is read from here on
     here = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("text_key"))
     first = here.join(kept, F.col("of").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
     return first.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

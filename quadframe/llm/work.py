@@ -54,6 +54,15 @@ class Work:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def clear(self, *keep: str) -> None:
+        """Delete all tables but those to keep."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        for at in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if at.getPath().getName() not in keep:
+                self.drop(at.getPath().getName())
+
+
 def collapse_blanks(text):
     """Null counts as empty; each run of ASCII white space becomes one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANK}]+", " ")
