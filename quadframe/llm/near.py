@@ -55,7 +55,7 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, id, buckets) for each row of docs; id names the text's set, 0 is the empty one."""
+    """(doc_id, text_key, id, n, buckets) for each row of docs; id names the text's set of n shingles, 0 is the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -64,10 +64,10 @@ def prints(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             ids = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
             in_bands = pa.array([buckets(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids), in_bands], ["doc_id", "text_key", "id", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids), pa.array([len(h) for h in sets], pa.int32()), in_bands], ["doc_id", "text_key", "id", "n", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, id long, buckets array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, id long, n int, buckets array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def _renamed(df: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
-    """(id, label) of nodes, label naming what links connect. members: (bucket, id, label), at first with id as label."""
+    """(id, label) of nodes, label naming what links connect. members: (bucket, id, n, label), at first with id as label."""
     first, step = 1, 0
     while True:
         several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
@@ -104,9 +104,10 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
         if members.isEmpty():
             return nodes
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        heads = members.withColumn("place", place).filter(F.col("place") <= first).select("bucket", F.col("id").alias("u"), F.col("label").alias("u_label"))
+        heads = members.withColumn("place", place).filter(F.col("place") <= first).select("bucket", F.col("id").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
         heads = work.save(heads, f"heads{step}")
-        pairs = members.join(heads, "bucket").filter("u < id and u_label <> label").select("u", F.col("id").alias("v"), "u_label", F.col("label").alias("v_label")).distinct()
+        # Sets whose sizes differ by more than a fifth can't be so similar.
+        pairs = members.join(heads, "bucket").filter("u < id and u_label <> label and 5 * least(n, u_n) >= 4 * greatest(n, u_n)").select("u", F.col("id").alias("v"), "u_label", F.col("label").alias("v_label")).distinct()
         found = alike(work.save(pairs, f"pairs{step}"), sets).select(F.col("u_label").alias("u"), F.col("v_label").alias("v")).distinct()
         found = work.save(found, f"found{step}")
         members = members.join(heads.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti")
@@ -122,7 +123,7 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
 def grouped(docs: DataFrame, work: Work) -> DataFrame:
     """(doc_id, text_key, label) for each row of docs; equal labels are near copies."""
     rows = work.save(prints(docs), "prints")
-    every = rows.select("id", "buckets").dropDuplicates(["id"]).select(F.explode("buckets").alias("bucket"), "id")
+    every = rows.select("id", "n", "buckets").dropDuplicates(["id"]).select(F.explode("buckets").alias("bucket"), "id", "n")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = work.save(every.join(shared, "bucket", "left_semi").withColumn("label", F.col("id")), "members")
     nodes = work.save(members.select("id", "label").distinct(), "nodes")
