@@ -1,7 +1,9 @@
 """Near copies by exact Jaccard similarity: texts that links of five-word shingle sets with a similarity of 0.8 connect.
 
 Candidates share a band: 32 bands of 5 least hashes each, so a pair of similarity 0.8 has none in common with a
-probability of (1 - 0.8 ** 5) ** 32 = 3e-6, and a closer pair with less. Every candidate is settled by the exact
+probability of (1 - 0.8 ** 5) ** 32 = 3e-6, and a closer pair with less. Each set has 256 parities: every hash flips one
+of them. Sets whose parities differ in d places differ in d hashes or more, and sets of n and m hashes with a similarity of
+0.8 differ in (n + m) / 9 at most, so pairs beyond that are put aside without loss. All others are settled by the exact
 similarity of the two sets. Of each band's bucket the first members in the order of their set's name are compared with
 all others of other components, then put away; their number grows eightfold each round until no bucket holds two components.
 So a dense group takes about one comparison a member, and no pair goes unseen because a group is large.
@@ -25,6 +27,8 @@ from .simhash import components
 from .work import Work
 
 WIDTH, BANDS, ROWS = 5, 32, 5
+#: Words of 64 parities that each set has.
+PARITIES = 4
 #: Members of a bucket that meet all others in one round, at most; the optimizer cuts ranks up to 1,000 before a shuffle.
 MOST_FIRST = 512
 _AT_ONCE = 1 << 12
@@ -54,8 +58,14 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return ((name ^ name >> np.uint64(29)) * _MIX[0] + _BAND).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bit b of word w is set if an odd number of hashes fall on it."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").astype(np.int64)
+
+
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, id, n, buckets) for each row of docs; id names the text's set of n shingles, 0 is the empty one."""
+    """(doc_id, text_key, id, n, parity, buckets) for each row of docs; id names the text's set of n shingles, 0 is the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -63,11 +73,11 @@ def prints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             ids = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
-            in_bands = pa.array([buckets(h) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids), pa.array([len(h) for h in sets], pa.int32()), in_bands], ["doc_id", "text_key", "id", "n", "buckets"])
+            parity, in_bands = (pa.array([f(h) for h in sets], pa.list_(pa.int64())) for f in (parities, buckets))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids), pa.array([len(h) for h in sets], pa.int32()), parity, in_bands], ["doc_id", "text_key", "id", "n", "parity", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, id long, n int, buckets array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, id long, n int, parity array<long>, buckets array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -94,7 +104,10 @@ def _renamed(df: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
-    """(id, label) of nodes, label naming what links connect. members: (bucket, id, n, label), at first with id as label."""
+    """(id, label) of nodes, label naming what links connect. members: (bucket, id, n, parity, label), at first with id as label."""
+    # Sets that differ in too many hashes, by their sizes or parities, can't be so similar.
+    differ = " + ".join(f"bit_count(parity[{i}] ^ u_parity[{i}])" for i in range(PARITIES))
+    may_link = f"u < id and u_label <> label and 5 * least(n, u_n) >= 4 * greatest(n, u_n) and 9 * ({differ}) <= n + u_n"
     first, step = 1, 0
     while True:
         several = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
@@ -104,10 +117,9 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
         if members.isEmpty():
             return nodes
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        heads = members.withColumn("place", place).filter(F.col("place") <= first).select("bucket", F.col("id").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
+        heads = members.withColumn("place", place).filter(F.col("place") <= first).select("bucket", F.col("id").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"), F.col("parity").alias("u_parity"))
         heads = work.save(heads, f"heads{step}")
-        # Sets whose sizes differ by more than a fifth can't be so similar.
-        pairs = members.join(heads, "bucket").filter("u < id and u_label <> label and 5 * least(n, u_n) >= 4 * greatest(n, u_n)").select("u", F.col("id").alias("v"), "u_label", F.col("label").alias("v_label")).distinct()
+        pairs = members.join(heads, "bucket").filter(may_link).select("u", F.col("id").alias("v"), "u_label", F.col("label").alias("v_label")).distinct()
         found = alike(work.save(pairs, f"pairs{step}"), sets).select(F.col("u_label").alias("u"), F.col("v_label").alias("v")).distinct()
         found = work.save(found, f"found{step}")
         members = members.join(heads.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti")
@@ -123,7 +135,7 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
 def grouped(docs: DataFrame, work: Work) -> DataFrame:
     """(doc_id, text_key, label) for each row of docs; equal labels are near copies."""
     rows = work.save(prints(docs), "prints")
-    every = rows.select("id", "n", "buckets").dropDuplicates(["id"]).select(F.explode("buckets").alias("bucket"), "id", "n")
+    every = rows.select("id", "n", "parity", "buckets").dropDuplicates(["id"]).select(F.explode("buckets").alias("bucket"), "id", "n", "parity")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = work.save(every.join(shared, "bucket", "left_semi").withColumn("label", F.col("id")), "members")
     nodes = work.save(members.select("id", "label").distinct(), "nodes")

@@ -1,6 +1,8 @@
 import random
 
-from quadframe.llm import simhash
+import numpy as np
+
+from quadframe.llm import near, simhash
 
 
 def texts_of(kept):
@@ -70,3 +72,18 @@ def test_texts_without_words_take_no_short_texts_with_them(spark):
     rng = random.Random(3)
     texts = [None, "", " \t"] + [" ".join(f"w{rng.randrange(9**6)}" for _ in range(6)) for _ in range(400)]
     assert kept_ids(spark, texts) == {0, *range(3, 403)}
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(3000):
+        n, differ = int(rng.integers(1, 400)), rng.random() * 0.4
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) >= differ], rng.integers(0, 1 << 64, int(n * differ), np.uint64))))
+        both = len(np.intersect1d(a, b))
+        bits = int(np.bitwise_count(near.parities(a) ^ near.parities(b)).sum())
+        linked, passes = 5 * both >= 4 * (len(a) + len(b) - both), 9 * bits <= len(a) + len(b)
+        assert passes or not linked
+        ruled_out += not passes
+    assert ruled_out > 1000
