@@ -82,7 +82,7 @@ def test_parities_never_rule_out_a_link():
         a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
         b = np.unique(np.concatenate((a[rng.random(len(a)) >= differ], rng.integers(0, 1 << 64, int(n * differ), np.uint64))))
         both = len(np.intersect1d(a, b))
-        bits = int(np.bitwise_count(near.parities(a) ^ near.parities(b)).sum())
+        bits = int(np.bitwise_count((near.parities(a) ^ near.parities(b)).view(np.uint64)).sum())
         linked, passes = 5 * both >= 4 * (len(a) + len(b) - both), 9 * bits <= len(a) + len(b)
         assert passes or not linked
         ruled_out += not passes
