@@ -5,7 +5,7 @@ probability of (1 - 0.8 ** 5) ** 32 = 3e-6, and a closer pair with less. Each se
 of them. Sets whose parities differ in d places differ in d hashes or more, and sets of n and m hashes with a similarity of
 0.8 differ in (n + m) / 9 at most, so pairs beyond that are put aside without loss. All others are settled by the exact
 similarity of the two sets. Of each band's bucket the first members in the order of their set's name are compared with
-all others of other components, then put away; their number grows eightfold each round until no bucket holds two components.
+all others of other components, then put away; their number grows 32-fold each round until no bucket holds two components.
 So a dense group takes about one comparison a member, and no pair goes unseen because a group is large.
 
 Equal sets are one member. Texts of fewer than five words have one shingle, the whole text; texts without words have none
@@ -30,7 +30,9 @@ WIDTH, BANDS, ROWS = 5, 32, 5
 #: Words of 64 parities that each set has.
 PARITIES = 4
 #: Members of a bucket that meet all others in one round, at most; the optimizer cuts ranks up to 1,000 before a shuffle.
-MOST_FIRST = 512
+MOST_FIRST = 1000
+#: By so much that number grows from one round to the next.
+GROWS = 32
 _AT_ONCE = 1 << 12
 _rng = np.random.default_rng(17)
 _TIMES, _PLUS, _MIX, _BAND = (_rng.integers(0, 1 << 64, n, np.uint64) for n in (BANDS * ROWS, BANDS * ROWS, ROWS, BANDS))
@@ -129,7 +131,7 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
             linking.clear()
             nodes, members = work.save(_renamed(nodes, new), f"nodes{step}"), _renamed(members, new)
         work.drop(f"pairs{step}")
-        first, step = min(8 * first, MOST_FIRST), step + 1
+        first, step = min(GROWS * first, MOST_FIRST), step + 1
 
 
 def grouped(docs: DataFrame, work: Work) -> DataFrame:
