@@ -17,6 +17,7 @@ entries for each different length (4096 at most) and doesn't grow with the docum
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .work import Work
 
-#: Words, and parts of words, kept with their ids in a worker, and their greatest length; the caches start anew beyond.
+#: Words, and parts of words, kept with their ids in a worker, and their greatest length; beyond, a cache starts anew and
+#: takes over what is met again from the one before.
 CACHED, LONGEST = 250_000, 64
-#: The tokenizer's own cut of printable ASCII text.
-PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of printable ASCII and Latin-1 letters, and the tokenizer's own cut of them in lower case.
+EASY = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Texts whose ids tell whether a tokenizer cuts as PLAIN does.
-PROBES = ("It's 2024: the Quick_brown-fox's 3.14% (e.g. re-use), can't!?", "x=1;y->z //a\tb\n\nC++ don'T 'sx ''s a1b2", "naïve Straße — 东京 😀 и", "ab" * 50)
+PROBES = ("It's 2024: the Quick_brown-fox's 3.14% (e.g. re-use), can't!?", "x=1;y->z //a\tb\n\nC++ don'T 'sx ''s a1b2", "naïve Straße — 东京 😀 и", "ab" * 50, "ÀÉÎÕÜ'S ñandú;Çà-và2l'Été d'ÿ ÆØÞðþß ÷×a ªº µ²¼")
 #: Rounds of multiplicative weights at most, least distance from the dual bound at which they stop, how fast weights change.
 ROUNDS, GAP, RATE = 12, 1e-4, 3.0
 
@@ -50,16 +53,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.parts, self.known = {"": b""}, {}, True
+        self.old_words, self.old_parts = {}, {}
         # A tokenizer that joins words or cuts them in other ways is asked for whole texts.
         self.known = all(self(t) == self._whole(t) for t in PROBES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str, spelled: bool = True) -> bytes:
+        """spelled: as the model reads it, bytes written as letters. No such spelling of other letters than ASCII is a part of an EASY word."""
         ids = self.parts.get(part)
         if ids is None:
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+            ids = self.old_parts.get(part)
+            if ids is None:
+                names = [part] if spelled else [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+                found = [t.id for p in names for t in self.tokenizer.model.tokenize(p)]
+                ids = struct.pack(f"<{len(found)}I", *found)
             if len(part) <= LONGEST:
                 self.parts[part] = ids
         return ids
@@ -68,19 +77,22 @@ class Encoder:
         t = self.tokenizer
         if "<|" in word:  # special tokens are cut out of the text as it stands
             return self._whole(word)
-        if word.isascii() and word.isprintable():
-            return b"".join(map(self._part, PLAIN.findall(word.lower())))
+        if EASY.fullmatch(word):
+            return b"".join([self._part(p, p.isascii()) for p in PLAIN.findall(word.lower())])
         return b"".join([self._part(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))])
 
     def __call__(self, text: str) -> bytes:
         if not self.known:
             return self._whole(text)
-        if len(self.words) > CACHED or len(self.parts) > CACHED:
-            self.words, self.parts = {"": b""}, {}
+        if len(self.words) > CACHED:
+            self.words, self.old_words = {"": b""}, self.words
+        if len(self.parts) > CACHED:
+            self.parts, self.old_parts = {}, self.parts
         words, out = self.words, text.replace("\n", " ").split(" ")
         long_ = {}
         for w in set(out).difference(words):
-            (words if len(w) <= LONGEST else long_)[w] = self._word(w)
+            ids = self.old_words.get(w)
+            (words if len(w) <= LONGEST else long_)[w] = self._word(w) if ids is None else ids
         return b"".join([words[w] if w in words else long_[w] for w in out]) if long_ else b"".join(map(words.__getitem__, out))
 
 

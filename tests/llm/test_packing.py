@@ -58,3 +58,12 @@ def test_pack_round_trip(spark):
         assert at <= 4096
     assert len(by) <= sum(r["length"] for r in got) / 4096 * 1.2 + 1
     assert packing.pack(docs.limit(0), PATH).collect() == []
+
+
+def test_latin_words_and_small_caches_give_the_tokenizers_ids(monkeypatch):
+    texts = ["Ünïcödé ñandú's ÀÉ2x", "ÆØÞðþß÷× ªº µ² ÿ", "e\u0301te\u0301 ÀÀ\u0300 ŒuvreŸ", "Été," * 30, "", "\xa0é\x85à\tÇ", "Ã©tÃ© ä¸ľ"]
+    monkeypatch.setattr(packing, "CACHED", 3)
+    encode = packing.Encoder(PATH)
+    assert encode.known
+    for text in texts * 2:
+        assert encode(text) == encode._whole(text)
