@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, ann, exact_dedup, langid, mixing, packing, pii, simhash, suffix_dedup, toxicity, url_filter, whiten
+from . import align, ann, exact_dedup, langid, mixing, packing, pii, simhash, site_tree, suffix_dedup, toxicity, url_filter, whiten
 from .work import crc32_of_id
 
 #: Fixed values of the url contract: verdict, host, start of the path.
@@ -73,6 +73,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("removed_at")
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whitened_components(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_url_filter, op4_packing, op5_ann, op6_exact_dedup, op7_simhash, op8_pii, op9_mixing, op10_suffix_dedup, op12_align, op13_whiten)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_toxicity, op3_url_filter, op4_packing, op5_ann, op6_exact_dedup, op7_simhash, op8_pii, op9_mixing, op10_suffix_dedup, op11_html, op12_align, op13_whiten)}
 
 _BLANK = r"\x20\x09-\x0D"
 
