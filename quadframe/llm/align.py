@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -38,7 +39,7 @@ BLOCK, PARTS, CACHED, LONGEST = 24_000_000, 256, 150_000, 48
 _B, _PART = 20, 40
 #: A space between words, where no token crosses.
 _SPACE = re.compile(r"(?<=[^\s▁]) (?=\S)")
-Aligned = tuple[int, int, str, list[int]]
+Aligned = tuple[int, int, str, bytes]
 DIGEST = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -65,60 +66,64 @@ class Aligner:
         letters = _letters()
         special = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
         self.bytes_a = {i: special.get(i) or bytes(letters[c] for c in t) for t, i in self.a.get_vocab().items()}
-        n = self.b.get_piece_size()
-        pieces = [self.b.id_to_piece(i) for i in range(n)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
+        self.key_b = [part_of(i) << _PART | i << _B for i in range(len(pieces))]
         before = self.a.pre_tokenizer.pre_tokenize_str(" it's x1 ,y")
         self.splits = self.a.normalizer is None and [p for p, _ in before] == ["Ġit", "'s", "Ġx", "1", "Ġ,", "y"] and not any("▁" in p.lstrip("▁") for p in pieces)
         self.words: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
 
     def cut(self, text: str, ids_a: list[int], ids_b: list[int]) -> Aligned | None:
-        """Numbers of tokens, groups as text, keys of links; None unless both spell space and text."""
-        spelled_a, spelled_b, want = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b], b" " + text.encode()
-        if b"".join(spelled_a) != want or b"".join(spelled_b) != want:
+        """Numbers of tokens, groups as text, keys of links as bytes; None unless both spell space and text."""
+        want = b" " + text.encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != want or b"".join(map(self.bytes_b.__getitem__, ids_b)) != want:
             return None
-        groups, keys, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(ids_a):
-            end_a += len(spelled_a[i])
-            i += 1
+        size_a, size_b, key_b, groups, keys, left, right, end_a, end_b, rest = self.size_a, self.size_b, self.key_b, [], [], "", "", 0, 0, iter(ids_b)
+        for a in ids_a:
+            end_a += size_a[a]
+            left = f"{left},{a}" if left else f"{a}"
             while end_b < end_a:
-                end_b += len(spelled_b[j])
-                j += 1
+                b = next(rest)
+                end_b += size_b[b]
+                right = f"{right},{b}" if right else f"{b}"
             if end_a == end_b:
-                b = ids_b[j - 1]
-                groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-                keys.append(part_of(b) << _PART | b << _B | ids_a[i - 1])
-                from_a, from_b = i, j
-        return len(ids_a), len(ids_b), ";".join(groups), keys
+                groups.append(f"{left}|{right}")
+                keys.append(key_b[b] | a)
+                left = right = ""
+        return len(ids_a), len(ids_b), ";".join(groups), struct.pack(f"<{len(keys)}q", *keys)
 
     def encode(self, texts: list[str]) -> list[Aligned | None]:
         """Of texts as they are, none of them empty."""
         found = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
         return [self.cut(t, x.ids, y) for t, x, y in zip(texts, found, self.b.encode(texts, num_threads=1))]
 
-    def __call__(self, text: str) -> tuple[int, int, str, list[int], int] | None:
-        """Numbers of tokens, digest of the groups, keys of links and their number of groups."""
-        if self.splits:
-            if len(self.words) > CACHED:
-                self.words, self.old = {}, self.words
-            words, parts, long_ = self.words, _SPACE.split(text), {}
-            new = []
-            for w in set(parts).difference(words):
-                if w in self.old:
-                    words[w] = self.old[w]
-                else:
-                    new.append(w)
-            for w, x in zip(new, self.encode(new) if new else ()):
-                (words if len(w) <= LONGEST else long_)[w] = x
-            got = [words[w] if w in words else long_[w] for w in parts]
-        if not self.splits or None in got:
-            got = self.encode([text])
-            if got[0] is None:
-                return None
-        groups = ";".join([x[2] for x in got])
-        keys = list(chain.from_iterable([x[3] for x in got]))
-        return sum([x[0] for x in got]), sum([x[1] for x in got]), hashlib.sha256(groups.encode()).hexdigest(), keys, len(keys)
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
+        """Numbers of tokens, digest of the groups, and keys of links, one for each group."""
+        if len(self.words) > CACHED:
+            self.words, self.old = {}, self.words
+        words, old, long_ = self.words, self.old, {}
+        parts = [_SPACE.split(t) if t and self.splits else [] for t in texts]
+        new = []
+        for w in set(chain.from_iterable(parts)).difference(words):
+            if w in old:
+                words[w] = old[w]
+            elif w:
+                new.append(w)
+        for w, x in zip(new, self.encode(new) if new else ()):
+            (words if len(w) <= LONGEST else long_)[w] = x
+        out = []
+        for text, cut in zip(texts, parts):
+            got = [words[w] if w in words else long_[w] for w in cut] if long_ else list(map(words.__getitem__, cut))
+            if text and (not got or None in got):
+                got = self.encode([text])
+            if not text or got[0] is None:
+                out.append((0, 0, "", np.empty(0, np.int64)))
+                continue
+            n_a, n_b, groups, keys = zip(*got)
+            out.append((sum(n_a), sum(n_b), hashlib.sha256(";".join(groups).encode()).hexdigest(), np.frombuffer(b"".join(keys), "<i8")))
+        return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -182,16 +187,17 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, most: int = BLOCK) -> Data
                 nothing = [pa.nulls(n, pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.array([name] * n), pa.array(part[starts], pa.int32()), *nothing, pa.nulls(n, pa.string()), pa.array(runs, pa.binary())], names)
 
-        for batch in batches:
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                n = len(text or "")
-                if held and size + n > most:
-                    yield from block()
-                    held, size = [], 0
-                size += n
-                x = align(text) if text else None
-                x = (0, 0, "", [], 0) if x is None else x
-                held.append((batch.column(0).slice(row, 1), np.array(x[3], np.int64), x[0], x[1], x[4], x[2]))
+        for big in batches:
+            for first in range(0, big.num_rows, 128):
+                batch = big.slice(first, 128)
+                texts = batch.column(1).to_pylist()
+                for row, (text, (n_a, n_b, sha, keys)) in enumerate(zip(texts, align(texts))):
+                    n = len(text or "")
+                    if held and size + n > most:
+                        yield from block()
+                        held, size = [], 0
+                    size += n
+                    held.append((batch.column(0).slice(row, 1), keys, n_a, n_b, len(keys), sha))
         if held:
             yield from block()
 
