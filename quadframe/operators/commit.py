@@ -15,6 +15,8 @@ from ..sources.scratch import checkpointed
 LOW, HIGH = "0" * 64, "f" * 64
 #: Leading hexadecimal digits that name a bucket.
 DIGITS = 4
+#: Levels of the hash tree that one shuffle goes up: a subtree of 2 ** STEP nodes stands in one row.
+STEP = 8
 #: Tags that keep kinds of hashes apart.
 QUAD_TAG, PREFIX_TAG, NODE_TAG = "quad", "prefix", "node"
 
@@ -72,15 +74,34 @@ def _parent(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.lit(NODE_TAG), left, right), 256)
 
 
+def _height(n: int) -> int:
+    return max(0, n - 1).bit_length()
+
+
+def _subtrees(nodes: DataFrame, step: int) -> DataFrame:
+    """(top, t0, ..., tstep) of nodes (idx, h): the hashes of each subtree of that height, by level; top is its root's place."""
+    members = F.array_sort(F.collect_list(F.struct("idx", "h")))
+    out = nodes.groupBy(F.shiftright("idx", step).alias("top")).agg(members.alias("members")).select("top", F.transform("members", lambda x: x["h"]).alias("t0"))
+    for k in range(step):
+        below = F.col(f"t{k}")
+        places = F.sequence(F.lit(0), F.floor((F.size(below) - 1) / 2).cast("int"))
+        out = out.withColumn(f"t{k + 1}", F.transform(places, lambda i: _parent(F.get(below, 2 * i), F.coalesce(F.get(below, 2 * i + 1), F.get(below, 2 * i)))))  # noqa: B023
+    return out
+
+
 def levels(leaf: DataFrame) -> DataFrame:
-    """(level, idx, h) from the leaves at 0 to the root; a node without a sibling is paired with itself."""
-    here = checkpointed(leaf.select(F.lit(0).alias("level"), "idx", "h"))
-    out, n, level = here, here.count(), 0
-    while n > 1:
-        level, n = level + 1, (n + 1) // 2
-        pair = here.groupBy(F.shiftright("idx", 1).alias("idx")).agg(F.min_by("h", "idx").alias("a"), F.max_by("h", "idx").alias("b"))
-        here = checkpointed(pair.select(F.lit(level).alias("level"), "idx", _parent(F.col("a"), F.col("b")).alias("h")))
-        out = out.unionByName(here)
+    """(level, idx, h) from the leaves at 0 to the root; a node without a sibling is paired with itself. STEP levels a shuffle."""
+    nodes = checkpointed(leaf.select("idx", "h"))
+    height, base = _height(nodes.count()), 0
+    out = nodes.select(F.lit(0).alias("level"), "idx", "h")
+    while base < height:
+        step = min(STEP, height - base)
+        trees = checkpointed(_subtrees(nodes, step))
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"t{k}").alias("t")) for k in range(1, step + 1)])).alias("one")
+        rows = trees.select("top", each).select("top", "one.k", F.posexplode("one.t").alias("nth", "h"))
+        rows = rows.select((F.col("k") + base).alias("level"), F.expr(f"shiftleft(top, {step} - k) + nth").alias("idx"), "h")
+        out = out.unionByName(rows)
+        nodes, base = trees.select(F.col("top").alias("idx"), F.col(f"t{step}")[0].alias("h")), base + step
     return out
 
 
@@ -89,18 +110,40 @@ def root(level: DataFrame) -> DataFrame:
     return level.agg(F.max_by("h", "level").alias("root"))
 
 
+def _partial_paths(wanted: DataFrame, level: DataFrame, base: int, step: int) -> DataFrame:
+    """(idx, h, steps) of wanted nodes (idx, h) of level base: siblings up to level base + step, from one shuffle by subtree."""
+    nodes = level.filter((F.col("level") >= base) & (F.col("level") < base + step))
+    top = F.expr(f"shiftright(idx, {base + step} - level)")
+    nodes = nodes.select(top.alias("top"), F.struct((F.col("level") - base).alias("k"), "idx", "h").alias("node"))
+    asked = wanted.select(F.shiftright("idx", step).alias("top"), F.struct(F.lit(-1).alias("k"), "idx", "h").alias("node"))
+    both = nodes.unionByName(asked).groupBy("top").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    of = lambda k: F.filter("nodes", lambda x: x["k"] == k)
+    both = both.select("top", *[F.transform(of(k), lambda x: x["h"]).alias(f"t{k}") for k in range(step)], F.explode(of(-1)).alias("one"))
+    steps = []
+    for k in range(step):
+        own = F.expr(f"cast(shiftright(one.idx - shiftleft(top, {step}), {k}) as int)")
+        sibling = F.coalesce(F.get(F.col(f"t{k}"), own.bitwiseXOR(F.lit(1))), F.get(F.col(f"t{k}"), own))
+        steps.append(F.struct(F.lit(base + k).alias("level"), sibling.alias("sibling"), own.bitwiseAND(F.lit(1)).alias("dir")))
+    return both.select("top", "one.idx", "one.h", F.array(*steps).alias("steps"))
+
+
 def paths(leaf: DataFrame, level: DataFrame) -> DataFrame:
-    """(idx, h, path): path is an array of (level, sibling, dir), dir 1 where the sibling is on the left."""
+    """(idx, h, path) of some leaves: path is an array of (level, sibling, dir), dir 1 where the sibling is on the left.
+
+    Paths are cut every STEP levels. The lowest part comes from one shuffle of leaves and nodes by subtree; what stands above
+    is one part for each subtree, in tables that are 2 ** STEP times smaller each.
+    """
     height = level.agg(F.max("level")).first()[0]
     if not height:
         return leaf.select("idx", "h", F.array().cast("array<struct<level:int,sibling:string,dir:int>>").alias("path"))
-    steps = leaf.select("idx", "h", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("step"))
-    steps = steps.withColumn("own", F.expr("shiftright(idx, step)")).withColumn("other", F.col("own").bitwiseXOR(F.lit(1)))
-    nodes = level.select(F.col("level").alias("l"), F.col("idx").alias("i"), F.col("h").alias("node"))
-    mates = steps.join(nodes, (F.col("step") == F.col("l")) & (F.col("other") == F.col("i")), "left").drop("l", "i").withColumnRenamed("node", "mate")
-    selves = mates.join(nodes, (F.col("step") == F.col("l")) & (F.col("own") == F.col("i"))).drop("l", "i")
-    one = F.struct(F.col("step").alias("level"), F.coalesce("mate", "node").alias("sibling"), F.col("own").bitwiseAND(F.lit(1)).cast("int").alias("dir"))
-    return selves.groupBy("idx", "h").agg(F.array_sort(F.collect_list(one)).alias("path"))
+    out, base = _partial_paths(leaf.select("idx", "h"), level, 0, min(STEP, height)), min(STEP, height)
+    while base < height:
+        step = min(STEP, height - base)
+        here = level.filter(F.col("level") == base).select("idx", "h")
+        upper = _partial_paths(here, level, base, step).select(F.col("idx").alias("at"), F.col("steps").alias("more"), F.col("top").alias("next"))
+        out = out.join(upper, F.col("top") == F.col("at")).select(F.col("next").alias("top"), "idx", "h", F.concat("steps", "more").alias("steps"))
+        base += step
+    return out.select("idx", "h", F.col("steps").alias("path"))
 
 
 def root_of_path(h: Column, path: Column) -> Column:
@@ -127,32 +170,34 @@ def check_sentinels(leaf: DataFrame, paths_: DataFrame, root_: str) -> DataFrame
     return ends.agg((F.coalesce(F.bool_and(F.col("ok") & right), F.lit(False)) & (F.count(F.lit(1)) == 2)).alias("ok"))
 
 
-def absent(probes: DataFrame, leaf: DataFrame) -> DataFrame:
+def marks_of(leaf: DataFrame) -> DataFrame:
+    """(b, least, most): first and last place of each bucket of leading digits; at most 16 ** DIGITS rows."""
+    return leaf.groupBy(F.substring("h", 1, DIGITS).alias("b")).agg(F.min("idx").alias("least"), F.max("idx").alias("most"))
+
+
+def absent(probes: DataFrame, leaf: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """probes, which have a hash h, with the neighbouring leaves' places, where they stand, and whether h is a leaf.
 
     tag: 0 below all quads, 1 between two, 2 above all, null if present. Probes meet leaves within buckets of leading
-    digits; what a bucket lacks comes from one row for each bucket.
+    digits, in two running passes of opposite order, so time is linear but for sorting. What a bucket lacks comes from
+    marks, one row for each bucket; with marks of all leaves, leaf may be just the buckets of the probes.
     """
     known = leaf.select("idx", "h")
-    top = known.agg(F.max("idx")).first()[0]
+    marks = marks_of(known) if marks is None else marks
+    top = marks.agg(F.max("most")).first()[0]
     bucket = F.substring("h", 1, DIGITS)
-    marks = known.groupBy(bucket.alias("b")).agg(F.min("idx").alias("least"), F.max("idx").alias("most"))
     asked = probes.select("h").distinct().select("h", F.lit(None).cast("long").alias("idx"))
     both = asked.unionByName(known).withColumn("bucket", bucket)
-    near = Window.partitionBy("bucket").orderBy("h")
-    down = F.max("idx").over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    up = F.min("idx").over(near.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    same = F.max("idx").over(Window.partitionBy("bucket", "h"))
-    placed = both.select("bucket", "h", "idx", down.alias("low"), up.alias("high"), same.alias("same")).filter("idx is null").distinct()
+    passed = lambda order: Window.partitionBy("bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.select("bucket", "h", "idx", F.max("idx").over(passed(F.asc("h"))).alias("low"), F.min("idx").over(passed(F.desc("h"))).alias("high")).filter("idx is null")
     # Neighbours outside the bucket: at most 16 ** DIGITS rows of marks and asked buckets.
-    wanted = marks.select(F.col("b"), "least", "most").unionByName(placed.select(F.col("bucket").alias("b")).distinct(), allowMissingColumns=True).groupBy("b").agg(F.max("least").alias("least"), F.max("most").alias("most"))
-    left = F.max("most").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    right = F.min("least").over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing))
-    edges = wanted.select("b", left.alias("before"), right.alias("after"))
+    wanted = marks.select("b", "least", "most").unionByName(asked.select(bucket.alias("b")).distinct(), allowMissingColumns=True).groupBy("b").agg(F.max("least").alias("least"), F.max("most").alias("most"))
+    before = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    edges = wanted.select("b", F.max("most").over(before(F.asc("b"))).alias("before"), F.min("least").over(before(F.desc("b"))).alias("after"))
     got = placed.join(edges, F.col("bucket") == F.col("b"))
-    present = F.col("same").isNotNull()
-    left_idx = F.when(present, F.col("same")).otherwise(F.coalesce("low", "before"))
-    right_idx = F.when(present, F.col("same")).otherwise(F.coalesce("high", "after"))
+    present = F.coalesce(F.col("low") >= F.col("high"), F.lit(False))
+    left_idx = F.coalesce("low", "before")
+    right_idx = F.when(present, F.col("low")).otherwise(F.coalesce("high", "after"))
     got = got.select("h", left_idx.alias("left_idx"), right_idx.alias("right_idx"), present.alias("present"))
     tag = F.when(~F.col("present"), F.when(F.col("left_idx") == 0, 0).when(F.col("right_idx") == top, 2).otherwise(1))
     return probes.join(got.withColumn("tag", tag), "h")

@@ -13,6 +13,7 @@ from ..operators import commit, paths, post
 from ..operators.patterns import Solutions, bgp, graph, values
 from ..sources import dataset, nquads, scratch
 from ..sources.mapping import EX, I, L, Quads
+from ..sources.scratch import checkpointed
 from .tables import quads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,14 +310,18 @@ def path_to(q):
     return paths.path(q, "?src", paths.star(paths.link(I("next"))), I("conversations/1/3")).values(src=None)
 
 
-@query("SELECT count(*) AS same, 0 AS other, 1 AS off FROM (SELECT 1) x", "conversations")
+@query(f"""SELECT x AS src, count(DISTINCT y) AS ends FROM (SELECT '{EX}conversations/1/' || turn AS x, '{EX}conversations/1/' || turn AS y FROM conversations WHERE conv_id = 1
+    UNION ALL SELECT '{EX}conversations/1/' || a.turn, '{EX}conversations/1/' || b.turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.conv_id = 1
+    UNION ALL SELECT '{EX}nobody', '{EX}nobody') GROUP BY x""", "conversations")
 def path_zero_ends(q):
-    """Constant ends of a step of length zero: the same, two others, and one that isn't in the graph."""
-    p, here = paths.opt(paths.link(I("next"))), I("conversations/1/5")
-    same, other = paths.path(q, here, p, here), paths.path(q, here, p, I("conversations/1/1"))
-    off = paths.path(q, I("nobody"), p, "?o")
-    n = lambda sol, name: sol.df.agg(F.count(F.lit(1)).alias(name))
-    return n(same, "same").crossJoin(n(other, "other").select(F.col("other").cast("int"))).crossJoin(n(off, "off").select(F.col("off").cast("int")))
+    """A step or none from each turn of a conversation, as a constant, and from a term that isn't in the graph; ends counted."""
+    p = paths.opt(paths.link(I("next")))
+    turns = [r[0] for r in q.tables[0].df.filter("conv_id = 1").select("turn").distinct().collect()]  # one conversation's
+    out = None
+    for name in [*[f"conversations/1/{n}" for n in turns], "nobody"]:
+        here = paths.path(q, I(name), p, "?o").df.select(F.lit(EX + name).alias("src"), "o")
+        out = here if out is None else out.unionByName(here)
+    return out.groupBy("src").agg(F.countDistinct("o").alias("ends"))
 
 
 @query(f"{_TURNS} AND b.turn BETWEEN a.turn + 1 AND a.turn + 2", "conversations")
@@ -757,13 +762,23 @@ def leaf_hash(q):
     return commit.hashed(q.quads()).select("h")
 
 
-@query(f"SELECT sha256(concat_ws('', length(k), ':', k)) AS h FROM (SELECT DISTINCT CAST(doc_id % 2 = 0 AS VARCHAR) AS k FROM documents)", "documents")
+_TRUTHS = "(SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END AS value, CASE WHEN doc_id % 4 < 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END ELSE CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END END AS lex FROM documents)"
+
+
+@query(f"SELECT value, lex, {_sql_hash(2, 'lex', 'value', dt=t.BOOLEAN)} AS h FROM {_TRUTHS}", "documents")
 def leaf_boolean(q):
-    """The canonical value of booleans, in both spellings."""
-    odd = q.tables[0].df.select((F.col("doc_id") % 2 == 0).alias("b")).distinct()
-    lex = F.when(F.col("b"), "1").otherwise("0")
-    word = F.when(commit.special(t.lit(lex, t.BOOLEAN)) == "1", "true").otherwise("false")
-    return odd.select(F.sha2(F.concat(F.length(word).cast("string"), F.lit(":"), word), 256).alias("h"))
+    """Boolean terms in both spellings: two hashes, as the spellings differ, with one canonical value in each."""
+    n = F.col("doc_id")
+    lex = F.when(n % 4 < 2, F.when(n % 2 == 0, "true").otherwise("false")).otherwise(F.when(n % 2 == 0, "1").otherwise("0"))
+    terms = q.tables[0].df.select(t.plain(t.LITERAL, lex, t.BOOLEAN).alias("b")).distinct()
+    return terms.select(commit.special(F.col("b")).alias("value"), F.col("b.lex").alias("lex"), commit.term_hash(F.col("b")).alias("h"))
+
+
+@query(f"WITH {_leaves_sql(_LABEL_QUADS)} SELECT idx, h FROM l", "labels")
+def order_invariance(q):
+    """Leaves of the same quads read in another order, over other partitions."""
+    quads_ = q.quads()
+    return commit.leaves(quads_.orderBy(F.rand(7)).repartition(7, F.rand(3))).select("idx", "h")
 
 
 @query(_LEAVES + "SELECT idx, h FROM l", "labels")
@@ -796,19 +811,36 @@ def bracket_absent(q):
     return commit.absent(probes, leaf).select("h", "left_idx", "right_idx", "present", F.col("tag").cast("int").alias("tag"))
 
 
-@query("SELECT 2 * count(*) + 2 AS n, true AS ok FROM labels", "labels")
+_ROOT = "max_by(h, level) AS root"
+
+
+@query(_TREE + f"""SELECT idx, h, (SELECT {_ROOT} FROM tree) AS root, true AS ok, false AS other_leaf, false AS other_place, false AS other_path, false AS other_root FROM l""", "labels")
 def inclusion_check(q):
+    """Each leaf with the root that its path gives; and what comes of a changed leaf, place, path and root, which must fail."""
     leaf = commit.leaves(q.quads())
-    level = commit.levels(leaf)
+    level = checkpointed(commit.levels(leaf))
     top = commit.root(level).first()[0]
-    return commit.check_inclusion(commit.paths(leaf, level), top).agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"))
-
-
-@query("SELECT count(*) >= 0 AS ok FROM labels", "labels")
+    here, changed = commit.paths(leaf, level), F.concat(F.lit("f"), F.substring("h", 2, 63))
+    changed = F.when(F.col("h") == changed, F.concat(F.lit("e"), F.substring("h", 2, 63))).otherwise(changed)
+    other = F.concat(F.array(F.struct(F.lit(0).alias("level"), F.sha2(F.col("path")[0]["sibling"], 256).alias("sibling"), F.col("path")[0]["dir"].alias("dir"))), F.slice("path", 2, 64))
+    ok = lambda df, root=top: commit.check_inclusion(df, root)
+    out = ok(here).withColumn("root", commit.root_of_path(F.col("h"), F.col("path")))
+    for name, df, root in (("other_leaf", here.withColumn("h", changed), top), ("other_place", here.withColumn("idx", F.col("idx") + 1), top), ("other_path", here.withColumn("path", other), top), ("other_root", here, "0" * 64)):
+        at = F.col("idx") - 1 if name == "other_place" else F.col("idx")
+        out = out.join(ok(df, root).select(at.alias("idx"), F.col("ok").alias(name)), "idx")
+    return out.drop("path")
+
+
+@query(_TREE + f"""SELECT (SELECT {_ROOT} FROM tree) AS root, (SELECT h FROM l WHERE idx = 0) = repeat('0', 64) AND (SELECT h FROM l WHERE idx = (SELECT max(idx) FROM l)) = repeat('f', 64) AS ok, false AS cut""", "labels")
 def sentinel_check(q):
+    """The sentinels of the root that SQL computes too; without its last leaf, the same tree fails."""
     leaf = commit.leaves(q.quads())
-    level = commit.levels(leaf)
-    return commit.check_sentinels(leaf, commit.paths(leaf, level), commit.root(level).first()[0])
+    level = checkpointed(commit.levels(leaf))
+    top = commit.root(level).first()[0]
+    cut = leaf.filter(F.col("h") != commit.HIGH)
+    all_ = commit.check_sentinels(leaf, commit.paths(leaf, level), top)
+    less = commit.check_sentinels(cut, commit.paths(cut, level), top).select(F.col("ok").alias("cut"))
+    return all_.crossJoin(less).select(F.lit(top).alias("root"), "ok", "cut")
 
 
 @query(_TREE + "SELECT max_by(h, level) AS root FROM tree", "labels")
