@@ -1,4 +1,9 @@
-"""Property paths as edge tables (src, dst)."""
+"""Property paths as edge tables (src, dst).
+
+Paths of one or more steps number their nodes first: one distinct pass over the edges makes a dictionary of terms, rounds
+join pairs of 64-bit numbers, and terms come back once at the end. A walk between two constants goes from both ends, the
+smaller side first, and holds nodes instead of pairs.
+"""
 
 from __future__ import annotations
 
@@ -63,8 +68,9 @@ def nps(*predicates: Const) -> Path:
     """Edges whose predicate is none of these."""
 
     def edges(q, _, src=None, dst=None):
-        other = ~F.col("p.lex").isin(*[p.lex for p in predicates])
-        return q.scan(src or "?s", "?p", dst or "?o").filter(other).select(F.col("s").alias("src"), F.col("o").alias("dst"))
+        rest = q.without([p.lex for p in predicates])
+        scan = q.scan(src or "?s", "?p", dst or "?o").limit(0) if rest is None else rest.scan(src or "?s", "?p", dst or "?o")
+        return scan.select(F.col("s").alias("src"), F.col("o").alias("dst"))
 
     return edges
 
@@ -73,8 +79,7 @@ def nodes(q: Quads, src: Const | None = None, dst: Const | None = None) -> DataF
     """(src, dst): each subject and object of the graph with itself; a constant end, in the graph or not, with itself."""
     end = src or dst
     if end is not None:
-        spark = (q.df if q.df is not None else q.tables[0].df).sparkSession
-        return _ends(spark.range(1).select(end.struct.alias("src"), end.struct.alias("dst")), src, dst)
+        return _ends(q.spark.range(1).select(end.struct.alias("src"), end.struct.alias("dst")), src, dst)
     all_ = q.scan("?s", "?p", "?o")
     each = all_.select(F.explode(F.array("s", "o")).alias("src")).distinct()
     return each.select("src", F.col("src").alias("dst"))
@@ -99,19 +104,68 @@ def plus(path: Path, max_depth: int | str | None = "default") -> Path:
         if most == 1:
             return path(q, d, src, dst).distinct()
         step = checkpointed(path(q, d).distinct())
-        reached = frontier = step if src is None else checkpointed(path(q, d, src).distinct())
-        depth = 1
-        while (most is None or depth < most) and not frontier.isEmpty():
-            fresh = _step(frontier, step).distinct().join(reached, ["src", "dst"], "left_anti")
-            # Each round is cut off, so that plans don't grow, and ends the loop when it is empty.
-            frontier = checkpointed(fresh)
-            reached = reached.unionByName(frontier)
-            depth += 1
-        return _ends(reached, None, dst)
+        terms, numbered = _numbered(step)
+        of = lambda x: terms.filter(F.col("term") == x.struct).select("node")
+        if src is not None and dst is not None:
+            met = _meets(of(src), of(dst), numbered, most)
+            return step.select("src", "dst").limit(0).unionByName(q.spark.range(int(met)).select(src.struct.alias("src"), dst.struct.alias("dst")))
+        first = numbered if src is None else checkpointed(numbered.join(of(src), F.col("a") == F.col("node"), "left_semi"))
+        reached = _closure(first, numbered, most)
+        named = lambda df, n, c: df.join(terms.select(F.col("node").alias(n), F.col("term").alias(c)), n)
+        return named(named(reached, "a", "src"), "b", "dst").select("src", "dst")
 
     return edges
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, term) of all ends, and the edges (a, b) by number."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("term")).distinct()
+    terms = checkpointed(ends.select(F.monotonically_increasing_id().alias("node"), "term"))
+    one = lambda n: terms.select(F.col("node").alias(n), F.col("term").alias(f"{n}_term"))
+    pairs = edges.join(one("a"), F.col("src") == F.col("a_term")).join(one("b"), F.col("dst") == F.col("b_term"))
+    return terms, checkpointed(pairs.select("a", "b"))
+
+
+def _closure(first: DataFrame, step: DataFrame, most: int | None) -> DataFrame:
+    """Distinct (a, b) that first and further steps connect, all in numbers; rounds are saved apart and read together at the end."""
+    follow = step.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    rounds, depth = [first], 1
+    while (most is None or depth < most) and not rounds[-1].isEmpty():
+        fresh = rounds[-1].join(follow, "b").select("a", F.col("c").alias("b"), F.lit(True).alias("new"))
+        for known in rounds:
+            fresh = fresh.unionByName(known.select("a", "b", F.lit(False).alias("new")))
+        # One shuffle both makes pairs distinct and leaves out those that are known.
+        rounds.append(checkpointed(fresh.groupBy("a", "b").agg(F.bool_and("new").alias("new")).filter("new").select("a", "b")))
+        depth += 1
+    out = rounds[0]
+    for more in rounds[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _meets(src: DataFrame, dst: DataFrame, step: DataFrame, most: int | None) -> bool:
+    """Whether 1 to most steps lead from src to dst, each a table of at most one node; nodes are reached from both ends."""
+    ways = [step.select(F.col("a").alias("node"), F.col("b").alias("to")), step.select(F.col("b").alias("node"), F.col("a").alias("to"))]
+
+    def expand(side: int) -> None:
+        fresh = layers[side].join(ways[side], "node").select(F.col("to").alias("node")).distinct()
+        layers[side] = checkpointed(fresh if seen[side] is None else fresh.join(seen[side], "node", "left_anti"))
+        seen[side] = layers[side] if seen[side] is None else seen[side].unionByName(layers[side])
+        sizes[side] = layers[side].count()
+
+    dst = checkpointed(dst)
+    layers, seen, sizes, length = [src, dst], [None, dst], [1, 1], 1
+    expand(0)
+    while sizes[0] and sizes[1]:
+        if not seen[0].join(seen[1], "node", "left_semi").isEmpty():
+            return True
+        if length == most:
+            return False
+        expand(int(sizes[1] < sizes[0]))
+        length += 1
+    return False
+
+
 def star(path: Path, max_depth: int | str | None = "default") -> Path:
     """plus() and no step at all; max_depth 0 is no step only."""
     if max_depth == 0:

@@ -324,6 +324,13 @@ def path_zero_ends(q):
     return out.groupBy("src").agg(F.countDistinct("o").alias("ends"))
 
 
+@query(f"""SELECT '{EX}conversations/1/0' AS src, '{EX}conversations/1/' || b.turn AS dst FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 3 WHERE a.conv_id = 1 AND a.turn = 0""", "conversations")
+def path_between(q):
+    """Both ends are constants; the walk goes from both."""
+    got = paths.path(q, I("conversations/1/0"), paths.plus(paths.link(I("next")), max_depth=None), I("conversations/1/3"))
+    return got.df.select(F.lit(f"{EX}conversations/1/0").alias("src"), F.lit(f"{EX}conversations/1/3").alias("dst"))
+
+
 @query(f"{_TURNS} AND b.turn BETWEEN a.turn + 1 AND a.turn + 2", "conversations")
 def path_depth(q):
     return _pairs(paths.path(q, "?src", paths.plus(paths.link(I("next"))), "?dst", max_depth=2))

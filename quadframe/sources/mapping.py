@@ -187,6 +187,18 @@ class Quads:
         self.df = source if isinstance(source, DataFrame) else None
         self.default_graph = default_graph
 
+    @property
+    def spark(self):
+        return (self.df if self.df is not None else self.tables[0].df).sparkSession
+
+    def without(self, predicates: Sequence[str]) -> Quads | None:
+        """These quads but those of some predicates, whose mapped columns are then not read; None if no predicate is left."""
+        if self.df is not None:
+            return Quads(self.df.filter(~F.col("p.lex").isin(*predicates)) if predicates else self.df, self.default_graph, self.triples_differ)
+        left = [(x, {p: o for p, o in x.columns.items() if p not in predicates}) for x in self.tables]
+        left = [Table(x.df, x.name, x.key, columns, x.unique, x.blank, x.subject_of) for x, columns in left if columns]
+        return Quads(left, self.default_graph) if left else None
+
     def quads(self) -> DataFrame:
         """All quads."""
         if self.df is not None:
