@@ -23,6 +23,7 @@ columns of the input don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +242,7 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     """(node, label) of every node with a link; label is the least node that links connect it to."""
     both = work.save(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     labels = work.save(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels0")
-    for step in range(1, 10_000):
+    for step in count(1):  # labels only fall, so rounds end
         seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         hooked = work.save(labels.join(seen, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), f"hooked{step}")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("over"))

@@ -10,7 +10,7 @@ Null and empty texts score as texts without a match; very long ones are folded a
 Labels may repeat; a text is toxic if one of its labels is. Rows that repeat an identifier or a text each count, up to the
 bound; null identifiers are not learned from. Equal settings go by their order. Without toxic labels the lexicon is empty
 and every score is the share of toxic labels, smoothed; an empty table gives an empty result. Other columns don't matter;
-a column tox_score of the input can't be kept beside the score of that name.
+a column tox_score of the input can't be kept beside the score of that name, but drop_toxic() keeps it.
 """
 
 from __future__ import annotations
@@ -229,10 +229,9 @@ def _loss(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return float((n * (np.log1p(np.exp(z)) - y * z)).sum() / n.sum())
 
 
-def score(docs: DataFrame, model: tuple, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep, and tox_score (0 to 1), for each row of docs."""
+def _scored(docs: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
+    """(c0, c1, ..., tox_score) of the columns named in keep, so that these may have any names."""
     lexicon, exceptions, (slope, offset) = model
-    keep = list(keep)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, exceptions))
     names = [f"c{i}" for i in range(len(keep))]
     at = keep.index("text") if "text" in keep else len(keep)
@@ -246,5 +245,15 @@ def score(docs: DataFrame, model: tuple, keep: Iterable[str] = ("doc_id",)) -> D
 
     given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *[F.col("text").alias("text_to_score")][: at == len(keep)])
     schema = ", ".join([*[f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names)], "tox_score double"])
-    out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "tox_score")
+    return given.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: tuple, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """The columns named in keep, and tox_score (0 to 1), for each row of docs."""
+    keep = list(keep)
+    return _scored(docs, model, keep).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "tox_score")
+
+
+def drop_toxic(docs: DataFrame, model: tuple) -> DataFrame:
+    """The rows of docs whose text scores below 0.5, with all their columns, whatever these are called."""
+    return _scored(docs, model, docs.columns).filter(F.col("tox_score") < 0.5).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
