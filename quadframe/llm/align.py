@@ -4,9 +4,9 @@ Counting is external. Each task encodes its documents in blocks of bounded text.
 are radix-partitioned by a hash of the second side's id and sorted into runs, second side first, which are written
 compressed by zstd. For each partition a k-way heap goes through its runs in that order: all of one id's entries come
 together, which gives the count of each pair and, when the id ends, its greatest count. In the same pass what was found is
-streamed back, entry by entry, into a reply to each run, and replies return to their block, whose documents hold
-their links as places in the block's pairs. A pair that half of all documents hold is one entry a block, so no id is hot, and
-no task sees more than its own block or the runs of one partition.
+streamed back, entry by entry, into a reply to each run, and replies return to their block, whose documents are places in
+the block's words and whose words are places in its pairs. A pair that half of all documents hold is one entry a block, so
+no id is hot, and no task sees more than its own block or the runs of one partition.
 
 A text is encoded by the first tokenizer with a space before it, by the second as it is (which adds the space), special
 tokens as plain text. Words that follow a single space are encoded apart, and their results kept while they recur; at
@@ -24,22 +24,27 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .work import Work
 
 #: Characters of text in a block, about; parts that runs are dealt to; words kept in a worker, and their greatest length.
-BLOCK, PARTS, CACHED, LONGEST = 24_000_000, 256, 150_000, 48
+BLOCK, PARTS, CACHED, LONGEST = 16_000_000, 256, 150_000, 48
 #: A link's key: part of the second side's id, that id, the first side's id.
 _B, _PART = 20, 40
 #: A space between words, where no token crosses.
 _SPACE = re.compile(r"(?<=[^\s▁]) (?=\S)")
-Aligned = tuple[int, int, str, bytes]
+#: How byte-level vocabularies of this kind cut text, and texts that tell whether one does.
+_CUTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PROBES = (" It's 2024: don't  re-use\n\tx_1;y ", "  naïve Straße — 東京 😀и", " ab\r\n ''s I'LL we'll", " <|endoftext|> a<|endoftext|>", "\u3000½\x00\x85 " + "z" * 70)
+#: A word's numbers of tokens, groups as text, keys of links as bytes, and its number in this worker.
+Aligned = tuple[int, int, str, bytes, int]
 DIGEST = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -61,46 +66,55 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        a.encode_special_tokens = True
         letters = _letters()
-        special = {i: t.content.encode() for i, t in self.a.get_added_tokens_decoder().items()}
-        self.bytes_a = {i: special.get(i) or bytes(letters[c] for c in t) for t, i in self.a.get_vocab().items()}
+        special = {i: t.content.encode() for i, t in a.get_added_tokens_decoder().items()}
+        vocabulary = {i: bytes(letters[c] for c in t) for t, i in a.get_vocab().items() if i not in special}
+        self.encode_a = lambda texts: [x.ids for x in a.encode_batch(texts, add_special_tokens=False)]
+        faster = _same_ranks(a, vocabulary)
+        self.encode_a = faster or self.encode_a
+        self.bytes_a = [(special | vocabulary).get(i, b"") for i in range(max([*special, *vocabulary]) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size_a, self.size_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
+        self.size_a, self.size_b = ([len(x) for x in side] for side in (self.bytes_a, self.bytes_b))
+        self.name_a, self.name_b = ([str(i) for i in range(len(side))] for side in (self.bytes_a, self.bytes_b))
         self.key_b = [part_of(i) << _PART | i << _B for i in range(len(pieces))]
-        before = self.a.pre_tokenizer.pre_tokenize_str(" it's x1 ,y")
-        self.splits = self.a.normalizer is None and [p for p, _ in before] == ["Ġit", "'s", "Ġx", "1", "Ġ,", "y"] and not any("▁" in p.lstrip("▁") for p in pieces)
+        before = a.pre_tokenizer.pre_tokenize_str(" it's x1 ,y")
+        self.splits = a.normalizer is None and [p for p, _ in before] == ["Ġit", "'s", "Ġx", "1", "Ġ,", "y"] and not any("▁" in p.lstrip("▁") for p in pieces)
         self.words: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
+        self.numbers = count()
 
     def cut(self, text: str, ids_a: list[int], ids_b: list[int]) -> Aligned | None:
-        """Numbers of tokens, groups as text, keys of links as bytes; None unless both spell space and text."""
+        """None unless both spell space and text."""
         want = b" " + text.encode()
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != want or b"".join(map(self.bytes_b.__getitem__, ids_b)) != want:
             return None
-        size_a, size_b, key_b, groups, keys, left, right, end_a, end_b, rest = self.size_a, self.size_b, self.key_b, [], [], "", "", 0, 0, iter(ids_b)
-        for a in ids_a:
-            end_a += size_a[a]
-            left = f"{left},{a}" if left else f"{a}"
-            while end_b < end_a:
-                b = next(rest)
-                end_b += size_b[b]
-                right = f"{right},{b}" if right else f"{b}"
-            if end_a == end_b:
-                groups.append(f"{left}|{right}")
-                keys.append(key_b[b] | a)
-                left = right = ""
-        return len(ids_a), len(ids_b), ";".join(groups), struct.pack(f"<{len(keys)}q", *keys)
+        size_a, size_b, name_a, name_b, key_b, groups, keys = self.size_a, self.size_b, self.name_a, self.name_b, self.key_b, [], []
+        i = j = ends = 0  # ends: by how much the first side is ahead
+        n = len(ids_a)
+        while i < n:
+            a, b = ids_a[i], ids_b[j]
+            i, j, ends = i + 1, j + 1, size_a[a] - size_b[b]
+            left, right = name_a[a], name_b[b]
+            while ends:
+                if ends < 0:
+                    a = ids_a[i]
+                    i, ends, left = i + 1, ends + size_a[a], f"{left},{name_a[a]}"
+                else:
+                    b = ids_b[j]
+                    j, ends, right = j + 1, ends - size_b[b], f"{right},{name_b[b]}"
+            groups.append(f"{left}|{right}")
+            keys.append(key_b[b] | a)
+        return n, len(ids_b), ";".join(groups), struct.pack(f"<{len(keys)}q", *keys), next(self.numbers)
 
     def encode(self, texts: list[str]) -> list[Aligned | None]:
         """Of texts as they are, none of them empty."""
-        found = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        return [self.cut(t, x.ids, y) for t, x, y in zip(texts, found, self.b.encode(texts, num_threads=1))]
+        return list(map(self.cut, texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)))
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, str, np.ndarray]]:
-        """Numbers of tokens, digest of the groups, and keys of links, one for each group."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, str, tuple[bytes, ...], tuple[int, ...]]]:
+        """Numbers of tokens, digest of the groups, and the keys of links and numbers of the words."""
         if len(self.words) > CACHED:
             self.words, self.old = {}, self.words
         words, old, long_ = self.words, self.old, {}
@@ -119,13 +133,26 @@ class Aligner:
             if text and (not got or None in got):
                 got = self.encode([text])
             if not text or got[0] is None:
-                out.append((0, 0, "", np.empty(0, np.int64)))
+                out.append((0, 0, "", (), ()))
                 continue
-            n_a, n_b, groups, keys = zip(*got)
-            out.append((sum(n_a), sum(n_b), hashlib.sha256(";".join(groups).encode()).hexdigest(), np.frombuffer(b"".join(keys), "<i8")))
+            n_a, n_b, groups, keys, numbers = zip(*got)
+            out.append((sum(n_a), sum(n_b), hashlib.sha256(";".join(groups).encode()).hexdigest(), keys, numbers))
         return out
 
 
+def _same_ranks(tokenizer, vocabulary: dict[int, bytes]):
+    """The same ids from the vocabulary read as ranks, in half the time; None where the tokenizer's ids are other ones."""
+    import tiktoken
+
+    try:
+        ranks = tiktoken.Encoding("ranks", pat_str=_CUTS, mergeable_ranks={t: i for i, t in vocabulary.items()}, special_tokens={})
+        found = [ranks.encode_ordinary(t) for t in _PROBES]
+    except BaseException:  # noqa: BLE001  a vocabulary that isn't one of ranks ends in a panic there
+        return None
+    same = found == [tokenizer.encode(t, add_special_tokens=False).ids for t in _PROBES]
+    return (lambda texts: list(map(ranks.encode_ordinary, texts))) if same else None
+
+
 _aligners: dict[tuple[str, str], Aligner] = {}
 
 
@@ -155,53 +182,60 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, most: int = BLOCK) -> DataFrame:
-    """Rows of documents with their links, and of runs (part not null), each with the block they belong to; most: characters of a block."""
+    """Rows of documents (part null), of words (part -1) and of runs, each with the block they belong to; most: characters of a block."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "block", "part", "n_a", "n_b", "n_groups", "sha", "packed"]
+    names = ["doc_id", "block", "part", "n_a", "n_b", "sha", "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         align = aligner(path_a, path_b)
-        held: list[tuple] = []  # ids, keys and numbers of the block's documents
+        held: list[tuple] = []  # ids, words and numbers of tokens of the block's documents
+        keys_of: dict[int, bytes] = {}  # links of the block's words
         size = 0
 
         def block() -> Iterator[pa.RecordBatch]:
             name = uuid.uuid4().hex
             ids = pa.concat_arrays([x[0] for x in held])
-            every = np.concatenate([x[1] for x in held])
-            pairs, places, counts = np.unique(every, return_inverse=True, return_counts=True)
-            ends = np.cumsum([len(x[1]) for x in held])
-            places = np.split(places.astype("<u4"), ends[:-1])
+            words, places, times = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True, return_counts=True)
+            places = np.split(places.astype("<u4"), np.cumsum([len(x[1]) for x in held])[:-1])
             for at in range(0, len(held), 256):
                 some = held[at : at + 256]
                 n = len(some)
-                cols = [ids.slice(at, n), pa.array([name] * n), pa.nulls(n, pa.int32()), *[pa.array([x[k] for x in some], pa.int64()) for k in (2, 3, 4)], pa.array([x[5] for x in some], pa.string()), pa.array([pack(p) for p in places[at : at + n]], pa.binary())]
+                cols = [ids.slice(at, n), pa.array([name] * n), pa.nulls(n, pa.int32()), *[pa.array([x[k] for x in some], pa.int64()) for k in (2, 3)], pa.array([x[4] for x in some], pa.string()), pa.array([pack(p) for p in places[at : at + n]], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
+            if not len(words):
+                return
+            keys = [keys_of[w] for w in words.tolist()]
+            lengths = np.fromiter(map(len, keys), np.int64, len(keys)) // 8
+            pairs, places = np.unique(np.frombuffer(b"".join(keys), "<i8"), return_inverse=True)
+            counts = np.bincount(places, np.repeat(times, lengths), len(pairs)).astype("<i8")
             part = pairs >> _PART
             starts = np.flatnonzero(np.diff(part, prepend=-1))
-            runs = [pack(np.diff(pairs[s:e], prepend=0).astype("<i8"), counts[s:e].astype("<i8")) for s, e in zip(starts, [*starts[1:], len(pairs)])]
-            if runs:
-                n = len(runs)
-                nothing = [pa.nulls(n, pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.array([name] * n), pa.array(part[starts], pa.int32()), *nothing, pa.nulls(n, pa.string()), pa.array(runs, pa.binary())], names)
+            # A word's last place is marked by the lowest bit.
+            marked = places.astype("<u4") << 1
+            marked[np.cumsum(lengths) - 1] |= 1
+            blobs = [pack(marked), *[pack(np.diff(pairs[s:e], prepend=0).astype("<i8"), counts[s:e]) for s, e in zip(starts, [*starts[1:], len(pairs)])]]
+            n = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, ids.type), pa.array([name] * n), pa.array([-1, *part[starts].tolist()], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(blobs, pa.binary())], names)
 
         for big in batches:
             for first in range(0, big.num_rows, 128):
                 batch = big.slice(first, 128)
                 texts = batch.column(1).to_pylist()
-                for row, (text, (n_a, n_b, sha, keys)) in enumerate(zip(texts, align(texts))):
+                for row, (text, (n_a, n_b, sha, keys, numbers)) in enumerate(zip(texts, align(texts))):
                     n = len(text or "")
                     if held and size + n > most:
                         yield from block()
-                        held, size = [], 0
+                        held, keys_of, size = [], {}, 0
                     size += n
-                    held.append((batch.column(0).slice(row, 1), keys, n_a, n_b, len(keys), sha))
+                    keys_of.update(zip(numbers, keys))
+                    held.append((batch.column(0).slice(row, 1), np.array(numbers, np.int64), n_a, n_b, sha))
         if held:
             yield from block()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, block string, part int, n_a long, n_b long, n_groups long, sha string, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, block string, part int, n_a long, n_b long, sha string, packed binary")
 
 
 class Run:
@@ -261,16 +295,23 @@ def counted(runs: DataFrame, pairs: bool) -> DataFrame:
 
 
 def returned(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Documents of each block with sums over their links."""
+    """Documents of each block with sums over their links; each group of tokens ends in one link."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("part")
-        got = [unpack(x, "<i8", "i1") for x in right.column("packed").to_pylist()]
-        totals, best = (np.concatenate([x[k] for x in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
-        links = [unpack(x, "<u4")[0] for x in left.column("packed").to_pylist()]
-        sums = {"n_links": [len(x) for x in links], "n_best": [int(best[x].sum()) for x in links], "count_sum": [int(totals[x].sum()) for x in links]}
-        out = {"doc_id": left.column("doc_id")} | {n: left.column(n) for n in ("n_a", "n_b", "n_groups")} | {n: pa.array(x, pa.int64()) for n, x in sums.items()}
+        found = [unpack(x, "<i8", "i1") for x in right.column("packed").to_pylist()]
+        words = left.filter(pc.is_valid(left.column("part"))).column("packed").to_pylist()
+        left = left.filter(pc.is_null(left.column("part")))
+        sums = np.zeros((3, 0), np.int64)
+        if words:
+            places = unpack(words[0], "<u4")[0]
+            starts = np.concatenate(([0], np.flatnonzero(places & 1)[:-1] + 1))
+            links = [np.ones(len(places), np.int64), *[np.concatenate([x[k] for x in found])[places >> 1].astype(np.int64) for k in (1, 0)]]
+            sums = np.array([np.add.reduceat(x, starts) for x in links])
+        totals = [sums[:, unpack(x, "<u4")[0]].sum(axis=1) for x in left.column("packed").to_pylist()]
+        n_links, n_best, count_sum = (pa.array([int(t[k]) for t in totals], pa.int64()) for k in range(3))
+        out = {n: left.column(n) for n in ("doc_id", "n_a", "n_b")} | {"n_groups": n_links, "n_links": n_links, "n_best": n_best, "count_sum": count_sum}
         return pa.table(out | {"groups_sha256": left.column("sha")})
 
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, f"doc_id {kind}, {DIGEST}")
@@ -282,7 +323,7 @@ def _encoded(docs: DataFrame, path_a: str | None, path_b: str | None, most: int)
     work = Work(docs.sparkSession, "align")
     paths = path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
     every = work.save(blocks(docs, *paths, most), "blocks")
-    return every.filter("part is null").drop("part"), every.filter("part is not null").select("block", "part", "packed"), work
+    return every.filter("part is null or part < 0"), every.filter("part >= 0").select("block", "part", "packed"), work
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, most: int = BLOCK) -> DataFrame:
