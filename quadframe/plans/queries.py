@@ -876,6 +876,17 @@ def prefix_absent(q):
     return commit.absent(docs.df.select(h.alias("h")), leaf).select("h", "left_idx", "right_idx", "present", F.col("tag").cast("int").alias("tag"))
 
 
+@query(_TREE + f""", p AS (SELECT DISTINCT sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents)
+    SELECT h, (SELECT {_ROOT} FROM tree) AS root, {_BRACKET}""", "labels", "documents")
+def persisted_absent(q):
+    """Brackets from the tables as written, beside the stored root."""
+    spark, path = spark_of(q), scratch.fresh(spark_of(q), "dataset")
+    dataset.save(Quads([x for x in q.tables if x.name == "labels"]).quads(), path)
+    keys = next(x.df for x in q.tables if x.name == "documents").select(F.sha2(F.col("doc_id").cast("string"), 256).alias("h")).distinct()
+    got = dataset.absent(keys, path)
+    return got.select("h", F.lit(dataset.root(spark, path)).alias("root"), "left_idx", "right_idx", "present", F.col("tag").cast("int").alias("tag"))
+
+
 @query(f"""SELECT '<{EX}supplier/' || s_suppkey || '> <{EX}supplier_name> "' || s_name || '" <{EX}g/supplier> .' AS value FROM supplier
     UNION ALL SELECT '<{EX}supplier/' || s_suppkey || '> <{EX}supplier_nation> <{EX}nation/' || s_nationkey || '> <{EX}g/supplier> .' FROM supplier
     UNION ALL SELECT '<{EX}supplier/' || s_suppkey || '> <{EX}supplier_acctbal> "' || CAST(s_acctbal AS VARCHAR) || '"^^<{t.DOUBLE}> <{EX}g/supplier> .' FROM supplier""", "supplier")

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadframe.operators import commit
+from quadframe.plans.tables import quads
+from quadframe.sources import dataset
 
 
 def parent(a, b):
@@ -88,3 +90,20 @@ def test_brackets_of_all_buckets(spark):
     got = commit.absent(probes, inner.unionByName(ends))
     assert got.agg(F.count(F.lit(1)), F.bool_and((F.col("left_idx") == F.floor(F.col("id") / 3) + 1) & (F.col("right_idx") == F.col("left_idx") + 1))).first() == (probes.count(), True)
     assert time.time() - began < 60
+
+
+def test_look_ups_read_few_folders(spark, tmp_path):
+    path = f"file://{tmp_path}/d"
+    dataset.save(quads(spark, "/root/testdata/sf0.001", "orders").quads(), path)
+    leaf, level = dataset.load(spark, path)
+    leaves = [r["h"] for r in leaf.orderBy("idx").collect()]
+    assert leaves == sorted(leaves) and leaves[0] == commit.LOW and leaves[-1] == commit.HIGH
+    assert dataset.root(spark, path) == tree(leaves)[-1][0] == commit.root(level).first()[0]
+    inside = leaves[len(leaves) // 3]
+    asked = [inside, inside[:-1] + ("0" if inside[-1] != "0" else "1"), "0" * 63 + "1", "12" + "0" * 62]
+    found = dataset.look_up(spark, path, asked)
+    assert {r["h"]: (r["left_idx"], r["right_idx"], r["present"], r["tag"]) for r in found.collect()} == brackets(leaves, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [digits" in plan
+    got = dataset.members(spark, path, asked).collect()
+    assert [(r["h"], r["idx"], r["ok"]) for r in got] == [(inside, leaves.index(inside), True)]
