@@ -895,3 +895,17 @@ def nquads_lines(q):
     text = nquads.lines(q.quads())
     again = text.select(*[c.alias(n) for n, c in nquads.parse(F.col("value")).items()])
     return nquads.lines(again)
+
+
+@query(f"""SELECT 'quad' AS kind, '<{EX}nation/' || n_nationkey || '> <{EX}nation_name> "' || n_name || '" <{EX}g/nation> .' AS value FROM nation
+    UNION ALL SELECT 'quad', '<{EX}nation/' || n_nationkey || '> <{EX}region> <{EX}region/' || n_regionkey || '> <{EX}g/nation> .' FROM nation
+    UNION ALL SELECT 'rejected', '<{EX}customer/' || c_custkey || '> "' || c_name || '" .' FROM customer""", "nation", "customer")
+def nquads_files(q):
+    """Read from text files, with lines that aren't quads, comments and blank lines among them."""
+    spark, path = spark_of(q), scratch.fresh(spark_of(q), "nquads")
+    nation, customer = (next(x for x in q.tables if x.name == n) for n in ("nation", "customer"))
+    wrong = customer.df.select(F.concat(F.lit("<"), customer.subject()["lex"], F.lit('> "'), "c_name", F.lit('" .')).alias("value"))
+    rest = customer.df.select(F.when(F.col("c_custkey") % 2 == 0, "  # a comment").otherwise(" ").alias("value"))
+    nquads.lines(Quads([nation]).quads()).union(wrong).union(rest).write.text(path)
+    found = nquads.lines(nquads.read(spark, path)).select(F.lit("quad").alias("kind"), "value")
+    return found.union(nquads.rejected(spark, path).select(F.lit("rejected"), "value"))

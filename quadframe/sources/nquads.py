@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as t
 
-_IRI = r"<([^<>\"{}|^`\x00-\x20]*)>"
-_BLANK = r"_:([^\s<>\"]+)"
-_STRING = r"\"((?:[^\"\\\n\r]++|\\.)*+)\""
-_LITERAL = rf"{_STRING}(?:\^\^{_IRI}|@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?"
-#: Groups: subject IRI 1, blank 2; predicate 3; object IRI 4, blank 5, string 6, datatype 7, language 8; graph IRI 9, blank 10.
-_LINE = rf"\A\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:(?:{_IRI}|{_BLANK})\s*)?\.\s*(?:#.*)?\z"
+_IRI = r"<[^<>\"{}|^`\x00-\x20]*>"
+_NODE = rf"{_IRI}|_:[^\s<>\"]+"
+_STRING = r"\"(?:[^\"\\\n\r]++|\\.)*+\""
+_LITERAL = rf"({_STRING})(?:\^\^({_IRI})|@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*))?"
+#: Groups: subject, predicate, object's node, string, datatype and language, graph. What isn't a quad matches without groups.
+_LINE = rf"\A(?:\s*({_NODE})\s*({_IRI})\s*(?:({_NODE})|{_LITERAL})\s*(?:({_NODE})\s*)?\.\s*(?:#.*)?|(?s:.*+))\z"
+_BLANK_LINE = r"\A\s*(?:#.*)?\z"
 
 
 def unescape(lex: Column) -> Column:
@@ -35,23 +36,42 @@ def escape(lex: Column) -> Column:
     return out
 
 
+def _inside(part: Column) -> Column:
+    return F.substr(part, F.lit(2), F.length(part) - F.lit(2))
+
+
+def _groups(line: Column) -> Column:
+    """The groups of _LINE by one match, joined by line feeds, which no term holds."""
+    return F.split(F.regexp_replace(line, _LINE, "\n".join(f"${k}" for k in range(1, 8))), "\n", -1)
+
+
 def parse(line: Column) -> dict[str, Column]:
-    """Terms s, p, o, g of a line; all null if the line isn't a quad."""
-    part = lambda k: F.regexp_extract(line, _LINE, k)
-    ok = line.rlike(_LINE)
-    node = lambda a, b: F.when(part(b) != "", t.bnode(part(b))).otherwise(t.iri(unescape(part(a))))
-    literal = F.when(part(8) != "", t.term(t.LITERAL, unescape(part(6)), t.LANG_STRING, F.lower(part(8)))).otherwise(
-        t.term(t.LITERAL, unescape(part(6)), F.when(part(7) != "", part(7)).otherwise(t.STRING))
-    )
-    is_node = line.rlike(_LINE.replace(_LITERAL, r"(?!)"))
-    graph = F.when((part(9) == "") & (part(10) == ""), t.default_graph()).otherwise(node(9, 10))
-    return {"s": F.when(ok, node(1, 2)), "p": F.when(ok, t.iri(unescape(part(3)))), "o": F.when(ok, F.when(is_node, node(4, 5)).otherwise(literal)), "g": F.when(ok, graph)}
+    """Terms s, p, o, g of a line; all null if the line is null or isn't a quad."""
+    return _terms(_groups(line))
+
+
+def _terms(parts: Column) -> dict[str, Column]:
+    s, p, node, string, dt, lang, g = [F.get(parts, F.lit(k)) for k in range(7)]
+    ok = p != ""
+    of_node = lambda x: F.when(x.startswith("_"), t.bnode(F.substr(x, F.lit(3)))).otherwise(t.iri(unescape(_inside(x))))
+    lex = unescape(_inside(string))
+    literal = F.when(lang != "", t.term(t.LITERAL, lex, t.LANG_STRING, F.lower(lang))).otherwise(t.term(t.LITERAL, lex, F.when(dt != "", unescape(_inside(dt))).otherwise(t.STRING)))
+    graph = F.when(g == "", t.default_graph()).otherwise(of_node(g))
+    return {"s": F.when(ok, of_node(s)), "p": F.when(ok, t.iri(unescape(_inside(p)))), "o": F.when(ok, F.when(node != "", of_node(node)).otherwise(literal)), "g": F.when(ok, graph)}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Quads of N-Quads files; blank lines, comments and lines that aren't quads are left out."""
-    lines = spark.read.text(path)
-    return lines.select(*[c.alias(n) for n, c in parse(F.col("value")).items()]).filter("s is not null")
+    """Quads of N-Quads files. Blank lines and comments are left out, and lines that aren't quads, which rejected() gives."""
+    # A filter beside the match would be a second match; an array of one or no match isn't.
+    quad = F.filter(F.array(_groups(F.col("value"))), lambda parts: F.get(parts, F.lit(1)) != "")
+    return spark.read.text(path).select(F.explode(quad).alias("parts")).select(*[c.alias(n) for n, c in _terms(F.col("parts")).items()])
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the lines of N-Quads files that are no quad, blank line or comment."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    quad = F.regexp_replace("value", _LINE, "$2") != ""
+    return lines.filter(~quad & ~F.col("value").rlike(_BLANK_LINE))
 
 
 def spell(term: Column) -> Column:

@@ -120,3 +120,17 @@ def test_commitment_membership_absence_and_tampering(spark):
     mid = got["8" * 64]
     assert not mid["present"] and mid["right_idx"] == mid["left_idx"] + 1
     assert commit.prefix_leaves(quads).count() == 11
+
+
+def test_lines_that_are_no_quads_are_rejected(spark, tmp_path):
+    good = ['<a:s> <a:p> "" .', '_:b <a:p> <> _:g .', '<a:s><a:p> <a:o> .', '<a:s> <a:p> "x\\"y # z"@en-GB <a:g> . # note']
+    bad = ['<a:s> <a:p> .', '"s" <a:p> <a:o> .', '<a:s> _:p <a:o> .', '<a:s> <a:p> "open .', '<a:s> <a:p> <a:o>', '<a b> <a:p> <a:o> .']
+    source = tmp_path / "in.nq"
+    source.write_text("\n".join([*good, *bad, "", "   ", "# comment"]) + "\n")
+    quads = nquads.read(spark, str(source))
+    want = {"_:b <a:p> <> _:g .", '<a:s> <a:p> "" .', "<a:s> <a:p> <a:o> .", '<a:s> <a:p> "x\\"y # z"@en-gb <a:g> .'}
+    got = {r["value"] for r in nquads.lines(quads).collect()}
+    rejected = {r["value"] for r in nquads.rejected(spark, str(source)).collect()}
+    assert (got, rejected) == (want, set(bad))
+    forged = spark.createDataFrame([("\n<p>\n\n\n\n\n",), (None,), ("",)], "v string").select(*[c.alias(n) for n, c in nquads.parse(nquads.F.col("v")).items()])
+    assert all(x is None for r in forged.collect() for x in r)
