@@ -27,9 +27,9 @@ TERM = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("lex", T
 QUAD = T.StructType([T.StructField(n, TERM) for n in "spog"])
 
 
-def plain(kind: int, lex, dt="", lang="") -> Column:
+def plain(kind, lex, dt="", lang="") -> Column:
     """A term whose parts are known not to be null; its constant parts fold into what is asked of it."""
-    return F.struct(F.lit(kind).cast("tinyint").alias("kind"), _col(lex).cast("string").alias("lex"), _col(dt).alias("dt"), _col(lang).alias("lang"))
+    return F.struct(_col(kind).cast("tinyint").alias("kind"), _col(lex).cast("string").alias("lex"), _col(dt).alias("dt"), _col(lang).alias("lang"))
 
 
 class Val:

@@ -240,20 +240,33 @@ def _name(x) -> str | None:
     raise ValueError(f"not a variable, blank node or constant: {x!r}")
 
 
-def _pattern(quads: Quads, s, p, o, g) -> Solutions:
-    df = quads.scan(s, p, o, g)
-    first: dict[str, str] = {}
+def _pattern(quads: Quads, s, p, o, g, after: bool = False) -> Solutions:
+    """One pattern. after: others about the same subject come before, and the subject's rows are together."""
+    df, terms = quads.places(s, p, o, g)
+    first: dict[str, t.Val | Column] = {}
     for place, x in zip("spog", (s, p, o, g)):
-        name = None if x is None else _name(x)
+        name, here = None if x is None else _name(x), terms[place]
         if name is None:
             continue
         if name in first:
-            df = df.filter(F.col(first[name]) == F.col(place))
+            df = df.filter(same_term(first[name], here))
         else:
-            first[name] = place
+            first[name] = here
     if g is not None and not isinstance(g, Const):
-        df = df.filter(F.col("g.kind") != t.DEFAULT_GRAPH)
-    return Solutions(df.select(*[F.col(place).alias(n) for n, place in first.items()]), set(first))
+        df = df.filter(terms["g"]["kind"] != t.DEFAULT_GRAPH)
+    if quads.colocated and isinstance(s, str):
+        # What the rows are together by, whatever terms subjects are; the term itself is carried once.
+        if after and _name(s) not in [_name(x) for x in (p, o, g) if x is not None]:
+            del first[_name(s)]
+        first[f"{HIDDEN}subject_{_name(s)}"] = t.Val(t.IRI, "", F.col("s"), sure=True)
+    return _shaped(df, first)
+
+
+def _shaped(df: DataFrame, columns: dict[str, t.Val | Column]) -> Solutions:
+    """Variables that are bound in every row, as plain values where their type is known."""
+    out = df.select(*[(c.raw if isinstance(c, t.Val) else c).alias(n) for n, c in columns.items()])
+    kinds = dict(out.dtypes)
+    return Solutions(out, set(columns), set(), {n: Shape(c.kind, c.dt, c.prefix, kinds[n]) for n, c in columns.items() if isinstance(c, t.Val)})
 
 
 def _star(quads: Quads, subject, patterns: list[tuple], g) -> Solutions | None:
@@ -280,9 +293,16 @@ def _star(quads: Quads, subject, patterns: list[tuple], g) -> Solutions | None:
                 columns[name] = here
     for e in equal:
         df = df.filter(e)
-    out = df.select(*[(c.raw if isinstance(c, t.Val) else c).alias(n) for n, c in columns.items()])
-    kinds = dict(out.dtypes)
-    return Solutions(out, set(columns), set(), {n: Shape(c.kind, c.dt, c.prefix, kinds[n]) for n, c in columns.items() if isinstance(c, t.Val)})
+    return _shaped(df, columns)
+
+
+def _all(parts: list[Solutions]) -> Solutions:
+    """The join of all parts; next is always one that shares a variable, if there is one."""
+    out, parts = parts[0], parts[1:]
+    while parts:
+        nth = next((k for k, x in enumerate(parts) if set(x.variables) & set(out.variables)), 0)
+        out = out.join(parts.pop(nth))
+    return out
 
 
 def bgp(quads: Quads, *patterns: tuple, graph=None) -> Solutions:
@@ -293,16 +313,14 @@ def bgp(quads: Quads, *patterns: tuple, graph=None) -> Solutions:
     for pattern in patterns:
         s, p, _ = pattern
         table = quads.table_of(p.lex) if isinstance(p, Const) else None
-        groups.setdefault((s, id(table)) if table else id(pattern), []).append(pattern)
+        groups.setdefault((s, id(table)) if table else (s, None) if quads.colocated and isinstance(s, str) else id(pattern), []).append(pattern)
     parts: list[Solutions] = []
     for key, group in groups.items():
-        star = _star(quads, key[0], group, graph) if isinstance(key, tuple) else None
-        parts.extend([star] if star else [_pattern(quads, *x, graph) for x in group])
-    out = parts.pop(0)
-    while parts:
-        # Next a part that shares a variable, if there is one.
-        nth = next((k for k, x in enumerate(parts) if set(x.variables) & set(out.variables)), 0)
-        out = out.join(parts.pop(nth))
+        star = _star(quads, key[0], group, graph) if isinstance(key, tuple) and key[1] else None
+        each = [star] if star else [_pattern(quads, *x, graph, after=n > 0) for n, x in enumerate(group)]
+        # Patterns about one subject meet first where its rows are together.
+        parts.extend([_all(each)] if quads.colocated and isinstance(key, tuple) else each)
+    out = _all(parts)
     shown = [n for n in out.variables if not n.startswith(HIDDEN)]
     return Solutions(out.df.select(*[f"`{n}`" for n in shown]), set(shown), set(), out.shapes) if shown else out
 

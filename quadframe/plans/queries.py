@@ -11,7 +11,7 @@ from ..functions import expr as e
 from ..functions import terms as t
 from ..operators import commit, paths, post
 from ..operators.patterns import Solutions, bgp, graph, values
-from ..sources import dataset, nquads, scratch
+from ..sources import dataset, nquads, scratch, stored
 from ..sources.mapping import EX, I, L, Quads
 from ..sources.scratch import checkpointed
 from .tables import quads
@@ -909,3 +909,38 @@ def nquads_files(q):
     nquads.lines(Quads([nation]).quads()).union(wrong).union(rest).write.text(path)
     found = nquads.lines(nquads.read(spark, path)).select(F.lit("quad").alias("kind"), "value")
     return found.union(nquads.rejected(spark, path).select(F.lit("rejected"), "value"))
+
+
+def _stored(q: Quads) -> Quads:
+    """The tables laid out by predicate and subject."""
+    path = scratch.fresh(spark_of(q), "stored")
+    stored.save(q.quads(), path)
+    return stored.Stored(spark_of(q), path)
+
+
+@query(f"""SELECT '{EX}orders/' || o_orderkey AS o, o_orderstatus AS status, o_totalprice AS total, o_orderdate AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000""", "orders")
+def stored_star(q):
+    """A star over a stored layout: patterns join bucket by bucket, values are typed."""
+    sol = bgp(_stored(q), ("?o", I("status"), "?s"), ("?o", I("total"), "?t"), ("?o", I("date"), "?d"), ("?o", I("priority"), L("1-URGENT")))
+    sol = sol.filter(e.gt(sol["t"], L(200000).column))
+    return sol.df.select(k(sol["o"]).alias("o"), k(sol["s"]).alias("status"), t.v_dbl(sol["t"]).alias("total"), t.v_ts(sol["d"]).cast("timestamp_ntz").alias("date"))
+
+
+@query("""SELECT r_name AS region, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""", "orders", "customer", "nation", "region")
+def stored_chain(q):
+    sol = bgp(_stored(q), ("?o", I("cust"), "?c"), ("?c", I("customer_nation"), "?n"), ("?o", I("status"), "?s"), ("?n", I("region"), "?r"), ("?r", I("region_name"), "?region"))
+    f = F.when(k(sol["s"]) == "F", 1).otherwise(0)
+    return sol.df.select(k(sol["region"]).alias("region"), f.alias("f")).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("f"))
+
+
+@query(f"""WITH kn AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 100 AS b, o_orderkey % 3 AS g FROM orders), d AS (SELECT DISTINCT a, b FROM kn)
+    SELECT 'union' AS graph, count(*) AS n FROM d x JOIN d y ON x.b = y.a UNION ALL SELECT '{EX}g/' || x.g, count(*) FROM kn x JOIN kn y ON x.b = y.a AND x.g = y.g WHERE x.g > 0 GROUP BY 1""", "orders")
+def stored_graphs(q):
+    """Paths of two steps in all graphs as one, and in each named graph, from a stored layout."""
+    path = scratch.fresh(spark_of(q), "stored")
+    stored.save(_knows(q), path)
+    steps, quads = [("?x", I("knows"), "?y"), ("?y", I("knows"), "?z")], stored.Stored(spark_of(q), path)
+    every = bgp(quads, *steps).df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("union").alias("graph"), "n")
+    named = graph(quads, "?g", *steps)
+    return every.union(named.df.select(k(named["g"]).alias("graph")).groupBy("graph").agg(F.count(F.lit(1)).alias("n")))

@@ -179,6 +179,9 @@ class Quads:
     is made distinct.
     """
 
+    #: Whether rows of one subject are in one partition.
+    colocated = False
+
     def __init__(self, source: DataFrame | Sequence[Table], default_graph: str = "union", triples_differ: bool = False):
         self.triples_differ = triples_differ
         if default_graph not in ("union", "strict"):
@@ -243,6 +246,10 @@ class Quads:
             out = out.unionByName(more)
         return out
 
+    def places(self, s, p, o, g=None) -> tuple[DataFrame, dict[str, t.Val | Column]]:
+        """scan(), and the term at each place of its rows."""
+        return self.scan(s, p, o, g), {x: F.col(x) for x in "spog"}
+
     def table_of(self, predicate: str) -> Table | None:
         """The only table with the predicate, if subjects are unique there."""
         if self.tables is None or self.default_graph == "strict":
