@@ -6,7 +6,8 @@ equal shapes compare plain values.
 
 Solutions know which variables are bound in every row (certain) and which may not be (maybe). Where sides share a certain
 variable, a join is one equi-join on those, and what may be unbound is a condition on the pairs that it finds. Without one
-the sides are split by which variables are bound, and each pair of parts is an equi-join again.
+both sides are saved with a mask of what is bound in each row, and one equi-join matches rows on what both have bound; only
+rows that have nothing bound in common are a product, as their meaning is.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 from ..functions import terms as t
 from ..functions.expr import same_term
 from ..sources.mapping import Const, Quads
+from ..sources.scratch import checkpointed
 
 HIDDEN = "__"
+_MASK = f"{HIDDEN}mask"
 
 
-def _subsets(names: Sequence[str]):
-    return chain.from_iterable(combinations(names, k) for k in range(len(names) + 1))
+def _partners(mask: Column, pairs: Sequence[tuple[int, int]]) -> Column:
+    """The second numbers of the pairs whose first is the mask, null if there are none."""
+    of = {m: [b for a, b in pairs if a == m] for m, _ in pairs}
+    return reduce(lambda out, m: out.when(mask == m, F.array(*map(F.lit, of[m]))), of, F.when(F.lit(False), F.array(F.lit(0))))
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,7 @@ class Shape:
 
 class Solutions:
     def __init__(self, df: DataFrame, certain: set[str], maybe: set[str] = frozenset(), shapes: dict[str, Shape] | None = None):
-        self.df, self.certain, self.maybe = df, set(certain), set(maybe)
+        self.df, self.certain, self.maybe, self.saved = df, set(certain), set(maybe), False
         self.shapes = {n: s for n, s in (shapes or {}).items() if n in self.certain or n in self.maybe}
 
     @property
@@ -110,27 +114,38 @@ class Solutions:
             fits = [self.df[f"`{n}`"] == right[f"{HIDDEN}r_{n}"] for n in sure]
             fits += [self.df[f"`{n}`"].isNull() | right[f"{HIDDEN}r_{n}"].isNull() | (self.df[f"`{n}`"] == right[f"{HIDDEN}r_{n}"]) for n in unsure]
             return self.df.join(right, reduce(lambda a, b: a & b, fits)).select(*merged(sure), *added)
+        if not shared:
+            return None if at_least else self.df.crossJoin(right).select(*merged([]), *added)
+        (left, mine), (right, theirs) = self._masked(unsure), other._masked(unsure)
+        right = right.select(F.col(_MASK).alias(f"{_MASK}_r"), *[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}") for n in other.variables])
+        bits = {n: 1 << k for k, n in enumerate(unsure)}
+        pairs = [(m, r) for m in mine for r in theirs if (m & r).bit_count() >= at_least]
+        keyed = [(m, r) for m, r in pairs if m & r]
         out = None
-        for mine, left in self._parts(unsure):
-            for theirs, part in other._parts(unsure):
-                on = [n for n in shared if (n in self.certain or n in mine) and (n in other.certain or n in theirs)]
-                if len(on) < at_least:
-                    continue
-                right = part.select(*[F.col(f"`{n}`").alias(f"{HIDDEN}r_{n}") for n in other.variables])
-                same = reduce(lambda a, b: a & b, [left[f"`{n}`"] == right[f"{HIDDEN}r_{n}"] for n in on]) if on else None
-                pairs = left.crossJoin(right) if same is None else left.join(right, same)
-                got = pairs.select(*merged(on), *added)
-                out = got if out is None else out.unionByName(got)
+        if keyed:
+            # Each row once for each kind of partner that occurs; what both sides have bound is the key.
+            a = left.withColumn(f"{_MASK}_r", F.explode(_partners(F.col(_MASK), keyed)))
+            b = right.withColumn(_MASK, F.explode(_partners(F.col(f"{_MASK}_r"), [(r, m) for m, r in keyed])))
+            both = F.col(_MASK).bitwiseAND(F.col(f"{_MASK}_r"))
+            keys = lambda c: [F.when(both.bitwiseAND(F.lit(bits[n])) != 0, c(n)) for n in unsure]
+            a = a.select("*", *[v.alias(f"{HIDDEN}k{i}") for i, v in enumerate(keys(lambda n: F.col(f"`{n}`")))])
+            b = b.select(*[f"`{HIDDEN}r_{n}`" for n in other.variables], F.col(_MASK).alias(f"{HIDDEN}m"), F.col(f"{_MASK}_r").alias(f"{HIDDEN}t"), *[v.alias(f"{HIDDEN}j{i}") for i, v in enumerate(keys(lambda n: F.col(f"`{HIDDEN}r_{n}`")))])
+            on = [a[_MASK] == b[f"{HIDDEN}m"], a[f"{_MASK}_r"] == b[f"{HIDDEN}t"]]
+            on += [a[f"{HIDDEN}k{i}"].eqNullSafe(b[f"{HIDDEN}j{i}"]) for i in range(len(unsure))]
+            out = a.join(b, reduce(lambda x, y: x & y, on)).select(*merged([]), *added)
+        for m, r in [x for x in pairs if x not in keyed]:
+            got = left.filter(F.col(_MASK) == m).crossJoin(right.filter(F.col(f"{_MASK}_r") == r)).select(*merged([]), *added)
+            out = got if out is None else out.unionByName(got)
+        if out is None and not at_least:  # a side has no rows
+            out = left.crossJoin(right).select(*merged([]), *added).limit(0)
         return out
 
-    def _parts(self, names: Sequence[str]):
-        """(bound names, rows) for each way that names can be bound."""
-        names = [n for n in names if n in self.maybe]
-        for bound in _subsets(names):
-            rows = self.df
-            for n in names:
-                rows = rows.filter(F.col(f"`{n}`").isNotNull() if n in bound else F.col(f"`{n}`").isNull())
-            yield set(bound), rows
+    def _masked(self, names: Sequence[str]) -> tuple[DataFrame, list[int]]:
+        """Rows, saved, with the mask of the names bound in them, and the masks that occur."""
+        mask = reduce(lambda a, b: a + b, [F.lit(1 << k) if n in self.certain else F.when(F.col(f"`{n}`").isNotNull(), 1 << k).otherwise(0) for k, n in enumerate(names)])
+        rows = self.df.withColumn(_MASK, mask)
+        rows = rows if self.saved else checkpointed(rows)
+        return rows, sorted(r[0] for r in rows.select(_MASK).distinct().collect())
 
     def join(self, other: Solutions) -> Solutions:
         a, b = self._aligned(other)
@@ -157,10 +172,18 @@ class Solutions:
         shared = sorted(set(self.variables) & set(other.variables))
         return shared if all(n in self.certain and n in other.certain for n in shared) else None
 
+    def _saved(self) -> Solutions:
+        """Written once, where a side without sure keys is read more than once."""
+        out = self._with(checkpointed(self.df))
+        out.saved = True
+        return out
+
     def _tagged(self) -> Solutions:
         # Equal rows have equal partners, so rows can stand for themselves when the unmatched are found.
         df = self.df.select(*[f"`{n}`" for n in self.variables], F.struct(*[f"`{n}`" for n in self.variables]).alias(f"{HIDDEN}row"))
-        return Solutions(df, self.certain | {f"{HIDDEN}row"}, self.maybe, self.shapes)
+        out = Solutions(df, self.certain | {f"{HIDDEN}row"}, self.maybe, self.shapes)
+        out.saved = self.saved
+        return out
 
     def optional(self, other: Solutions, condition: Callable[[Solutions], Column] | None = None) -> Solutions:
         """Left join; condition sees the variables of both sides. A side without new variables or condition changes nothing."""
@@ -175,6 +198,7 @@ class Solutions:
             if condition is not None:
                 on = on & condition(Solutions(self.df, self.certain | other.certain, self.maybe | other.maybe, shapes))
             return Solutions(self.df.join(right, on, "left").select(*[f"`{n}`" for n in (*self.variables, *new)]), self.certain, maybe - self.certain, shapes)
+        self = self._saved() if shared is None else self
         tagged = self._tagged()
         pairs = Solutions(tagged._join(other), tagged.certain | other.certain, tagged.maybe | other.maybe, shapes)
         matched = pairs.df if condition is None else pairs.df.filter(condition(pairs))
@@ -192,6 +216,7 @@ class Solutions:
         if shared == []:
             some = other.df.limit(1).select(F.lit(1).alias(f"{HIDDEN}one"))
             return self._with(self.df.join(F.broadcast(some), F.lit(True), how))
+        self = self._saved()
         pairs = self._tagged()._join(other, at_least)
         if pairs is None:
             return self if how == "left_anti" else self._with(self.df.limit(0))

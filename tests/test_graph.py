@@ -160,3 +160,37 @@ def test_known_types_reach_the_scan(spark):
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
     assert any("GreaterThan(o_totalprice,400000.0)" in line and "LessThan(o_orderdate," in line for line in pushed), pushed
     assert not any(word in plan for word in ("lambda", "RLIKE", "concat", "regexp"))
+
+
+def test_unsure_joins_match_by_what_both_sides_have_bound(spark):
+    """Two variables, either of which may be unbound on both sides; every operator against loops over pairs."""
+    rng = random.Random(3)
+    pick = lambda: {n: v for n in "xy" if (v := rng.choice([None, *NODES]))}
+    a, b = [{**pick(), "l": L(k)} for k in range(25)], [{**pick(), "r": L(k)} for k in range(20)]
+
+    def inline(rows, names):
+        return values(spark, names, [[row.get(n) for n in names] for row in rows])
+
+    left, right = inline(a, ["x", "y", "l"]), inline(b, ["x", "y", "r"])
+    both = lambda m, n: any(k in n for k in m)
+    assert got(left.join(right)) == bag({**m, **n} for m in a for n in b if fits(m, n))
+    assert got(left.exists(right)) == bag(m for m in a if any(fits(m, n) for n in b))
+    assert got(left.minus(right)) == bag(m for m in a if not any(fits(m, n) and both(m, n) for n in b))
+    lone = [m for m in a if "x" in m]
+    some = inline(lone, ["x", "y", "l"]).optional(right.filter(right["x"].isNotNull()))
+    want = [{**m, **n} for m in lone for n in b if "x" in n and fits(m, n)]
+    want += [m for m in lone if not any("x" in n and fits(m, n) for n in b)]
+    assert got(some) == bag(want)
+
+
+def test_unsure_joins_read_each_side_once_and_have_no_nested_loop(spark):
+    left = values(spark, ["x", "y"], [[NODES[0], None], [NODES[1], NODES[2]], [NODES[2], NODES[2]]])
+    right = values(spark, ["x", "y"], [[None, NODES[2]], [NODES[0], NODES[1]], [NODES[1], NODES[2]]])
+    out = left.join(values(spark, ["y", "z"], [[NODES[2], L(1)], [NODES[1], L(2)]]))
+    plan = out.df._jdf.queryExecution().executedPlan().toString()
+    # A row without y is compatible with every partner, which is a product by meaning; all others are keyed.
+    assert plan.count("NestedLoop") + plan.count("CartesianProduct") == 1
+    keyed = Solutions(left.df.filter("y is not null"), left.certain, left.maybe, left.shapes).join(right.filter(right["y"].isNotNull()))
+    assert got(keyed) == Counter({frozenset({("x", NODES[1].lex), ("y", NODES[2].lex)}): 2, frozenset({("x", NODES[2].lex), ("y", NODES[2].lex)}): 1})
+    plan = keyed.df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and plan.count("Scan ExistingRDD") == 2
