@@ -2,9 +2,11 @@
 
 Base spans (email, ip, card, phone) are protected entities. How much a term t tells about an entity e is estimated from
 the corpus, all counts over distinct texts: n(t, e) texts in which t stands near e, n(t) texts with t, n(e) texts with e
-and N pairs of a text and a term. PMI(t; e) = log(n(t, e) N / (n(t) n(e))) and IC(e) = log(N / n(e)). A term discloses e
-if PMI >= alpha IC(e), that is, if p(e | t) >= p(e) ** (1 - alpha), where p(e | t) is Wilson's lower bound of
-n(t, e) / n(t) at ``z`` deviations, so that one or two texts decide too, with less weight than many. In texts that hold e
+and N pairs of a text and a term. PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) and IC(e) = log2(N / n(e)). A term discloses e
+if PMI >= alpha IC(e) and if it leaves at most ``left`` of the IC(e) bits open, that is, if p(e | t) is at least
+p(e) ** (1 - alpha) and 2 ** -left, where p(e | t) is Wilson's lower bound of n(t, e) / n(t) at ``z`` deviations, so that
+one or two texts decide too, with less weight than many. The first bar falls as the corpus grows, and the second is where
+that ends: beyond it, more texts without e hide no more. In texts that hold e
 such terms become spans of kind ``term`` beside the base spans, and are generalised or removed on sanitising.
 
 Spans count code points, end exclusive. Null texts count as empty, which have no spans. Repeated rows are separate
@@ -94,7 +96,7 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(docs: DataFrame, hold: DataFrame, work: Work, alpha: float, z: float) -> DataFrame:
+def disclosing_terms(docs: DataFrame, hold: DataFrame, work: Work, alpha: float, left: float, z: float) -> DataFrame:
     """(entity, term) pairs over the threshold. docs: all texts; hold: (text, base) of those with base spans."""
     digest = F.xxhash64("text").alias("digest")
     every = docs.select(digest, "text").dropDuplicates(["digest"]).select(F.explode(_terms(F.col("text"))).alias("term"))
@@ -112,11 +114,11 @@ def disclosing_terms(docs: DataFrame, hold: DataFrame, work: Work, alpha: float,
     n_e = near.select("entity", "digest").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     p, z2 = F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)), z * z / F.col("n_t")
     low = (p + z2 / 2 - F.sqrt(z2 * (p * (1 - p) + z2 / 4))) / (1 + z2)
-    told = pairs.join(n_t, "term").join(n_e, "entity").filter(low >= F.pow(F.col("n_e") / F.lit(n), F.lit(1 - alpha)))
+    told = pairs.join(n_t, "term").join(n_e, "entity").filter(low >= F.greatest(F.pow(F.col("n_e") / F.lit(n), F.lit(1 - alpha)), F.lit(2.0**-left)))
     return work.save(told.select("entity", "term"), "told")
 
 
-def find(docs: DataFrame, alpha: float = 0.9, z: float = 1.0) -> DataFrame:
+def find(docs: DataFrame, alpha: float = 0.9, left: float = 1.25, z: float = 1.0) -> DataFrame:
     """(doc_id, text, base, spans) for each row of docs; base and spans are arrays of (start, ord, end, kind, value).
 
     text is null where no pattern matches; sanitise() is for the rows with spans.
@@ -128,7 +130,7 @@ def find(docs: DataFrame, alpha: float = 0.9, z: float = 1.0) -> DataFrame:
     rows = work.save(rows.withColumn("text", F.when(F.size("raw") > 0, F.col("text"))), "rows")
     base = work.save(placed(rows.filter(F.size("raw") > 0)).withColumnRenamed("spans", "base"), "base")
     hold = work.save(rows.select("row", "text").join(base, "row"), "hold")
-    told = disclosing_terms(docs, hold, work, alpha, z)
+    told = disclosing_terms(docs, hold, work, alpha, left, z)
     terms = hold.select("row", F.explode("base.value").alias("value")).select("row", F.lower("value").alias("entity")).join(told, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
     hidden = hold.join(terms, "row").select("row", "terms", raw_matches(F.col("text"), TERM, len(KINDS)).alias("raw"))
     hidden = placed(hidden).join(terms, "row").select("row", F.filter("spans", lambda s: F.array_contains(F.col("terms"), F.lower(s["value"]))).alias("hidden"))

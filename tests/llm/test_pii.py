@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import defaultdict
 
 from quadframe.llm import pii
 
@@ -95,5 +97,71 @@ def test_one_context_is_enough_for_a_term_seen_nowhere_else(spark):
     assert "zaphod" in hidden and not hidden & {"uses", "every", "day", "many", "words"}
 
 
+def spans_by_loops(texts, alpha=0.9, left=1.25, z=1.0):
+    """All spans of each text: base spans and disclosing terms, counted in loops over distinct texts."""
+    terms = lambda x: set(re.findall(r"[^\W\d_]{3,}", x.lower()))
+    found = [[x.split(":") for x in base(t).split(",") if x] for t in texts]
+    entities = [{t[int(a) : int(b)].lower() for _, a, b in at} for t, at in zip(texts, found)]
+    with_term, with_entity, near = defaultdict(set), defaultdict(set), defaultdict(set)
+    for t, at in zip(texts, found):
+        for w in terms(t):
+            with_term[w].add(t)
+        for _, a, b in at:
+            a, b = int(a), int(b)
+            with_entity[t[a:b].lower()].add(t)
+            for w in terms(t[max(0, a - 80) : a]) | terms(t[b : b + 80]):
+                near[t[a:b].lower(), w].add(t)
+    n, told = sum(len(of) for of in with_term.values()), defaultdict(set)
+    for (e, w), together in near.items():
+        m, p = len(with_term[w]), min(1.0, len(together) / len(with_term[w]))
+        low = (p + z * z / m / 2 - (z * z / m * (p * (1 - p) + z * z / m / 4)) ** 0.5) / (1 + z * z / m)
+        if low >= max((len(with_entity[e]) / n) ** (1 - alpha), 2**-left):
+            told[e].add(w)
+    out = []
+    for t, at, of in zip(texts, found, entities):
+        hidden = set().union(*(told[e] for e in of))
+        words = [(m.start(), 4, "term", m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in hidden]
+        spans = sorted([(int(a), list(KINDS).index(k), k, int(b)) for k, a, b in at] + words)
+        out.append(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans))
+    return out
+
+
+def corpus(seed, background, names=12):
+    """Texts of common words; some name a person by two rare words beside an address, in one text or several."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(150)]
+    some = lambda k: " ".join(rng.choices(words, [1 / (i + 1) for i in range(150)], k=k))
+    planted = {f"zz{chr(97 + i)}first" for i in range(names)} | {f"zz{chr(97 + i)}last" for i in range(names)}
+    texts = []
+    for i in range(names):
+        c = chr(97 + i)
+        texts += [f"{some(15)} ZZ{c}first zz{c}last {some(3)} {c}@mail.org {some(15)}" for _ in range(1 + i % 4)]
+        texts += [f"{some(30)} help@common.org {some(5)}"] * 2
+    texts += [some(40) for _ in range(background)]
+    rng.shuffle(texts)
+    return texts, planted
+
+
+def test_term_spans_match_brute_force(spark):
+    texts, _ = corpus(1, 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find(docs).select("doc_id", pii.spell(pii.F.col("spans")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == spans_by_loops(texts)
+
+
+def test_planted_terms_are_found_and_more_texts_hide_no_more(spark):
+    small, planted = corpus(2, 400)
+    large = small + ["entirely other words without anybody in them " + "".join(chr(97 + int(d)) for d in str(k)) for k in range(3_000)]
+    hidden = [hidden_terms(spark, x) for x in (small, large)]
+    assert hidden[0] == hidden[1]
+    assert planted <= hidden[0] and len(planted) >= 0.9 * len(hidden[0])
+
+
+def test_overlapping_spans_are_replaced_once(spark):
+    docs = spark.createDataFrame([(1, "4111111111111111@x.org says hello"), (2, None)], "doc_id int, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(pii.find(docs)).collect()}
+    assert clean[1].startswith("[EMAIL] ") and "4111" not in clean[1] and clean[2] == ""
+
+
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id int, text string")).collect() == []
