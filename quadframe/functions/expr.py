@@ -1,6 +1,6 @@
 """Filter expressions and functions on terms. Errors and unbound are null; truth values are SQL booleans.
 
-A term is a Val where its kind and datatype are known, else a struct column. Results whose datatype is fixed are Vals, so
+A term is a Val where its kind and datatype are known, a Mixed where its values are decoded, else a struct column. Results whose datatype is fixed are Vals, so
 nested expressions work on plain values, whatever their arguments are.
 """
 
@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .terms import (
-    BLANK, BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, DURATION, FLOAT, INTEGER, IRI, LANG_STRING, LITERAL, NUMERICS, STRING, STRINGS, TIME, XSD, Val,
-    col, decimal_text, double_of, double_text, is_literal_of, level, lit, named, null_of, term, us_of, v_bool, v_date, v_dbl, v_dec, v_dur, v_int, v_time, v_ts, v_us, val,
+    BLANK, BOOLEAN, DATE, DATETIME, DECIMAL, DOUBLE, DURATION, FLOAT, INTEGER, IRI, LANG_STRING, LITERAL, NUMERICS, STRING, STRINGS, TIME, XSD, Mixed, Val,
+    col, decimal_text, double_of, double_text, is_literal_of, level, lit, named, null_of, one_of, term, us_of, v_bool, v_date, v_dbl, v_dec, v_dur, v_int, v_time, v_ts, v_us, val,
 )
 
 # Logic
@@ -25,7 +25,7 @@ def ebv(t: Column) -> Column:
             return t.raw != 0 if t.level <= 1 else (v_dbl(t) != 0) & ~F.isnan(v_dbl(t))
         return t.raw if t.dt == BOOLEAN else F.length(t.raw) > 0 if t.dt in STRINGS else null_of("boolean")
     number = F.when(level(t) <= 1, v_dec(t) != 0).otherwise((v_dbl(t) != 0) & ~F.isnan(v_dbl(t)))
-    bad = F.when(is_literal_of(t, BOOLEAN) | level(t).isNotNull(), False)  # ill-typed: false
+    bad = F.when((is_literal_of(t, BOOLEAN) | level(t).isNotNull()) & t.isNotNull(), False)  # ill-typed: false
     text = F.when(is_literal_of(t, *STRINGS, LANG_STRING), F.length(t["lex"]) > 0)
     return F.coalesce(v_bool(t), F.when(level(t).isNotNull(), number), bad, text)
 
@@ -47,6 +47,8 @@ def bound(t: Column) -> Column:
 
 @named
 def if_(condition: Column, then: Column, other: Column) -> Column:
+    if isinstance(then, Mixed) or isinstance(other, Mixed):
+        return one_of([(condition, then), (~condition, other)])
     return F.when(condition, col(then)).when(~condition, col(other))
 
 
@@ -54,6 +56,8 @@ def coalesce(*terms) -> Val | Column:
     """The first that is no error."""
     if all(isinstance(x, Val) and x.kind == LITERAL and x.text is None and (x.dt, x.ntz) == (terms[0].dt, terms[0].ntz) for x in terms):
         return Val(LITERAL, terms[0].dt, F.coalesce(*[x.raw for x in terms]), ntz=terms[0].ntz)
+    if any(isinstance(x, Mixed) for x in terms):
+        return one_of([(x.isNotNull(), x) for x in terms])
     return F.coalesce(*map(col, terms))
 
 
@@ -290,6 +294,25 @@ def _of_level(top: Column, whole: Column, exact: Column, wide: Column) -> Column
     )
 
 
+def _number(args: tuple, top: Column, whole: Column, exact: Column, wide: Column) -> Mixed | Column:
+    """A number of the level top; beside decoded terms with its values, so that what takes it reads no text."""
+    made = lambda: _of_level(top, whole, exact, wide)
+    if not any(isinstance(x, Mixed) for x in args):
+        return made()
+    integer = F.when(top == 0, whole.try_cast("decimal(38,0)"))
+    decimal = F.when(top == 0, integer.try_cast("decimal(38,10)")).when(top == 1, exact.try_cast("decimal(38,10)"))
+    double = F.when(top == 0, integer.cast("double")).when(top == 1, exact.cast("double")).when(top == 2, wide.cast("float").cast("double")).otherwise(F.when(top == 3, wide))
+    # The level is told by the arguments' levels alone, also where the value is an error; else each level would hold all values.
+    values = {"level": top, "v_int": integer, "v_dec": decimal, "v_dbl": double}
+    some = double.isNotNull()
+    parts = {"kind": F.when(some, F.lit(LITERAL).cast("tinyint")), "dt": F.when(some, F.get(F.array(*map(F.lit, _NAMES)), top)), "lang": F.when(some, "")}
+    return Mixed(made, lambda name: values[name] if name in values else null_of(_TYPES[name]), some, parts)
+
+
+#: Types of the values that a number doesn't have.
+_TYPES = {"v_bool": "boolean", "v_ts": "timestamp", "v_date": "date", "v_time": "long", "v_dur": "long"}
+
+
 def _numeric(args: tuple, whole, exact, wide, least: int = 0) -> Val | Column:
     """The result at the widest level of the arguments, least at least; of known types one branch is built, else all."""
     if all(isinstance(x, Val) for x in args):
@@ -303,7 +326,7 @@ def _numeric(args: tuple, whole, exact, wide, least: int = 0) -> Val | Column:
     for x in args:
         known = known & level(x).isNotNull()
     top = F.when(known, F.greatest(*[level(x) for x in args], F.lit(least)))
-    return _of_level(top, F.lit(None) if least else whole(*map(v_int, args)), exact(*map(v_dec, args)), wide(*map(v_dbl, args)))
+    return _number(args, top, F.lit(None) if least else whole(*map(v_int, args)), exact(*map(v_dec, args)), wide(*map(v_dbl, args)))
 
 
 def _binary(a, b, whole, exact, wide):
@@ -339,7 +362,7 @@ def divide(a: Column, b: Column) -> Column:
 def _unary(t, whole, exact, wide):
     if isinstance(t, Val):
         return _numeric((t, t), *[lambda x, _, f=f: f(x) for f in (whole, exact, wide)])
-    return _of_level(level(t), whole(v_int(t)), exact(v_dec(t)), wide(v_dbl(t)))
+    return _number((t,), level(t), whole(v_int(t)), exact(v_dec(t)), wide(v_dbl(t)))
 
 
 @named

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import wraps
+from collections.abc import Callable
+from functools import cache, wraps
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,36 @@ class Val:
         return self.column.alias(name)
 
 
+class Mixed:
+    """A term whose type differs from row to row, with its values beside it: they are read from its text once.
+
+    read gives the value that a function such as v_int asks for, and some whether the term is bound; its text is made only
+    where a query shows or compares text.
+    """
+
+    __slots__ = ("_term", "read", "some", "parts")
+
+    def __init__(self, term: Callable[[], Column], read: Callable[[str], Column], some: Column, parts: dict[str, Column] | None = None):
+        # parts: those of the term that are known without its text.
+        self._term, self.read, self.some, self.parts = cache(term), cache(read), some, parts or {}
+
+    @property
+    def column(self) -> Column:
+        return self._term()
+
+    def __getitem__(self, part: str) -> Column:
+        return self.parts[part] if part in self.parts else self.column[part]
+
+    def isNull(self) -> Column:  # noqa: N802
+        return ~self.some
+
+    def isNotNull(self) -> Column:  # noqa: N802
+        return self.some
+
+    def alias(self, name: str) -> Column:
+        return self.column.alias(name)
+
+
 #: Level of promotion by numeric type: integer, decimal, float, double.
 LEVELS = {**dict.fromkeys(INTEGERS, 0), DECIMAL: 1, FLOAT: 2, DOUBLE: 3}
 
@@ -91,7 +122,7 @@ def val(raw: Column, dt: str) -> Val:
 
 def col(x) -> Column:
     """A term as a struct column."""
-    return x.column if isinstance(x, Val) else x
+    return x.column if isinstance(x, (Val, Mixed)) else x
 
 
 def null_of(kind: str) -> Column:
@@ -214,6 +245,8 @@ def typed(kind: str, of):
 
         @wraps(f)
         def call(t):
+            if isinstance(t, Mixed):
+                return t.read(f.__name__)
             if not isinstance(t, Val):
                 return general(t)
             known = of(t)
@@ -320,21 +353,99 @@ def key(t) -> Column:
     return F.concat_ws("|", t["kind"].cast("string"), t["dt"], t["lang"], t["lex"])
 
 
+#: One pass over a dayTimeDuration: sign, days, hours, minutes, seconds.
+_DURATION_ONCE = r"\A(-?)P(?!\z)(?:([0-9]+)D)?(?:T(?!\z)(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:\.[0-9]+)?)S)?)?\z"
+
+
+def values_of(t: Column) -> Column:
+    """What mixed() needs of a term: each pattern is matched at most once, and only against terms of types that it is for."""
+    parts = F.when(is_literal_of(t, DURATION), F.split(F.regexp_replace(t["lex"], _DURATION_ONCE, "$1|$2|$3|$4|$5"), "[|]"))
+    same = {"level": level, "v_int": v_int, "v_dec": v_dec, "v_bool": v_bool, "v_ts": v_ts, "v_date": v_date, "v_time": v_time}
+    return F.struct(
+        F.when(level(t).isNotNull(), double_of(t["lex"])).alias("wide"), parts.alias("parts"),
+        *[f(t).alias(n) for n, f in same.items()],
+    )
+
+
+def mixed(t: Column, values: Column) -> Mixed:
+    """A term with the column of its values."""
+
+    def dur() -> Column:
+        part = lambda k, unit: F.coalesce(F.get(values["parts"], F.lit(k)).try_cast("decimal(20,6)"), F.lit(0).cast("decimal(20,6)")) * unit
+        us = ((part(1, 86400) + part(2, 3600) + part(3, 60) + part(4, 1)) * 1_000_000).try_cast("long")
+        return F.when(F.size(values["parts"]) == 5, us * F.when(values["parts"][0] == "-", -1).otherwise(1))
+
+    made = {
+        "v_dbl": lambda: F.when(values["level"] == 2, values["wide"].cast("float").cast("double")).otherwise(values["wide"]),
+        "v_dur": dur,
+    }
+    return Mixed(lambda: t, lambda name: made[name]() if name in made else values[name], t.isNotNull())
+
+
+def one_of(choices: list[tuple[Column, Val | Mixed | Column]]) -> Mixed:
+    """The term of the first condition that is true, with its values."""
+
+    def first(of) -> Column:
+        out = F.when(choices[0][0], of(choices[0][1]))
+        for condition, x in choices[1:]:
+            out = out.when(condition, of(x))
+        return out
+
+    return Mixed(lambda: first(col), lambda name: first(READERS[name]), F.coalesce(first(lambda x: x.isNotNull()), F.lit(False)))
+
+
+#: Functions that read a term's value, by name.
+READERS = {f.__name__: f for f in (level, v_int, v_dec, v_dbl, v_bool, v_ts, v_date, v_time, v_dur)}
+
+
 def order_key(t) -> Column:
-    """Orders unbound, blank nodes, IRIs, literals; numbers by value, then dates, then the rest; ties by term."""
+    """Orders unbound, blank nodes, IRIs, literals; numbers by value, then booleans, dateTimes, dates, then the rest; ties by term.
+
+    Terms of mixed types have one binary key, whose byte order is that.
+    """
     if not isinstance(t, Val):
-        return _order_key(t)
+        return _order_key(t if isinstance(t, Mixed) else Mixed(lambda: t, lambda name: READERS[name](t), t.isNotNull()))
     if t.kind == LITERAL and t.text is None:  # one type: its values have this order
         return F.struct(t.raw.isNotNull().alias("bound"), t.raw.alias("value"))
     return F.struct(t.raw.isNotNull().alias("bound"), t.lex.alias("value"))
 
 
-@named
-def _order_key(t: Column) -> Column:
-    rank = F.when(t.isNull(), 0).when(t["kind"] == BLANK, 1).when(t["kind"] == IRI, 2).otherwise(3)
-    kind = F.when(v_dbl(t).isNotNull(), 0).when(v_bool(t).isNotNull(), 1).when(v_ts(t).isNotNull(), 2).when(v_date(t).isNotNull(), 3).otherwise(4)
-    fine = F.coalesce(v_int(t).cast("decimal(38,0)"), F.floor(v_dec(t)).cast("decimal(38,0)"))
-    return F.struct(
-        rank.alias("rank"), kind.alias("family"), v_dbl(t).alias("double"), fine.alias("whole"), v_dec(t).alias("exact"), v_bool(t).alias("bool"), v_ts(t).alias("ts"), v_date(t).alias("date"),
-        t["lex"].alias("lex"), t["dt"].alias("dt"), t["lang"].alias("lang"),
-    )
+_DIGITS, _HEX = "0123456789", "0123456789abcdef"
+
+
+def _reversed(x: Column, digits: str) -> Column:
+    """Digits whose order is the opposite."""
+    return F.translate(x, digits, digits[::-1])
+
+
+def _double_hex(x: Column) -> Column:
+    """16 hexadecimal digits in the order of doubles; both zeros alike, NaN last."""
+    s = F.format_string("%a", F.abs(x))  # 0x1.8p3, or 0x0.8p-1022 where the exponent field is 0
+    exponent = F.when(F.substring(s, 3, 1) == "1", F.substring_index(s, "p", -1).try_cast("int") + 1023).otherwise(0)
+    bits = F.concat(F.lower(F.hex(exponent + 2048)), F.rpad(F.substring_index(F.substring(s, 5, 20), "p", 1), 13, "0"))
+    bits = F.when(F.abs(x) == float("inf"), "fff" + "0" * 13).otherwise(bits)
+    return F.when(F.isnan(x), "f" * 16).when(x < 0, _reversed(bits, _HEX)).otherwise(bits)
+
+
+def _long_hex(x: Column) -> Column:
+    """16 hexadecimal digits in the order of longs."""
+    return F.lpad(F.hex(x.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def _exact_text(whole: Column, exact: Column) -> Column:
+    """Text in the order of exact numbers, those without one first."""
+    s = F.coalesce(exact.cast("string"), F.concat(whole.cast("string"), F.lit("." + "0" * 10)))
+    size = F.lpad(F.length(F.regexp_replace(F.substring_index(s, ".", 1), "-", "")).cast("string"), 2, "0")
+    digits = F.concat(size, F.translate(s, "-.", ""))
+    return F.when(s.isNull(), "0").when(s.startswith("-"), F.concat(F.lit("1"), _reversed(digits, _DIGITS))).otherwise(F.concat(F.lit("2"), digits))
+
+
+def _order_key(t: Mixed) -> Column:
+    families = [(3, v_dbl(t), _double_hex), (4, v_bool(t), lambda x: F.when(x, "01").otherwise("00")), (5, v_ts(t), lambda x: _long_hex(F.unix_micros(x))), (6, v_date(t), lambda x: _long_hex(F.unix_date(x)))]
+    head = F.when(t.isNull(), "00").when(t["kind"] == BLANK, "01").when(t["kind"] == IRI, "02")
+    for code, value, spell in families:
+        head = head.when(value.isNotNull(), F.concat(F.lit(f"0{code}"), spell(value)))
+    exact = F.when(v_dbl(t).isNotNull(), _exact_text(v_int(t), v_dec(t))).otherwise("")
+    # A zero character within a part is followed by a one, its end by a zero.
+    ended = [F.concat(F.replace(F.coalesce(t[part], F.lit("")), F.lit("\0"), F.lit("\0\1")), F.lit("\0\0")) for part in ("lex", "dt", "lang")]
+    return F.concat(F.unhex(head.otherwise("07")), F.concat(exact, *ended).cast("binary"))

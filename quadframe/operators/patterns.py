@@ -26,6 +26,7 @@ from ..sources.scratch import checkpointed
 
 HIDDEN = "__"
 _MASK = f"{HIDDEN}mask"
+_VALUES = f"{HIDDEN}values_"
 
 
 def _partners(mask: Column, pairs: Sequence[tuple[int, int]]) -> Column:
@@ -47,24 +48,39 @@ class Shape:
 class Solutions:
     def __init__(self, df: DataFrame, certain: set[str], maybe: set[str] = frozenset(), shapes: dict[str, Shape] | None = None):
         self.df, self.certain, self.maybe, self.saved = df, set(certain), set(maybe), False
+        self.read: set[str] = set()
         self.shapes = {n: s for n, s in (shapes or {}).items() if n in self.certain or n in self.maybe}
 
     @property
     def variables(self) -> list[str]:
         return sorted(self.certain | self.maybe)
 
-    def __getitem__(self, name: str) -> t.Val | Column:
+    def __getitem__(self, name: str) -> t.Val | t.Mixed | Column:
         """The term of a variable; null for one that isn't bound here."""
         if name not in self.certain and name not in self.maybe:
             return t.UNBOUND()
         shape = self.shapes.get(name)
         if shape is None:
-            return F.col(f"`{name}`")
+            return t.mixed(F.col(f"`{name}`"), F.col(f"`{_VALUES}{name}`")) if name in self.read else F.col(f"`{name}`")
         return t.Val(shape.kind, shape.dt, F.col(f"`{name}`"), name in self.certain, shape.prefix, ntz=shape.sql == "timestamp_ntz")
 
     def _with(self, df: DataFrame, certain=None, maybe=None) -> Solutions:
         return Solutions(df, self.certain if certain is None else certain, self.maybe if maybe is None else maybe, self.shapes)
 
+    def decoded(self, *names: str) -> Solutions:
+        """Variables of mixed types, by default all of them, with their values read from their text once for each row.
+
+        Filters and bindings keep these values; after another operator, a variable can be decoded again.
+        """
+        names = [n for n in names or self.variables if n in self.variables and n not in self.shapes and n not in self.read]
+        df = self.df
+        for n in names:
+            # A generator: the optimizer would copy a projected value into each place of a filter that uses it.
+            df = df.select("*", F.explode(F.array(t.values_of(F.col(f"`{n}`")))).alias(_VALUES + n))
+        out = self._with(df)
+        out.read = self.read | set(names)
+        return out
+
     def loosened(self, names: Sequence[str]) -> Solutions:
         """These variables as structs."""
         names = [n for n in names if n in self.shapes]
@@ -81,7 +97,9 @@ class Solutions:
 
     def filter(self, condition: Column) -> Solutions:
         """Rows whose condition is true; errors drop a row."""
-        return self._with(self.df.filter(condition))
+        out = self._with(self.df.filter(condition))
+        out.read = self.read
+        return out
 
     def bind(self, name: str, value: t.Val | Column | Const) -> Solutions:
         """A new variable; unbound where the value is an error."""
@@ -92,7 +110,9 @@ class Solutions:
         known = isinstance(value, t.Val) and value.text is None
         df = self.df.withColumn(name, value.raw if known else t.col(value))
         shapes = {**self.shapes, name: Shape(value.kind, value.dt, value.prefix, dict(df.dtypes)[name])} if known else self.shapes
-        return Solutions(df, self.certain | ({name} if constant else set()), self.maybe | (set() if constant else {name}), shapes)
+        out = Solutions(df, self.certain | ({name} if constant else set()), self.maybe | (set() if constant else {name}), shapes)
+        out.read = self.read
+        return out
 
     # Between solutions
 

@@ -75,7 +75,7 @@ def is_empty(var: str) -> Aggregate:
 
 def _number(x) -> tuple[Column, Column]:
     """Widest level of terms, null if one is bound and not a number; and how many are bound."""
-    n = F.count(t.col(x) if not isinstance(x, t.Val) else x.raw)
+    n = F.count(x.raw if isinstance(x, t.Val) else t.col(x))
     return F.when(F.count(t.level(x)) == n, F.coalesce(F.max(t.level(x)), F.lit(0))), n
 
 
@@ -90,7 +90,7 @@ def _by_level(x, top: Column, **of) -> Column:
 
 
 def _value(a: Aggregate, x: t.Val | Column | None, row: Column) -> t.Val | Column:
-    plain = x.raw if isinstance(x, t.Val) else x
+    plain = x.raw if isinstance(x, t.Val) else t.col(x)
     if a.kind == "count":
         counted = row if x is None else plain
         return t.val(F.count_distinct(counted) if a.distinct else F.count(F.lit(1) if x is None else counted), t.INTEGER)
@@ -141,6 +141,8 @@ def group(sol: Solutions, keys: Sequence[str] = (), **aggregates: Aggregate) ->
     unknown = {a.var for a in aggregates.values() if a.var is not None} | set(keys)
     if unknown - set(sol.variables):
         raise ValueError(f"unknown variables: {sorted(unknown - set(sol.variables))}")
+    read = {a.var for a in aggregates.values() if a.kind not in ("count", "sample", "group_concat", "exists", "is_empty")} - {None}
+    sol = sol.decoded(*sorted(read)) if read else sol
     by = [F.col(f"`{k}`") for k in keys]
     row = F.struct(*[F.col(f"`{v}`") for v in sol.variables]) if sol.variables else F.struct(F.lit(1))
     apart = {n: a for n, a in aggregates.items() if a.distinct and a.kind in ("sum", "avg")}
@@ -149,7 +151,8 @@ def group(sol: Solutions, keys: Sequence[str] = (), **aggregates: Aggregate) ->
     plain = [c for n, c in raw.items() if n not in apart]
     out = sol.df.groupBy(*by).agg(*plain) if plain or keys and not apart else None
     for n, a in apart.items():
-        one = sol.df.select(*by, F.col(f"`{a.var}`")).distinct().groupBy(*by).agg(raw[n])
+        once = Solutions(sol.df.select(*by, F.col(f"`{a.var}`")).distinct(), {*keys, a.var}, set(), sol.shapes).decoded(a.var)
+        one = once.df.groupBy(*by).agg(raw[n])
         if out is None:
             out = one
         elif keys:
@@ -168,25 +171,28 @@ def group(sol: Solutions, keys: Sequence[str] = (), **aggregates: Aggregate) ->
 
 def first_rows(sol: Solutions, keys: Sequence[str], n: int, *order: str | tuple[str, str]) -> Solutions:
     """The first n rows of each group in the order of terms, for aggregates over the beginning of a sequence."""
-    window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*_order(sol, order))
-    df = sol.df.withColumn(f"{HIDDEN}nth", F.row_number().over(window)).filter(F.col(f"{HIDDEN}nth") <= n).drop(f"{HIDDEN}nth")
-    return Solutions(df, sol.certain, sol.maybe, sol.shapes)
+    df, ways = _keyed(sol, order)
+    window = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*ways)
+    df = df.withColumn(f"{HIDDEN}nth", F.row_number().over(window)).filter(F.col(f"{HIDDEN}nth") <= n)
+    return Solutions(df.select(*[f"`{v}`" for v in sol.variables]), sol.certain, sol.maybe, sol.shapes)
 
 
-def _order(sol: Solutions, keys) -> list[Column]:
-    columns = []
-    for k in keys:
-        name, way = (k, "asc") if isinstance(k, str) else k
+def _keyed(sol: Solutions, keys) -> tuple[DataFrame, list[Column]]:
+    """Rows with a column for each key, so that a key is made once for each row, and the order by them."""
+    keys = [(k, "asc") if isinstance(k, str) else k for k in keys]
+    for name, _ in keys:
         if name not in sol.variables:
             raise ValueError(f"cannot order by unknown variable {name}")
-        key = t.order_key(sol[name])
-        columns.append(key.desc() if way == "desc" else key.asc())
-    return columns
+    if keys:
+        sol = sol.decoded(*[name for name, _ in keys])
+    df = sol.df.select("*", *[t.order_key(sol[name]).alias(f"{HIDDEN}key{k}") for k, (name, _) in enumerate(keys)])
+    return df, [F.col(f"{HIDDEN}key{k}").desc() if way == "desc" else F.col(f"{HIDDEN}key{k}").asc() for k, (_, way) in enumerate(keys)]
 
 
 def order_by(sol: Solutions, *keys: str | tuple[str, str]) -> Solutions:
     """Keys are variables or (variable, 'asc' or 'desc'); they need not be selected later."""
-    return Solutions(sol.df.orderBy(*_order(sol, keys)), sol.certain, sol.maybe, sol.shapes)
+    df, ways = _keyed(sol, keys)
+    return Solutions(df.orderBy(*ways).select(*[f"`{v}`" for v in sol.variables]), sol.certain, sol.maybe, sol.shapes)
 
 
 def limit(sol: Solutions, n: int) -> Solutions:
@@ -198,7 +204,7 @@ def offset(sol: Solutions, n: int) -> Solutions:
 
 
 def distinct(sol: Solutions) -> Solutions:
-    return Solutions(sol.df.distinct(), sol.certain, sol.maybe, sol.shapes)
+    return Solutions(sol.df.select(*[f"`{v}`" for v in sol.variables]).distinct(), sol.certain, sol.maybe, sol.shapes)
 
 
 def reduced(sol: Solutions) -> Solutions:

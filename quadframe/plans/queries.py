@@ -603,6 +603,38 @@ def ebv_terms(q):
     return sol.df.select(_order_id(sol, "p"), whole(e.smaller(sol["s"], L(20).column)).alias("lo"), e.ebv(sol["n"]).alias("text"), e.ebv_or(sol["p"], True).alias("fallback"), e.ebv(e.mod(sol["s"], L(2).column)).alias("odd"))
 
 
+# Variables of mixed types
+
+
+def _mixed(q):
+    """Balances, sizes and brands as one variable."""
+    return bgp(q, ("?x", I("customer_acctbal"), "?v")).union(bgp(q, ("?x", I("size"), "?v")), bgp(q, ("?x", I("brand"), "?v")))
+
+
+@query(f"""WITH n AS (SELECT '{EX}customer/' || c_custkey AS x, c_acctbal AS v FROM customer UNION ALL SELECT '{EX}part/' || p_partkey, CAST(p_size AS DOUBLE) FROM part)
+    SELECT x, v, v * 2 + 1 AS w FROM n WHERE v > 20 AND v * 2 < 9000""", "customer", "part")
+def mixed_compare(q):
+    """Numbers among terms of several types, whose text is read once for each row."""
+    sol = _mixed(q).decoded("v")
+    double = e.multiply(sol["v"], L(2).column)
+    sol = sol.filter(e.gt(sol["v"], L(20).column) & e.lt(double, L(9000).column))
+    return sol.df.select(k(sol["x"]).alias("x"), t.v_dbl(sol["v"]).alias("v"), t.v_dbl(e.add(double, L(1).column)).alias("w"))
+
+
+@query(f"""SELECT * FROM (SELECT '{EX}customer/' || c_custkey AS x, c_acctbal AS v FROM customer UNION ALL SELECT '{EX}part/' || p_partkey, CAST(p_size AS DOUBLE) FROM part)
+    ORDER BY v, CASE WHEN x LIKE '%/customer/%' THEN 1 ELSE 0 END, x LIMIT 300""", "customer", "part")
+def mixed_order(q):
+    """The first 300 by value: numbers of all types come before strings."""
+    sol = post.limit(post.order_by(_mixed(q), "v", "x"), 300).decoded("v")
+    return sol.df.select(k(sol["x"]).alias("x"), t.v_dbl(sol["v"]).alias("v"))
+
+
+@query("SELECT (SELECT least(min(c_acctbal), (SELECT min(p_size) FROM part)) FROM customer) AS low, max(p_brand) AS high FROM part", "customer", "part")
+def mixed_min_max(q):
+    """The least and the greatest term of several types: a number and a string."""
+    return post.group(_mixed(q), low=post.min_("v"), high=post.max_("v")).values(low=t.v_dbl, high=None)
+
+
 # Aggregates, order, forms
 
 
