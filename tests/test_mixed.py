@@ -94,6 +94,18 @@ def test_nested_numbers(sol):
     assert not any(r["some"] for r in rows if r["n"] is None)
 
 
+def test_functions_of_decoded_terms(spark):
+    given = [L(3), L("2.5", t.DECIMAL), L("x"), L("7", t.DOUBLE), L(True), None]
+    s = Solutions(spark.createDataFrame([(k, None if x is None else (x.kind, x.lex, x.dt, x.lang)) for k, x in enumerate(given)], t.T.StructType([t.T.StructField("k", t.T.LongType()), t.T.StructField("v", t.TERM)])), {"k"}, {"v"}, {"k": Shape(t.LITERAL, t.INTEGER, "", "bigint")}).decoded("v")
+    v, three = s["v"], L(3).column
+    made = {"round": e.round_(v)["lex"], "divide": e.divide(v, L(2).column)["lex"], "if": e.add(e.if_(e.lt(v, three), v, three), L(1).column)["lex"], "coalesce": e.coalesce(e.add(v, three), v)["lex"], "ebv": e.ebv(v), "error": e.ebv(e.divide(v, L(0).column)), "cast": e.to_integer(v)["lex"]}
+    got = {n: [r[n] for r in s.df.select("k", *[x.alias(n) for n, x in made.items()]).orderBy("k").collect()] for n in made}
+    assert got == {
+        "round": ["3", "3", None, "7.0", None, None], "divide": ["1.5", "1.25", None, "3.5", None, None], "if": ["4", "3.5", None, "4", None, None], "coalesce": ["6", "5.5", "x", "10.0", "true", None],
+        "ebv": [True, True, True, True, True, None], "error": [None, None, None, True, None, None], "cast": ["3", "2", None, "7", "1", None],
+    }
+
+
 def test_filters_read_text_once(sol):
     s = sol.decoded("v")
     v = s["v"]
