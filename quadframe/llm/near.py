@@ -1,6 +1,8 @@
-"""Near copies by exact Jaccard similarity: texts that links of five-word shingle sets with a similarity of 0.8 connect.
+"""Near copies by SimHash and exact Jaccard similarity: texts that links of five-word shingle sets with a similarity of 0.8 connect.
 
-Candidates share a band: 32 bands of 5 least hashes each, so a pair of similarity 0.8 has none in common with a
+The Gray-order index of SimHash fingerprints goes first: what it links within RADIUS bits, one forest of links a node, is
+settled by the exact similarity and joined. That radius doesn't reach a similarity of 0.8 (some ten bits of 64 differ), so
+an exact way takes the rest, between texts that aren't joined yet. There candidates share a band: 32 bands of 5 least hashes each, so a pair of similarity 0.8 has none in common with a
 probability of (1 - 0.8 ** 5) ** 32 = 3e-6, and a closer pair with less. Each set has 256 parities: every hash flips one
 of them. Sets whose parities differ in d places differ in d hashes or more, and sets of n and m hashes with a similarity of
 0.8 differ in (n + m) / 9 at most, so pairs beyond that are put aside without loss. All others are settled by the exact
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .simhash import components
+from .simhash import components, fingerprint_of, links
 from .work import Work
 
 WIDTH, BANDS, ROWS = 5, 32, 5
+#: Bits in which fingerprints that the index links may differ.
+RADIUS = 4
 #: Words of 64 parities that each set has.
 PARITIES = 4
 #: Members of a bucket that meet all others in one round, at most; the optimizer cuts ranks up to 1,000 before a shuffle.
@@ -67,7 +71,7 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, id, n, parity, buckets) for each row of docs; id names the text's set of n shingles, 0 is the empty one."""
+    """(doc_id, text_key, id, n, fp, parity, buckets) for each row of docs; id names the text's set of n shingles, 0 is the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -76,10 +80,11 @@ def prints(docs: DataFrame) -> DataFrame:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             ids = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
             parity, in_bands = (pa.array([f(h) for h in sets], pa.list_(pa.int64())) for f in (parities, buckets))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids), pa.array([len(h) for h in sets], pa.int32()), parity, in_bands], ["doc_id", "text_key", "id", "n", "parity", "buckets"])
+            n, fp = pa.array([len(h) for h in sets], pa.int32()), pa.array([fingerprint_of(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids), n, fp, parity, in_bands], ["doc_id", "text_key", "id", "n", "fp", "parity", "buckets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, id long, n int, parity array<long>, buckets array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, id long, n int, fp long, parity array<long>, buckets array<long>")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -105,6 +110,26 @@ def _renamed(df: DataFrame, new: DataFrame) -> DataFrame:
     return df.join(new, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("to", "label")).select(*df.columns)
 
 
+def simhash_pairs(rows: DataFrame, work: Work) -> DataFrame:
+    """(u, v) of sets (id, n, fp) whose fingerprints the index links, or are equal; v hangs on u."""
+    each = rows.filter("n > 0").select("id", "fp").distinct()
+    first = work.save(each.groupBy("fp").agg(F.min("id").alias("id")), "first")
+    indexing = Work(work.spark, "near-index")
+    forest = links(first.select("id", "fp", F.lit(0).cast("long").alias("more")), indexing, RADIUS).select(F.col("v").alias("u"), F.col("u").alias("v"))
+    equal = each.join(first.select("fp", F.col("id").alias("u")), "fp").filter("u <> id").select("u", F.col("id").alias("v"))
+    pairs = work.save(forest.unionByName(equal).distinct(), "simhash")
+    indexing.clear()
+    return pairs
+
+
+def _joined(nodes: DataFrame, members: DataFrame, found: DataFrame, work: Work, step: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and members with one label for what the links found (u, v) between labels connect."""
+    linking = Work(work.spark, "near-links")
+    new = work.save(components(found, linking).select("node", F.col("label").alias("to")), f"new{step}")
+    linking.clear()
+    return work.save(_renamed(nodes, new), f"nodes{step}"), _renamed(members, new)
+
+
 def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work) -> DataFrame:
     """(id, label) of nodes, label naming what links connect. members: (bucket, id, n, parity, label), at first with id as label."""
     # Sets that differ in too many hashes, by their sizes or parities, can't be so similar.
@@ -126,10 +151,7 @@ def labels_of(members: DataFrame, nodes: DataFrame, sets: DataFrame, work: Work)
         found = work.save(found, f"found{step}")
         members = members.join(heads.select("bucket", F.col("u").alias("id")), ["bucket", "id"], "left_anti")
         if not found.isEmpty():
-            linking = Work(work.spark, "near-links")
-            new = work.save(components(found, linking).select("node", F.col("label").alias("to")), f"new{step}")
-            linking.clear()
-            nodes, members = work.save(_renamed(nodes, new), f"nodes{step}"), _renamed(members, new)
+            nodes, members = _joined(nodes, members, found, work, str(step))
         work.drop(f"pairs{step}")
         first, step = min(GROWS * first, MOST_FIRST), step + 1
 
@@ -140,10 +162,16 @@ def grouped(docs: DataFrame, work: Work) -> DataFrame:
     every = rows.select("id", "n", "parity", "buckets").dropDuplicates(["id"]).select(F.explode("buckets").alias("bucket"), "id", "n", "parity")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = work.save(every.join(shared, "bucket", "left_semi").withColumn("label", F.col("id")), "members")
-    nodes = work.save(members.select("id", "label").distinct(), "nodes")
+    pairs = simhash_pairs(rows, work)
+    in_pairs = pairs.select(F.explode(F.array("u", "v")).alias("id")).select("id", F.col("id").alias("label"))
+    nodes = work.save(members.select("id", "label").unionByName(in_pairs).distinct(), "nodes")
     one = rows.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text_key").alias("text_key"))
     texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(one, "text_key").dropDuplicates(["id"])
-    labels = labels_of(members, nodes, work.save(sets_of(texts), "sets"), work)
+    sets = work.save(sets_of(texts), "sets")
+    found = work.save(alike(pairs, sets), "linked")
+    if not found.isEmpty():
+        nodes, members = _joined(nodes, members, found, work, "_simhash")
+    labels = labels_of(members, nodes, sets, work)
     return rows.join(labels, "id", "left").select("doc_id", "text_key", F.coalesce("label", "id").alias("label"))
 
 

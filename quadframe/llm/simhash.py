@@ -66,6 +66,14 @@ def fingerprint(text: str | None, width: int, wide: bool = False) -> tuple[int,
     return halves[0], halves[1] if wide else 0
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64 bits, signed, of a text's shingle hashes: each is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+        ones += np.unpackbits(hashes[at : at + _SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame, width: int, wide: bool = False) -> DataFrame:
     """(doc_id, text_key, fp, more) for each row of docs; fp and more hold 64 bits each as longs."""
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from quadframe.llm import near, simhash
+from quadframe.llm.work import Work
 
 
 def texts_of(kept):
@@ -87,3 +88,30 @@ def test_parities_never_rule_out_a_link():
         assert passes or not linked
         ruled_out += not passes
     assert ruled_out > 1000
+
+
+def test_simhash_index_links_close_copies_before_bands_do(spark, monkeypatch):
+    """Without any band, what fingerprints link and similarity settles are still joined, and nothing else is."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(9**6)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join([*words, "tail"]), " ".join(words[:120])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    work = Work(spark, "test")
+    rows = work.save(near.prints(docs), "prints")
+    of = {r["id"]: r["doc_id"] for r in rows.collect()}
+    fp = {r["doc_id"]: r["fp"] for r in rows.collect()}
+    pairs = {frozenset((of[r["u"]], of[r["v"]])) for r in near.simhash_pairs(rows, work).collect()}
+    close = {frozenset((i, j)) for i in fp for j in range(i) if bin((fp[i] ^ fp[j]) & (1 << 64) - 1).count("1") <= near.RADIUS}
+    assert pairs == close and len(close) > 50
+    assert all(simhash.signed(sum((2 * sum(int(x) >> b & 1 for x in h) > len(h)) << b for b in range(64))) == fp[i] for i in (0, 5) for h in [near.shingles(texts[i])])
+    nothing = lambda members, nodes, sets, work: nodes
+    monkeypatch.setattr(near, "labels_of", nothing)
+    assert kept_ids(spark, texts) == {i for i in range(len(texts)) if frozenset((i, i - 1)) not in close or i % 3 != 1}
+
+
+def test_sets_of_one_fingerprint_are_all_settled(spark):
+    rows = [(1, 7, 5), (2, 9, 5), (3, 9, 5), (4, 9, 6), (5, 9, -1), (0, 0, 5)]
+    got = near.simhash_pairs(spark.createDataFrame(rows, "id long, n int, fp long"), Work(spark, "test")).collect()
+    assert sorted(sorted(r) for r in got) == [[1, 2], [1, 3], [1, 4]]
