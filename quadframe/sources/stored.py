@@ -1,7 +1,8 @@
 """Quad tables laid out for patterns: a folder for each predicate, buckets by subject, values typed.
 
-quads holds each distinct quad once, triples each distinct triple; predicates says of each predicate which type its
-objects have, whether their spelling follows from their value, and how large its largest bucket is. Patterns about one
+quads holds each distinct quad once, in folders that tell whether its triple stands in a graph before it too: those that
+don't are the distinct triples. One shuffle by subject and one sort make both. predicates says of each predicate which type
+its objects have, whether their spelling follows from their value, and how large its largest bucket is. Patterns about one
 subject join bucket by bucket, without a shuffle, and what they ask of numbers, times and text reaches the scan.
 
 Rows with a null subject, predicate or object are left out, a null graph is the default graph, predicates are IRIs. A
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
@@ -23,7 +24,7 @@ from .mapping import Const, Quads
 SKEW, LARGE = 8, 10_000_000
 #: Typed columns: datatypes, the SQL type of the values.
 _TYPED = {"whole": (t.INTEGERS, "bigint"), "real": ((t.DOUBLE,), "double"), "at": ((t.DATETIME,), "timestamp"), "flag": ((t.BOOLEAN,), "boolean")}
-_COLUMNS = "p string, s string, o_kind tinyint, o_lex string, o_dt string, o_lang string, whole bigint, real double, at timestamp, flag boolean"
+_COLUMNS = "p string, s string, o_kind tinyint, o_lex string, o_dt string, o_lang string, whole bigint, real double, at timestamp, flag boolean, g string"
 
 
 def _folder(predicate: str) -> str:
@@ -41,9 +42,15 @@ def _node(code: Column) -> Column:
 
 def _typed(o: Column) -> dict[str, Column]:
     """Values that are spelled as they would be written; else null."""
-    lex, value = o["lex"], {"whole": t.v_int(o).try_cast("bigint"), "real": t.v_dbl(o), "at": t.v_ts(o), "flag": t.v_bool(o)}
-    text = {"whole": value["whole"].cast("string"), "real": t.double_text(value["real"]), "at": t.datetime_text(value["at"]), "flag": value["flag"].cast("string")}
-    return {n: F.when(t.is_literal_of(o, *dts) & (text[n] == lex), value[n]).alias(n) for n, (dts, _) in _TYPED.items()}
+    lex, is_of = o["lex"], {n: t.is_literal_of(o, *dts) for n, (dts, _) in _TYPED.items()}
+    whole, real = lex.try_cast("bigint"), t.double_of(lex)
+    as_written = {
+        "whole": F.when(whole.cast("string") == lex, whole), "real": F.when(t.double_text(real) == lex, real),
+        # Such a text, if it is a time at all, is the one way to write it; year 0 is written otherwise.
+        "at": F.when(lex.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z\z") & (lex >= "0001"), lex.try_cast("timestamp")),
+        "flag": F.when(lex == "true", True).when(lex == "false", False),
+    }
+    return {n: F.when(is_of[n], v).alias(n) for n, v in as_written.items()}
 
 
 def _name(path: str, table: str) -> str:
@@ -57,37 +64,44 @@ def save(quads: DataFrame, path: str, buckets: int | None = None) -> None:
     o, g = F.col("o"), F.coalesce(_code(F.col("g")), F.lit(""))
     flat = quads.filter("s is not null and p is not null and o is not null").select(
         F.col("p.lex").alias("p"), _code(F.col("s")).alias("s"), *[o[x].alias(f"o_{x}") for x in ("kind", "lex", "dt", "lang")], g.alias("g")
-    ).distinct()
+    )
+    # As many tasks as buckets, so what one holds grows with a bucket only. Within a subject equal quads, and quads of one triple, follow each other.
+    triple = ["p", "o_lex", "o_kind", "o_dt", "o_lang"]
+    order = Window.partitionBy("s").orderBy(*triple, "g")
+    before = F.lag(F.struct(*triple, "g")).over(order)
+    again = before.isNotNull() & reduce(lambda a, b: a & b, [before[c].eqNullSafe(F.col(c)) for c in triple])
+    marked = flat.repartition(buckets, "s").select("*", again.alias("again"), F.coalesce(before["g"] == F.col("g"), F.lit(False)).alias("same_g"))
+    distinct = marked.filter(~(F.col("again") & F.col("same_g"))).drop("same_g")
     o = F.struct(*[F.col(f"o_{x}").alias(x) for x in ("kind", "lex", "dt", "lang")])
-    _write(flat.select("*", *_typed(o).values()), path, "quads", buckets)
-    _write(_open(spark, path, "quads", buckets).drop("g").distinct(), path, "triples", buckets)
-    kind, blank = F.col("o_kind"), F.col("s").startswith("_:")
-    each = _open(spark, path, "triples", buckets).groupBy("p", F.pmod(F.hash("s"), F.lit(buckets)).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in _TYPED], F.min(kind).alias("k0"), F.max(kind).alias("k1"), F.min("o_dt").alias("d0"), F.max("o_dt").alias("d1"),
-        F.max("o_lang").alias("lang"), F.min(blank).alias("b0"), F.max(blank).alias("b1"),
+    rows = distinct.select(*flat.columns[:-1], *_typed(o).values(), "g", F.md5("p").alias("pred"), "again")
+    rows.write.format("parquet").partitionBy("pred", "again").bucketBy(buckets, "s").sortBy("s").option("path", f"{path}/quads").saveAsTable(_name(path, "quads"))
+    # Counted by what may differ within a predicate; text is compared among the few rows that this leaves.
+    kinds = _open(spark, path, "triples", buckets).groupBy(
+        "p", F.pmod(F.hash("s"), F.lit(buckets)).alias("bucket"), "o_kind", "o_dt", (F.col("o_lang") != "").alias("lang"), F.col("s").startswith("_:").alias("blank")
+    ).agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in _TYPED])
+    each = kinds.groupBy("p", "bucket").agg(
+        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _TYPED], *[f(c).alias(f"{c}{k}") for c in ("o_kind", "o_dt", "blank") for k, f in enumerate((F.min, F.max))], F.max("lang").alias("lang")
     )
-    same = lambda a, b: F.when(F.min(a) == F.max(b), F.min(a))
+    same = lambda c: F.when(F.min(f"{c}0") == F.max(f"{c}1"), F.min(f"{c}0"))
     about = each.groupBy("p").agg(
-        F.sum("n").alias("n"), F.max("n").alias("largest"), same("k0", "k1").alias("kind"), same("d0", "d1").alias("dt"), F.max("lang").alias("lang"), same("b0", "b1").alias("blank"),
+        F.sum("n").alias("n"), F.max("n").alias("largest"), same("o_kind").alias("kind"), same("o_dt").alias("dt"), F.max("lang").alias("lang"), same("blank").alias("blank"),
         F.coalesce(*[F.when(F.sum(c) == F.sum("n"), c) for c in _TYPED]).alias("typed"), F.lit(buckets).alias("buckets"),
     )
     about.write.parquet(f"{path}/predicates")
 
 
-def _write(df: DataFrame, path: str, table: str, buckets: int) -> None:
-    # Tasks hold whole buckets, or a part of one that is large.
-    rows = df.withColumn("pred", F.md5("p")).hint("rebalance", buckets, "s")
-    rows.write.format("parquet").partitionBy("pred").bucketBy(buckets, "s").sortBy("s").option("path", f"{path}/{table}").saveAsTable(_name(path, table))
-
-
 def _open(spark: SparkSession, path: str, table: str, buckets: int) -> DataFrame:
+    """quads, or triples: those of the same files whose triple stands in no graph before."""
     name = _name(path, table)
     if not spark.catalog.tableExists(name):
-        g = ", g string" if table == "quads" else ""
-        where = f"{path}/{table}".replace("'", "\\'")
-        spark.sql(f"CREATE TABLE {name} ({_COLUMNS}{g}, pred string) USING parquet PARTITIONED BY (pred) CLUSTERED BY (s) SORTED BY (s) INTO {buckets} BUCKETS LOCATION '{where}'")
+        where = f"{path}/quads".replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({_COLUMNS}, pred string, again boolean) USING parquet PARTITIONED BY (pred, again) CLUSTERED BY (s) SORTED BY (s) INTO {buckets} BUCKETS LOCATION '{where}'")
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-    return spark.table(name)
+    return _first(spark.table(name), table)
+
+
+def _first(df: DataFrame, table: str) -> DataFrame:
+    return df.filter(F.col("again").eqNullSafe(False)).drop("g", "again") if table == "triples" else df.drop("again")
 
 
 class Stored(Quads):
@@ -119,7 +133,7 @@ class Stored(Quads):
         table = "triples" if g is None and self.default_graph == "union" else "quads"
         about = self.about(p.lex) if isinstance(p, Const) else None
         if about and about["largest"] > max(LARGE, SKEW * about["n"] / self.buckets):
-            df = self._spark.read.parquet(f"{self.path}/{table}/pred={_folder(p.lex)}")
+            df = _first(self._spark.read.parquet(f"{self.path}/quads/pred={_folder(p.lex)}"), table)
         else:
             df = _open(self._spark, self.path, table, self.buckets)
             df = df.filter(F.col("pred") == _folder(p.lex)) if isinstance(p, Const) else df
