@@ -118,13 +118,18 @@ def _partial_paths(wanted: DataFrame, level: DataFrame, base: int, step: int) ->
     asked = wanted.select(F.shiftright("idx", step).alias("top"), F.struct(F.lit(-1).alias("k"), "idx", "h").alias("node"))
     both = nodes.unionByName(asked).groupBy("top").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     of = lambda k: F.filter("nodes", lambda x: x["k"] == k)
-    both = both.select("top", *[F.transform(of(k), lambda x: x["h"]).alias(f"t{k}") for k in range(step)], F.explode(of(-1)).alias("one"))
-    steps = []
-    for k in range(step):
-        own = F.expr(f"cast(shiftright(one.idx - shiftleft(top, {step}), {k}) as int)")
-        sibling = F.coalesce(F.get(F.col(f"t{k}"), own.bitwiseXOR(F.lit(1))), F.get(F.col(f"t{k}"), own))
-        steps.append(F.struct(F.lit(base + k).alias("level"), sibling.alias("sibling"), own.bitwiseAND(F.lit(1)).alias("dir")))
-    return both.select("top", "one.idx", "one.h", F.array(*steps).alias("steps"))
+    both = both.select("top", *[F.transform(of(k), lambda x: x["h"]).alias(f"t{k}") for k in range(step)], of(-1).alias("asked"))
+
+    def of_one(one: Column) -> Column:
+        steps = []
+        for k in range(step):
+            own = F.shiftright(one["idx"] - F.col("top") * (1 << step), k).cast("int")
+            sibling = F.coalesce(F.get(F.col(f"t{k}"), own.bitwiseXOR(F.lit(1))), F.get(F.col(f"t{k}"), own))
+            steps.append(F.struct(F.lit(base + k).alias("level"), sibling.alias("sibling"), own.bitwiseAND(F.lit(1)).alias("dir")))
+        return F.struct(one["idx"].alias("idx"), one["h"].alias("h"), F.array(*steps).alias("steps"))
+
+    # Steps are made before rows multiply, so no row carries the nodes of its subtree along.
+    return both.select("top", F.explode(F.transform("asked", of_one)).alias("one")).select("top", "one.*")
 
 
 def paths(leaf: DataFrame, level: DataFrame) -> DataFrame:
@@ -157,9 +162,14 @@ def index_of_path(path: Column) -> Column:
     return F.aggregate(F.reverse(path), F.lit(0).cast("long"), lambda acc, s: acc * 2 + s["dir"])
 
 
+def included(idx: Column, h: Column, path: Column, root_: str) -> Column:
+    """Whether a leaf with this path, at this place, belongs to the root."""
+    return F.coalesce((root_of_path(h, path) == root_) & (index_of_path(path) == idx), F.lit(False))
+
+
 def check_inclusion(paths_: DataFrame, root_: str) -> DataFrame:
     """paths_ with ok: whether the leaf, at its place, belongs to the root."""
-    return paths_.withColumn("ok", F.coalesce((root_of_path(F.col("h"), F.col("path")) == root_) & (index_of_path(F.col("path")) == F.col("idx")), F.lit(False)))
+    return paths_.withColumn("ok", included(F.col("idx"), F.col("h"), F.col("path"), root_))
 
 
 def check_sentinels(leaf: DataFrame, paths_: DataFrame, root_: str) -> DataFrame:

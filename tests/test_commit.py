@@ -107,3 +107,11 @@ def test_look_ups_read_few_folders(spark, tmp_path):
     assert "PartitionFilters: [digits" in plan
     got = dataset.members(spark, path, asked).collect()
     assert [(r["h"], r["idx"], r["ok"]) for r in got] == [(inside, leaves.index(inside), True)]
+
+
+def test_inclusion_check_makes_paths_once(spark):
+    """Five checks of one leaf are columns of its row: nothing is joined or made again."""
+    from quadframe.plans import queries
+
+    plan = queries.QUERIES["inclusion_check"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
