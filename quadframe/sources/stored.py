@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as t
-from .mapping import Const, Quads
+from .mapping import Const, Quads, Table
 
 SKEW, LARGE = 8, 10_000_000
+_HELD = "__held_"
+#: Files that a task of save() writes at once.
+WRITERS, _AT_ONCE = 100, "spark.sql.maxConcurrentOutputFileWriters"
 #: Typed columns: datatypes, the SQL type of the values.
 _TYPED = {"whole": (t.INTEGERS, "bigint"), "real": ((t.DOUBLE,), "double"), "at": ((t.DATETIME,), "timestamp"), "flag": ((t.BOOLEAN,), "boolean")}
 _COLUMNS = "p string, s string, o_kind tinyint, o_lex string, o_dt string, o_lang string, whole bigint, real double, at timestamp, flag boolean, g string"
@@ -43,9 +46,11 @@ def _node(code: Column) -> Column:
 def _typed(o: Column) -> dict[str, Column]:
     """Values that are spelled as they would be written; else null."""
     lex, is_of = o["lex"], {n: t.is_literal_of(o, *dts) for n, (dts, _) in _TYPED.items()}
-    whole, real = lex.try_cast("bigint"), t.double_of(lex)
+    whole, real = lex.try_cast("bigint"), lex.try_cast("double")
     as_written = {
-        "whole": F.when(whole.cast("string") == lex, whole), "real": F.when(t.double_text(real) == lex, real),
+        "whole": F.when(whole.cast("string") == lex, whole),
+        # A text that a cast writes again is a number's, but for the cast's own names of infinity.
+        "real": F.when(lex == "INF", float("inf")).when(lex == "-INF", float("-inf")).when((real.cast("string") == lex) & ~lex.endswith("Infinity"), real),
         # Such a text, if it is a time at all, is the one way to write it; year 0 is written otherwise.
         "at": F.when(lex.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z\z") & (lex >= "0001"), lex.try_cast("timestamp")),
         "flag": F.when(lex == "true", True).when(lex == "false", False),
@@ -57,24 +62,64 @@ def _name(path: str, table: str) -> str:
     return f"quadframe_{_folder(path)}_{table}"
 
 
-def save(quads: DataFrame, path: str, buckets: int | None = None) -> None:
-    """Write (s, p, o, g) under path. buckets: by default as many as a shuffle has partitions."""
-    spark = quads.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    o, g = F.col("o"), F.coalesce(_code(F.col("g")), F.lit(""))
-    flat = quads.filter("s is not null and p is not null and o is not null").select(
-        F.col("p.lex").alias("p"), _code(F.col("s")).alias("s"), *[o[x].alias(f"o_{x}") for x in ("kind", "lex", "dt", "lang")], g.alias("g")
-    )
-    # As many tasks as buckets, so what one holds grows with a bucket only. Within a subject equal quads, and quads of one triple, follow each other.
+def _flat(df: DataFrame, s: Column, p: Column, o: Column, g: Column, pred: Column) -> DataFrame:
+    return df.select(p.alias("p"), s.alias("s"), *[o[x].alias(f"o_{x}") for x in ("kind", "lex", "dt", "lang")], g.alias("g"), pred.alias("pred"))
+
+
+def _marked(flat: DataFrame) -> DataFrame:
+    """Distinct quads, and whether their triple stands in a graph before, of rows that are together by subject."""
+    # Within a subject equal quads, and quads of one triple, follow each other.
     triple = ["p", "o_lex", "o_kind", "o_dt", "o_lang"]
     order = Window.partitionBy("s").orderBy(*triple, "g")
     before = F.lag(F.struct(*triple, "g")).over(order)
     again = before.isNotNull() & reduce(lambda a, b: a & b, [before[c].eqNullSafe(F.col(c)) for c in triple])
-    marked = flat.repartition(buckets, "s").select("*", again.alias("again"), F.coalesce(before["g"] == F.col("g"), F.lit(False)).alias("same_g"))
-    distinct = marked.filter(~(F.col("again") & F.col("same_g"))).drop("same_g")
+    marked = flat.select("*", again.alias("again"), F.coalesce(before["g"] == F.col("g"), F.lit(False)).alias("same_g"))
+    return marked.filter(~(F.col("again") & F.col("same_g"))).drop("same_g")
+
+
+def _of_table(table: Table, buckets: int) -> DataFrame:
+    """Distinct quads of a mapped table, whose rows are dealt by subject before they become quads.
+
+    Quads of a subject with one row differ, so they aren't compared; those of the others are.
+    """
+    objects = table.columns.values()
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys(c for o in objects for c in (o.column, o.lang) if c is not None)]
+    subject = table.subject()
+    held = table.df.filter(subject.isNotNull()).select(_code(subject).alias(f"{_HELD}s"), *needed).repartition(buckets, f"{_HELD}s")
+    held = held.withColumn(f"{_HELD}n", F.count(F.lit(1)).over(Window.partitionBy(f"{_HELD}s")))
+    each = F.array(*[
+        F.struct(F.lit(p).alias("p"), F.when(F.col(f"`{o.column}`").isNotNull(), o.term(table.kinds)).alias("o"), F.lit(_folder(p)).alias("pred")) for p, o in table.columns.items()
+    ])
+
+    def quads(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col(f"{_HELD}s").alias("s"), F.explode(each).alias("q")).filter("q.o is not null")
+        return _flat(rows, F.col("s"), F.col("q.p"), F.col("q.o"), F.lit(table.graph.lex), F.col("q.pred"))
+
+    once, more = held.filter(f"{_HELD}n = 1"), held.filter(f"{_HELD}n > 1")
+    return quads(once).withColumn("again", F.lit(False)).unionByName(_marked(quads(more)))
+
+
+def save(quads: DataFrame | Quads, path: str, buckets: int | None = None) -> None:
+    """Write (s, p, o, g), or quads, under path. buckets: by default as many as a shuffle has partitions."""
+    spark = quads.spark if isinstance(quads, Quads) else quads.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many tasks as buckets, so what one holds grows with a bucket only.
+    tables = quads.tables if isinstance(quads, Quads) else None
+    if tables and len({p for x in tables for p in x.columns}) == sum(len(x.columns) for x in tables):
+        distinct = reduce(DataFrame.unionByName, [_of_table(x, buckets) for x in tables])
+    else:
+        rows = (quads.quads() if isinstance(quads, Quads) else quads).filter("s is not null and p is not null and o is not null")
+        flat = _flat(rows, _code(F.col("s")), F.col("p.lex"), F.col("o"), F.coalesce(_code(F.col("g")), F.lit("")), F.md5("p.lex"))
+        distinct = _marked(flat.repartition(buckets, "s"))
     o = F.struct(*[F.col(f"o_{x}").alias(x) for x in ("kind", "lex", "dt", "lang")])
-    rows = distinct.select(*flat.columns[:-1], *_typed(o).values(), "g", F.md5("p").alias("pred"), "again")
-    rows.write.format("parquet").partitionBy("pred", "again").bucketBy(buckets, "s").sortBy("s").option("path", f"{path}/quads").saveAsTable(_name(path, "quads"))
+    rows = distinct.select("p", "s", *[f"o_{x}" for x in ("kind", "lex", "dt", "lang")], *_typed(o).values(), "g", "pred", "again")
+    # A task writes all folders of its bucket at once, so rows aren't sorted again by folder; where there are more folders they are.
+    usual = spark.conf.get(_AT_ONCE)
+    spark.conf.set(_AT_ONCE, WRITERS)
+    try:
+        rows.write.format("parquet").partitionBy("pred", "again").bucketBy(buckets, "s").option("parquet.enable.dictionary#s", "false").option("path", f"{path}/quads").saveAsTable(_name(path, "quads"))
+    finally:
+        spark.conf.set(_AT_ONCE, usual)
     # Counted by what may differ within a predicate; text is compared among the few rows that this leaves.
     kinds = _open(spark, path, "triples", buckets).groupBy(
         "p", F.pmod(F.hash("s"), F.lit(buckets)).alias("bucket"), "o_kind", "o_dt", (F.col("o_lang") != "").alias("lang"), F.col("s").startswith("_:").alias("blank")
@@ -95,7 +140,7 @@ def _open(spark: SparkSession, path: str, table: str, buckets: int) -> DataFrame
     name = _name(path, table)
     if not spark.catalog.tableExists(name):
         where = f"{path}/quads".replace("'", "\\'")
-        spark.sql(f"CREATE TABLE {name} ({_COLUMNS}, pred string, again boolean) USING parquet PARTITIONED BY (pred, again) CLUSTERED BY (s) SORTED BY (s) INTO {buckets} BUCKETS LOCATION '{where}'")
+        spark.sql(f"CREATE TABLE {name} ({_COLUMNS}, pred string, again boolean) USING parquet PARTITIONED BY (pred, again) CLUSTERED BY (s) INTO {buckets} BUCKETS LOCATION '{where}'")
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return _first(spark.table(name), table)
 

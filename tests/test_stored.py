@@ -1,12 +1,13 @@
 """Quad tables laid out by predicate and subject, against the same quads without a layout."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadframe.functions import expr as e
 from quadframe.functions import terms as t
 from quadframe.operators.patterns import bgp, graph
 from quadframe.sources import stored
-from quadframe.sources.mapping import Const, I, L, Quads
+from quadframe.sources.mapping import EX, Const, I, L, Object, Quads, Table
 
 B = [Const(t.BLANK, "b0"), Const(t.BLANK, "b1")]
 GRAPHS = [Const(t.DEFAULT_GRAPH, ""), I("g1"), I("g2")]
@@ -91,3 +92,28 @@ def test_no_quads(spark, tmp_path):
     path = "file://" + str(tmp_path / "none")
     stored.save(spark.createDataFrame([], t.QUAD), path)
     assert bgp(stored.Stored(spark, path), ("?x", I("age"), "?a"), ("?x", "?p", "?o")).terms().collect() == []
+
+
+def test_mapped_tables_are_dealt_as_rows_and_their_quads_are_distinct(spark, tmp_path):
+    people = spark.createDataFrame([(1, "a", 2.5), (1, "a", 2.5), (1, "b", 2.5), (2, None, 1.0), (3, None, None), (4, "c", None)], "id bigint, name string, score double")
+    more = spark.createDataFrame([(1, "en"), (2, None), (2, "fr")], "id bigint, lang string")
+    named = {EX + "name": Object("name"), EX + "score": Object("score", dt=t.DOUBLE)}
+    plain = Quads([Table(people, "people", ["id"], named), Table(more, "more", ["id"], {EX + "says": Object("lang", lang="lang")}, subject_of="people")])
+    again = Quads([*plain.tables, Table(more, "again", ["id"], {EX + "name": Object("lang")}, subject_of="people")])
+    for k, q in enumerate((plain, again)):
+        path = f"file://{tmp_path}/{k}"
+        stored.save(q, path, 3)
+        assert sorted(map(str, stored.Stored(spark, path).quads().collect())) == sorted(map(str, q.quads().distinct().collect()))
+        distinct = Quads(q.quads().distinct())
+        for pattern in PATTERNS[2:6] + [[("?x", I("name"), "?n"), ("?x", I("score"), "?v")], [("?x", I("says"), "?l")]]:
+            assert rows(bgp(stored.Stored(spark, path), *pattern)) == rows(bgp(distinct, *pattern))
+    plan = stored._of_table(plain.tables[0], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_only_numbers_as_they_are_written_are_values(spark):
+    texts = ["1.0", "1.00", "-0.0", "1.0E10", "1e10", "NaN", "INF", "-INF", "Infinity", "-Infinity", "+INF", "nan", "1.0d", " 1.0", "x", ""]
+    o = t.plain(t.LITERAL, F.col("x"), t.DOUBLE)
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", o.alias("o"))
+    got = {r["x"]: str(r["real"]) for r in df.select("x", stored._typed(df["o"])["real"]).collect() if r["real"] is not None}
+    assert got == {"1.0": "1.0", "-0.0": "-0.0", "1.0E10": "10000000000.0", "NaN": "nan", "INF": "inf", "-INF": "-inf"}
