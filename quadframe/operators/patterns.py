@@ -25,6 +25,8 @@ from ..sources.mapping import Const, Quads
 from ..sources.scratch import checkpointed
 
 HIDDEN = "__"
+#: Rows of a side that isn't broadcast.
+MANY = 250_000
 _MASK = f"{HIDDEN}mask"
 _VALUES = f"{HIDDEN}values_"
 
@@ -49,6 +51,8 @@ class Solutions:
     def __init__(self, df: DataFrame, certain: set[str], maybe: set[str] = frozenset(), shapes: dict[str, Shape] | None = None):
         self.df, self.certain, self.maybe, self.saved = df, set(certain), set(maybe), False
         self.read: set[str] = set()
+        #: How many rows there are about, where a layout knows; else 0.
+        self.rows = 0
         self.shapes = {n: s for n, s in (shapes or {}).items() if n in self.certain or n in self.maybe}
 
     @property
@@ -304,7 +308,9 @@ def _pattern(quads: Quads, s, p, o, g, after: bool = False) -> Solutions:
         if after and _name(s) not in [_name(x) for x in (p, o, g) if x is not None]:
             del first[_name(s)]
         first[f"{HIDDEN}subject_{_name(s)}"] = t.Val(t.IRI, "", F.col("s"), sure=True)
-    return _shaped(df, first)
+    out = _shaped(df, first)
+    out.rows = quads.rows(s, p, o)
+    return out
 
 
 def _shaped(df: DataFrame, columns: dict[str, t.Val | Column]) -> Solutions:
@@ -342,11 +348,18 @@ def _star(quads: Quads, subject, patterns: list[tuple], g) -> Solutions | None:
 
 
 def _all(parts: list[Solutions]) -> Solutions:
-    """The join of all parts; next is always one that shares a variable, if there is one."""
+    """The join of all parts; next is always one that shares a variable, if there is one.
+
+    The size of files, which a broadcast is chosen by, says little of rows: a text in a dictionary takes a byte or two
+    there. Where both sides are known to have MANY, they are sorted and merged.
+    """
     out, parts = parts[0], parts[1:]
     while parts:
         nth = next((k for k, x in enumerate(parts) if set(x.variables) & set(out.variables)), 0)
-        out = out.join(parts.pop(nth))
+        part = parts.pop(nth)
+        rows, many = max(out.rows, part.rows), min(out.rows, part.rows) >= MANY
+        out = out.join(part._with(part.df.hint("merge")) if many else part)
+        out.rows = rows
     return out
 
 

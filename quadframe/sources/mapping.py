@@ -250,6 +250,10 @@ class Quads:
         """scan(), and the term at each place of its rows."""
         return self.scan(s, p, o, g), {x: F.col(x) for x in "spog"}
 
+    def rows(self, s, p, o) -> int:
+        """How many rows a pattern has about, if a layout knows; else 0."""
+        return 0
+
     def table_of(self, predicate: str) -> Table | None:
         """The only table with the predicate, if subjects are unique there."""
         if self.tables is None or self.default_graph == "strict":

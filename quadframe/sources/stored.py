@@ -174,6 +174,11 @@ class Stored(Quads):
             self._about[predicate] = None if predicate in self.excluded else self.predicates.filter(F.col("p") == predicate).first()
         return self._about[predicate]
 
+    def rows(self, s, p, o) -> int:
+        """The triples of a predicate; what constants leave of them isn't known."""
+        about = self.about(p.lex) if isinstance(p, Const) and not isinstance(s, Const) and not isinstance(o, Const) else None
+        return about["n"] if about else 0
+
     def _rows(self, p, g) -> DataFrame:
         table = "triples" if g is None and self.default_graph == "union" else "quads"
         about = self.about(p.lex) if isinstance(p, Const) else None

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quadframe.functions import expr as e
 from quadframe.functions import terms as t
+from quadframe.operators import patterns
 from quadframe.operators.patterns import bgp, graph
 from quadframe.sources import stored
 from quadframe.sources.mapping import EX, Const, I, L, Object, Quads, Table
@@ -117,3 +118,16 @@ def test_only_numbers_as_they_are_written_are_values(spark):
     df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", o.alias("o"))
     got = {r["x"]: str(r["real"]) for r in df.select("x", stored._typed(df["o"])["real"]).collect() if r["real"] is not None}
     assert got == {"1.0": "1.0", "-0.0": "-0.0", "1.0E10": "10000000000.0", "NaN": "nan", "INF": "inf", "-INF": "-inf"}
+
+
+def test_sides_of_many_rows_are_merged_however_small_their_files_are(both, monkeypatch):
+    plain, laid, _ = both
+    steps = [("?x", I("knows"), "?y"), ("?y", I("age"), "?a")]
+    planned = lambda sol: sol.df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in planned(bgp(laid, *steps))
+    monkeypatch.setattr(patterns, "MANY", 12)
+    assert "BroadcastHashJoin" not in planned(bgp(laid, *steps)) and "BroadcastHashJoin" not in planned(graph(laid, "?g", *steps))
+    assert rows(bgp(laid, *steps)) == rows(bgp(plain, *steps))
+    assert "BroadcastHashJoin" in planned(bgp(laid, *steps, ("?y", I("score"), "?n")))
+    distinct = Quads(plain.df.distinct())
+    assert rows(graph(laid, "?g", *steps)) == rows(graph(distinct, "?g", *steps))
